@@ -6,7 +6,8 @@ divided by its integral tells how the source's token demand runs over time.  A s
 stand in a fixed pseudo-random order, one pass after another; a copy whose words lie in the middle
 of the cumulative demand ``d`` trains at the time at which the integral reaches ``d``.
 
-No source is sorted in one task: documents fall into about sqrt(rows) hash buckets per source,
+No source is sorted in one task: documents fall into hash buckets per source (of 256 rows, or
+sqrt(rows) of them for large sources),
 sums over buckets give each bucket's offset, and windows run within a bucket only.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 20_000
 FILL_ROUNDS = 2
+BUCKET_ROWS = 256
 #: Weight schedules that sources take in turn: (time, weight) knots.  Their integrals are 5, 2 and 1.
 SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -109,7 +111,7 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
     targets = source_targets(sizes, schedules, total_share, most)
     # Few sources are broadcast, after a check; more of them are joined by a shuffle.
     few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    known = targets.withColumn("buckets", F.ceil(F.sqrt("rows"))).withColumn("full", F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12))
+    known = targets.withColumn("buckets", F.least(F.ceil(F.sqrt("rows")), F.ceil(F.col("rows") / BUCKET_ROWS))).withColumn("full", F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12))
     known = known.withColumn("rest", F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0))).withColumnRenamed("source", "s")
     d = d.join(F.broadcast(known) if few else known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     d = d.withColumn("bucket", F.pmod(F.col("h"), F.col("buckets")))
