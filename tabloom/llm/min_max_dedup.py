@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut
 
@@ -224,3 +224,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", F.col("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest doc_id, with all its columns.
+
+    Rows that share a doc_id are one document, of which the row with the smallest text hash stays.
+    Rows with a null doc_id all stay.  Only rows that a fixed-size bit set of the ids concerned lets
+    through are shuffled; all others pass straight on.
+    """
+    found = near_duplicates(docs, width, share).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("copies"))
+    found = cut(found.where("doc_id is not null and (not kept or copies > 1)"), "found")
+    bloom = cut(_bloom(found.select(F.col("doc_id").alias("id"))), "touched")
+    names = docs.columns
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BLOOM_BITS))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    d = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.floor(bit / 64).alias("word"), mask.alias("mask"), F.xxhash64("text").alias("h"))
+    d = d.join(F.broadcast(bloom), "word", "left").withColumn("touched", F.col("id").isNotNull() & (F.coalesce(F.col("mask").bitwiseAND(F.col("bits")), F.lit(0)) != 0))
+    straight = d.where(~F.col("touched")).select("row")
+    looked = d.where("touched").select("row", "id", "h").join(found.withColumnRenamed("doc_id", "id"), "id", "left").where(F.coalesce("kept", F.lit(True)))
+    single = looked.where("coalesce(copies, 1) = 1").select("row")
+    first = looked.where("copies > 1").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("k = 1").select("row")
+    return straight.unionByName(single).unionByName(first).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
