@@ -1,11 +1,63 @@
-"""The corpus pipeline: documents in, token files out."""
+"""The corpus pipeline: documents in, token files out.
 
-STAGES = []
+Each stage takes the documents that its predecessor kept, written as Parquet and read again, and
+all but the last return documents with their columns.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tabloom.llm.common import cut, table
+from tabloom.llm.curriculum_mix import mixture
+from tabloom.llm.min_max_dedup import deduplicate
+from tabloom.llm.simhash_decontam import decontaminate
+from tabloom.llm.site_quality import keep_good
+from tabloom.llm.token_files import token_digests
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return deduplicate(docs, width=5, share=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequence: documents as often as their source's target asks, in curriculum order."""
+    return mixture(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and a row per document read back from them."""
+    return token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2).drop("shard")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mixing),
+    ("token output", token_output),
+]
+
+#: SQL can express neither the classifier nor the hash order of the mix.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, f"stage-{k}")
     return docs
