@@ -8,12 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..cluster import ship
+
 _RUN = uuid.uuid4().hex[:12]
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read through Spark so that any store it knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may go without that setting: there driver and executors are one
     process, so a temporary folder is shared by all of them.
     """
+    ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -36,9 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short lineage that outlives executors."""
+ROWS_A_FILE = 100_000
+
+
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: short lineage that outlives executors.
+
+    ``rows`` is about how many rows there are, if that is known: no more tasks than they need.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE + 1))
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

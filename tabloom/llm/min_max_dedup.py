@@ -6,11 +6,13 @@ evaluated once per shingle and gives two signature values, its minimum and its m
 two sets of similarity 0.8 share no band with probability (1 - 0.8**4)**32, below 5e-8.
 
 Hot groups are never paired off among themselves.  Equal sets collapse to one vertex first.  In
-a bucket every member is compared with the bucket's smallest member only; components of the
-confirmed links then show which buckets still hold more than one component, and only pairs of
-*different* components in those are confirmed too (after further star rounds for large
-buckets, and pruned by sizes and by the triangle inequality of the Jaccard distance).  Links
-within a component need no comparison, since the result is the components.
+a bucket every member is confirmed against the bucket's hub only: the member that shares most
+buckets' rows over all its bands, so the text that the others are edits of.  Links within a
+component need no comparison, since the result is the components.  What can still be missing are
+links of members outside their hub's component; those meet all members of that hub's buckets in
+blocks of bounded size, where pairs of different components whose signatures agree in at least
+AGREE of 128 values (fewer have a chance below 1e-7 at similarity 0.8) are confirmed on the full
+sets, unless links found in the block connect them already.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from .common import cut
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-SMALL_BUCKET = 64
-STAR_ROUNDS = 4
+VALUES = 2 * PERMUTATIONS
+AGREE = 78
+BLOCK_ROWS = 256
 BLOOM_BITS = 1 << 23
 
 _rng = np.random.default_rng(20240607)
@@ -61,26 +64,31 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def band_keys(items: np.ndarray) -> np.ndarray:
-    """The 32 band keys of a set that isn't empty."""
+def signature(items: np.ndarray) -> np.ndarray:
+    """The 128 minima and maxima of a set that isn't empty."""
     low = (items >> np.uint64(32)).astype(np.uint32)
     hashed = low[None, :] * _A + _B
-    values = np.concatenate([hashed.min(axis=1), hashed.max(axis=1)]).astype(np.uint64)
-    return _finish((values.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
+    return np.concatenate([hashed.min(axis=1), hashed.max(axis=1)])
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """The 32 band keys of a signature."""
+    rows = values.astype(np.uint64).reshape(BANDS, ROWS)
+    return _finish((rows * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
 def _signer(width: int):
     def sign(batches):
         for frame in batches:
-            sets = [shingles(t, width) for t in frame["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"],
-                    "n_shingles": [len(s) for s in sets],
-                    "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "bands": [band_keys(s) if len(s) else None for s in sets],
-                }
-            )
+            rows = []
+            for text in frame["text"]:
+                items = shingles(text, width)
+                if len(items):
+                    values = signature(items)
+                    rows.append((len(items), xxhash.xxh3_128_digest(items.tobytes()), band_keys(values), values.astype(np.uint8).tobytes()))
+                else:
+                    rows.append((0, None, None, None))
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "mark"]).assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_key", "bands", "mark"]]
 
     return sign
 
@@ -94,6 +102,36 @@ def _lister(width: int):
     return full_sets
 
 
+def _comparer(share: int):
+    def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Links (a, b) that connect the components of two blocks; each confirmed on the full sets."""
+        found, root = [], {}
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        if len(left) and len(right):
+            marks = np.frombuffer(b"".join(right["mark"]), np.uint8).reshape(len(right), -1)
+            ids, labels, sizes, sets = (right[c].to_numpy() for c in ("id", "label", "n", "items"))
+            for one in left.itertuples(index=False):
+                able = (labels != one.label) & (np.minimum(sizes, one.n) * 100 >= np.maximum(sizes, one.n) * share)
+                able &= (marks == np.frombuffer(one.mark, np.uint8)).sum(axis=1) >= AGREE
+                for k in np.flatnonzero(able):
+                    x, y = find(one.label), find(labels[k])
+                    if x == y:
+                        continue
+                    common = len(np.intersect1d(one.items, sets[k], assume_unique=True))
+                    if common * 100 >= (len(one.items) + len(sets[k]) - common) * share:
+                        root[max(x, y)] = min(x, y)
+                        found.append((one.id, ids[k]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id of the component, for every id on an edge (a, b).
 
@@ -109,13 +147,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = (seen["n"], seen["h"])
         # Large star: every larger neighbour of a vertex moves to the smallest neighbour.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", 2 * seen["n"])
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, "large")
+        large = cut(large, "large", seen["n"])
         # Small star: the smaller neighbours of a vertex, and itself, move to the smallest of them.
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least", seen["n"])
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct(), "small")
+        now = cut(small.where("u <> v").distinct(), "small", seen["n"])
     return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
@@ -155,70 +193,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
     and the row is kept.  Other columns of ``docs`` aren't looked at, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInPandas(_signer(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
+    signed = cut(docs.mapInPandas(_signer(width), "doc_id long, n_shingles long, set_key binary, bands array<long>, mark binary"), "signed")
     vertices = signed.where("doc_id is not null and set_key is not null")
 
     # Equal sets: one vertex, the smallest id; partial aggregation takes care of huge classes.
-    classes = cut(vertices.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    same = vertices.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    # A vertex may stand for two sets if rows share a doc_id: its id then occurs with both.
-    member = cut(classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n"), "member")
-    hubs = cut(member.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "c"), "hubs")
-    member = cut(member.join(hubs, "bucket"), "shared")
-    star = cut(member.where((F.col("id") != F.col("hub")) & _fits("n", "hub_n", share)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "mark")]
+    classes = cut(vertices.groupBy("set_key").agg(F.min("doc_id").alias("id"), *firsts).withColumnRenamed("n_shingles", "n"), "classes")
+    same = vertices.select("doc_id", "set_key").join(classes.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+    # Buckets of two or more.  A vertex may stand for two sets if rows share a doc_id.
+    every = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    counts = cut(every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    member = cut(every.join(counts, "bucket"), "member")
+    central = cut(member.groupBy("id").agg(F.sum("c").alias("weight")), "central")
+    weighed = member.join(central, "id").select("bucket", F.struct("weight", (-F.col("id")).alias("less"), "n").alias("h"))
+    hubs = cut(weighed.groupBy("bucket").agg(F.max("h").alias("h")).select("bucket", (-F.col("h.less")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    member = cut(member.join(hubs, "bucket"), "hubbed")
+    star = member.where((F.col("id") != F.col("hub")) & _fits("n", "hub_n", share)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+    star = cut(star.distinct(), "star")
 
     needed = member.select("id").distinct()
-    bloom = cut(_bloom(needed), "bloom")
-    wanted = cut(needed.withColumnRenamed("id", "doc_id"), "needed")
-    texts = _in_bloom(docs.where("doc_id is not null"), bloom).join(wanted, "doc_id", "left_semi")
+    bloom = _bloom(needed)
+    texts = _in_bloom(docs.where("doc_id is not null"), bloom).join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = cut(texts.mapInPandas(_lister(width), "id long, items array<long>").where(F.size("items") > 0), "sets")
 
     linked = F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * share
-    known = cut(_confirm(star, sets), "known")
-    edges = known.where(linked).select("a", "b")
-    labels = components(edges)
+    labels = components(_confirm(star, sets).where(linked).select("a", "b"))
     edges = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
 
-    def residual(labels: DataFrame) -> DataFrame:
-        """Members of buckets of three or more that hold more than one component."""
-        tagged = member.where("c > 2").join(labels, "id", "left").select("bucket", "id", "n", "hub", "c", F.coalesce("label", "id").alias("label"))
-        tagged = cut(tagged, "tagged")
-        mixed = cut(tagged.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last"), "mixed")
-        return cut(tagged.join(mixed, "bucket"), "residual")
-
-    left = residual(labels)
-    tried = star
-    for _ in range(STAR_ROUNDS):
-        # Large mixed buckets: another hub, the smallest member outside the first hub's component.
-        large = left.where(F.col("c") > SMALL_BUCKET)
-        if large.isEmpty():
-            break
-        extra = cut(large.where("label <> first").groupBy("bucket").agg(F.min(F.struct("id", "n", "label")).alias("h")).select("bucket", "h.*").toDF("bucket", "hub2", "hub2_n", "hub2_label"), "extra")
-        pairs = large.join(extra, "bucket").where((F.col("label") != F.col("hub2_label")) & _fits("n", "hub2_n", share)).select(F.least("hub2", "id").alias("a"), F.greatest("hub2", "id").alias("b")).distinct()
-        pairs = cut(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        more = cut(_confirm(pairs, sets), "more")
-        tried, known = tried.select("a", "b").unionByName(pairs), known.unionByName(more)
-        new = more.where(linked).select("a", "b")
-        if new.isEmpty():
-            break
-        labels = components(edges.unionByName(new))
-        edges = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
-        left = residual(labels)
-
-    # What is left: pairs of different components.  d(hub, x) is known where sizes allowed a link.
-    if not left.isEmpty():
-        far = known.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-        far = cut(far.groupBy("hub", "id").agg(F.min("d").alias("d")), "far")
-        side = cut(left.join(far, ["hub", "id"], "left").select("bucket", "id", "n", "label", F.when(F.col("id") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "side")
-        x, y = (side.select("bucket", *[F.col(c).alias(f"{c}_{t}") for c in ("id", "n", "label", "d")]) for t in "xy")
-        near = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 1 - share / 100 + 1e-9, F.lit(True))
-        pairs = x.join(y, "bucket").where((F.col("label_x") < F.col("label_y")) & _fits("n_x", "n_y", share) & near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-        pairs = cut(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        new = cut(_confirm(pairs, sets).where(linked).select("a", "b"), "last")
-        edges = edges.unionByName(new)
+    # Hubs with three or more members in a bucket, some of them outside the hub's component.
+    shared = cut(member.where("c > 2").select("hub", "id", "n").distinct(), "shared")
+    rows = shared.count()
+    if rows:
+        of_hub = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+        tagged = shared.join(labels, "id", "left").join(of_hub, "hub", "left")
+        tagged = tagged.select("hub", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+        tagged = cut(tagged.withColumn("outside", F.col("label") != F.col("hub_label")), "tagged", rows)
+        mixed = tagged.groupBy("hub").agg(F.count("*").alias("c"), F.count_if("outside").alias("out")).where("out > 0 and c > 2")
+        mixed = cut(mixed.select("hub", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("out") / BLOCK_ROWS).cast("int").alias("groups")), "mixed", rows)
+        left = tagged.join(mixed, "hub").withColumn("place", F.xxhash64("id"))
+        block, group = F.pmod("place", "blocks").cast("int"), F.pmod("place", "groups").cast("int")
+        asks = left.where("outside").select("hub", "id", "n", "label", group.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        others = left.select("hub", "id", "n", "label", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), block.alias("j"))
+        full = sets.join(classes.select("id", "mark"), "id")
+        asks, others = (d.join(full, "id") for d in (asks, others))
+        keys = ["hub", "i", "j"]
+        asks, others = (d.toDF(*[f"{c}_{t}" if c in keys else c for c in d.columns]).select(*[F.col(f"{c}_{t}") for c in keys], *[F.col(c).alias(c) for c in ("id", "n", "label", "mark", "items")]) for d, t in ((asks, "x"), (others, "y")))
+        found = asks.groupBy("hub_x", "i_x", "j_x").cogroup(others.groupBy("hub_y", "i_y", "j_y")).applyInPandas(_comparer(share), "a long, b long")
+        edges = edges.unionByName(cut(found, "found", rows))
 
     labels = components(edges.unionByName(same))
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -235,7 +257,7 @@ def deduplicate(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """
     found = near_duplicates(docs, width, share).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("copies"))
     found = cut(found.where("doc_id is not null and (not kept or copies > 1)"), "found")
-    bloom = cut(_bloom(found.select(F.col("doc_id").alias("id"))), "touched")
+    bloom = _bloom(found.select(F.col("doc_id").alias("id")))
     names = docs.columns
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BLOOM_BITS))
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
