@@ -83,7 +83,8 @@ def source_targets(sizes: DataFrame, schedules: Sequence, total_share: float = 1
 
 
 def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
-    """Every row of ``docs`` with the new columns of struct ``mix``: its part in the mixture.
+    """Every row of ``docs`` with a new column, the struct ``mix``: its part in the mixture.  A column of
+    that name is replaced.
 
     ``docs`` has doc_id, source and text, and any other columns, which stay as they are.
     ``mix`` holds size (words; 0 for a null text), source_size, target, copies, taken (words,
@@ -148,11 +149,14 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
 
     positions = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>")), time_of)
     mix = F.struct("size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"))
-    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in names], mix.alias("mix"))
+    d = d.select("row", mix.alias("mix"))  # on its own: the next step's names may be those used above
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c != "mix"], "mix")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The training sequence: a row per copy with its columns, range-sorted by training position."""
-    names = [c for c in docs.columns]
-    mixed = curriculum_mix(docs, **options).withColumn("mix_position", F.explode("mix.positions"))
-    return mixed.orderBy("mix_position", F.xxhash64(F.col("doc_id").cast("string"))).select(*[F.col(f"`{c}`") for c in names])
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    mixed = curriculum_mix(docs.select("doc_id", "source", "text", row), **options)
+    mixed = mixed.select("row", "doc_id", F.explode("mix.positions").alias("position"))
+    return mixed.orderBy("position", F.xxhash64(F.col("doc_id").cast("string"))).select(*[F.col(f"row.`{c}`").alias(c) for c in names])

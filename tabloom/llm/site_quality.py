@@ -13,80 +13,104 @@ broadcast if there are few enough, else by a shuffle.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import cut
 
 SAMPLE_ROWS = 4_000
-FEATURE_BITS = 15
 EPOCHS = 30
 BROADCAST_SITES = 20_000
 SITE_WEIGHT = 0.5
 MIN_STRENGTH = 5.0
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
-_DENSE = 8
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed feature ids and weights of the whole text: shares of its tokens, and its shape."""
-    tokens = _WORD.findall(text) if text else []
-    n = len(tokens)
-    shape = np.zeros(_DENSE)
-    if n:
-        chars = len(text)
-        words = [t for t in tokens if t[0].isalpha()]
-        lowered = [w.lower() for w in words]
-        upper = sum(w.isupper() and len(w) > 1 for w in words)
-        distinct = len(set(lowered))
-        marks = n - len(words)
-        shape[:] = [1.0, upper / n, marks / n, distinct / max(1, len(words)) if len(words) < 200 else distinct / len(words) * math.log(len(words)) / math.log(200), math.log1p(len(words)) / 10, sum(map(len, words)) / max(1, len(words)) / 10, sum(c.isdigit() for c in text[:]) / chars if any(t.isdigit() for t in tokens) else 0.0, text.count("\n") / n]
-        ids, counts = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) & ((1 << FEATURE_BITS) - 1) for w in set(lowered) | {"\0" + t for t in tokens if not t[0].isalpha()}), np.int64), return_counts=True)
-        weights = np.ones(len(ids))
-    else:
-        shape[0] = 1.0
-        ids, weights = np.empty(0, np.int64), np.empty(0)
-    return np.concatenate([np.arange(_DENSE), ids + _DENSE]), np.concatenate([shape * 3, weights * 0.5])
+WORD_FEATURES = 400
+LEAST_CHI2 = 24.0
+RIDGE = 0.5
+
+
+def features(text: str | None) -> tuple[np.ndarray, set[str]]:
+    """The whole text's shape, in numbers of order one, and its distinct tokens in lower case."""
+    shape = np.zeros(9)
+    shape[0] = 1.0
+    if not text or not (tokens := _WORD.findall(text)):
+        return shape, set()
+    n, distinct = len(tokens), {t.lower() for t in set(tokens)}
+    letters = [t for t in tokens if t[0].isalpha()]
+    m = max(1, len(letters))
+    marks = [t for t in tokens if not t[0].isalnum()]
+    shape[1] = sum(t.isupper() and len(t) > 1 for t in letters) / m
+    shape[2] = len(marks) / n
+    shape[3] = sum(len(t) > 1 for t in marks) / n
+    shape[4] = (n - len(letters) - len(marks)) / n
+    shape[5] = len(distinct) / n
+    shape[6] = min(1.0, math.log1p(n) / 10)
+    shape[7] = sum(map(len, letters)) / m / 10
+    shape[8] = len(text.split("\n")) / n
+    return shape, distinct
 
 
 class Logistic:
-    """Weights of a logistic model over hashed features, fitted by AdaGrad with an L1 pull on words."""
+    """A ridge logistic model over the shape, its squares, and the presence of picked tokens."""
 
-    def __init__(self, weights: np.ndarray, offset: float):
-        self.weights, self.offset = weights, offset
+    def __init__(self, weights: np.ndarray, vocabulary: list[str], offset: float):
+        self.weights, self.vocabulary, self.offset = weights, vocabulary, offset
+        self.places = {w: 17 + k for k, w in enumerate(vocabulary)}
+        self.picked = set(vocabulary)
+
+    @staticmethod
+    def _dense(shape: np.ndarray) -> np.ndarray:
+        return np.concatenate([shape, shape[1:] ** 2])
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Logistic:
-        size = _DENSE + (1 << FEATURE_BITS)
-        share = (labels.sum() + 1) / (len(labels) + 2)
-        offset = math.log(share / (1 - share))
-        weights, seen = np.zeros(size), np.full(size, 1e-2)
-        # Words of fewer than three sample documents tell nothing about a class.
-        met = np.bincount(np.concatenate([i for i, _ in rows] or [np.empty(0, np.int64)]), minlength=size)
-        usable = met >= 3
-        balance = np.where(labels == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
-        rng = np.random.default_rng(7)
-        for _ in range(EPOCHS):
-            for k in rng.permutation(len(rows)):
-                ids, x = rows[k]
-                live = usable[ids]
-                ids, x = ids[live], x[live]
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, offset + float(weights[ids] @ x)))))
-                g = balance[k] * (p - labels[k]) * x + 2e-4 * np.sign(weights[ids])
-                seen[ids] += g * g
-                weights[ids] -= 0.2 * g / np.sqrt(seen[ids])
-        return cls(weights, offset)
-
-    def logit(self, row: tuple[np.ndarray, np.ndarray]) -> float:
-        ids, x = row
-        return max(-12.0, min(12.0, self.offset + float(self.weights[ids] @ x)))
+    def fit(cls, rows: list[tuple[np.ndarray, set[str]]], labels: np.ndarray) -> Logistic:
+        """Tokens are picked by the chi-squared statistic of their document counts in either class."""
+        positive, negative = Counter(), Counter()
+        for (_, distinct), y in zip(rows, labels):
+            (positive if y else negative).update(distinct)
+        n, p = len(labels), float(labels.sum())
+        scored = []
+        for word in positive.keys() | negative.keys():
+            a, b = positive[word], negative[word]
+            if a + b < 4 or not 0 < p < n:
+                continue
+            c, d = p - a, n - p - b
+            scored.append((n * (a * d - b * c) ** 2 / (p * (n - p) * (a + b) * max(c + d, 1e-9)), word))
+        vocabulary = [w for x, w in sorted(scored, key=lambda s: (-s[0], s[1]))[:WORD_FEATURES] if x >= LEAST_CHI2]
+        model = cls(np.zeros(17 + len(vocabulary)), vocabulary, 0.0)
+        x = np.zeros((n, 17 + len(vocabulary)))
+        for k, (shape, distinct) in enumerate(rows):
+            x[k, :17] = cls._dense(shape)
+            for word in distinct & model.picked:
+                x[k, model.places[word]] = 1.0
+        share = (p + 1) / (n + 2)
+        cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+        pull = np.full(x.shape[1], RIDGE)
+        pull[:17] = 0.05
+        weights = np.zeros(x.shape[1])
+        for _ in range(EPOCHS):  # Newton steps
+            fitted = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            slope = x.T @ (cost * (fitted - labels)) + pull * weights
+            bend = (x * (cost * np.maximum(fitted * (1 - fitted), 1e-6))[:, None]).T @ x + np.diag(pull)
+            step = np.linalg.solve(bend, slope)
+            weights = weights - step * min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
+            if np.abs(step).max() < 1e-6:
+                break
+        model.weights = weights
+        return model
+
+    def logit(self, row: tuple[np.ndarray, set[str]]) -> float:
+        shape, distinct = row
+        total = self.offset + float(self.weights[:17] @ self._dense(shape))
+        return max(-12.0, min(12.0, total + sum(self.weights[self.places[w]] for w in distinct & self.picked)))
 
 
 def fit_models(labelled: pd.DataFrame) -> tuple[Logistic, Logistic] | None:
@@ -105,7 +129,7 @@ def _score_task(models):
             for text in batch.column(0).to_pylist():
                 row = features(text)
                 good.append(fitted[0].logit(row) if fitted else 0.0)
-                bad.append(fitted[1].logit(row) if fitted else -12.0)
+                bad.append(fitted[1].logit(row) if fitted else -50.0)
             columns = [*batch.columns[1:], pa.array(good, pa.float64()), pa.array(bad, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "quality_logit", "toxic_logit"])
 
@@ -136,10 +160,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Colu
         rows = [*frames]
         models = fit_models(pd.concat(rows, ignore_index=True)) if rows else None
         if models:
-            yield pd.DataFrame({"k": [0, 1], "offset": [m.offset for m in models], "weights": [m.weights.astype("<f8").tobytes() for m in models]})
+            yield pd.DataFrame({"k": [0, 1], "vocabulary": [json.dumps(m.vocabulary) for m in models], "weights": [m.weights.astype("<f8").tobytes() for m in models]})
 
-    fitted = sample.coalesce(1).mapInPandas(fit, "k int, offset double, weights binary").orderBy("k").collect()
-    models = spark.sparkContext.broadcast(tuple(Logistic(np.frombuffer(bytes(r["weights"]), "<f8"), r["offset"]) for r in fitted) or None)
+    fitted = sample.coalesce(1).mapInPandas(fit, "k int, vocabulary string, weights binary").orderBy("k").collect()
+    models = spark.sparkContext.broadcast(tuple(Logistic(np.frombuffer(bytes(r["weights"]), "<f8"), json.loads(r["vocabulary"]), 0.0) for r in fitted) or None)
 
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     rows = docs.select(F.col("text").cast("string").alias("text"), row, F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
@@ -201,7 +225,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column | None = N
     host_mean = (F.col("host_sum") - own + F.col("host_strength") * F.col("global_mean")) / (F.col("host_n") - 1 + F.col("host_strength"))
     path_mean = (F.col("path_sum") - own + F.col("path_strength") * host_mean) / (F.col("path_n") - 1 + F.col("path_strength"))
     final = _logit(own) + SITE_WEIGHT * (_logit(path_mean) - _logit(F.col("global_mean")))
-    kept = (_sigmoid(final) >= 0.5) & (F.col("toxic_logit") < 0) & (F.col("quality_logit") >= 0)
+    kept = (_sigmoid(final) >= 0.5 - 1e-9) & (F.col("toxic_logit") < 0) & (F.col("quality_logit") >= 0)
     return d.select("row", "host", "path", own.alias("doc_score"), host_mean.alias("host_posterior"), path_mean.alias("path_posterior"), _sigmoid(final).alias("quality_score"), kept.alias("kept"), "quality_logit", "toxic_logit")
 
 

@@ -463,7 +463,7 @@ def test_schedule_inversion(spark):
 
 
 def test_mix_edges(spark, edge, empty):
-    got = curriculum_mix.curriculum_mix(edge.drop("mix")).collect()
+    got = curriculum_mix.curriculum_mix(edge).collect()
     assert len(got) == len(EDGE) and {r["mix"]["source_size"] for r in got if r["source"] is None} == {0}
     assert curriculum_mix.curriculum_mix(empty).count() == 0
     assert curriculum_mix.mixture(empty).columns == empty.columns
