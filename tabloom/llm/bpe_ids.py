@@ -12,15 +12,16 @@ from __future__ import annotations
 import functools
 import json
 import os
+import sys
+from array import array
 
 import numpy as np
 import regex
 
 from .common import TwoGenerations
 
-MEMO_CHUNKS = 350_000
-MEMO_PIECES = 150_000
-SPACE_BYTE = 0x20
+MEMO_CHUNKS = 600_000
+MEMO_PIECES = 300_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -45,22 +46,32 @@ class ChunkEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 0x10000 else "<u4")
         self.split = regex.compile(pattern).findall
-        self.table = {chr(b): c for b, c in byte_alphabet().items()}
-        self.table = str.maketrans(self.table)
+        alphabet = byte_alphabet()
+        self.table, self.space = str.maketrans({chr(b): c for b, c in alphabet.items()}), alphabet[0x20]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pieces = TwoGenerations(self._piece, MEMO_PIECES)
         self.chunks = TwoGenerations(self._chunk, MEMO_CHUNKS)
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece.encode("utf-8").decode("latin-1").translate(self.table)
         return self._pack([t.id for t in self.model.tokenize(mapped)])
 
+    def _word(self, word: str) -> bytes:
+        """Letters after a space."""
+        if word.isascii():  # ASCII letters stand for themselves
+            return self._pack([t.id for t in self.model.tokenize(self.space + word)])
+        return self._piece(" " + word)
+
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a chunk with the space before it."""
         if chunk.isalpha():
-            return self._piece(" " + chunk)
+            return self._word(chunk)
         stem = chunk[:-1]
         if stem.isalpha() and chunk[-1] in ".,!?;:":
             return self.pieces[" " + stem] + self.pieces[chunk[-1]]

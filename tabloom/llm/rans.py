@@ -1,6 +1,6 @@
 """Static range asymmetric numeral system over token ids, and its shard file format.
 
-One frequency table, quantised to 2**20 and shared by all shards, drives the coder.  Ids are
+One frequency table, quantised to 2**18 and shared by all shards, drives the coder.  Ids are
 cut into blocks; a block has LANES interleaved states that are independent of each other and of
 every other block, so any block can be decoded alone.  Many blocks are coded at once with numpy.
 
@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"RANSTOK1"
-SCALE_BITS = 20
+SCALE_BITS = 18
 LANES = 32
 BLOCK = 1 << 15
 LOW = np.uint64(1 << 31)
@@ -29,7 +29,7 @@ _MASK32 = np.uint64(0xFFFFFFFF)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    """Frequencies that sum to 2**20, at least 1 for every id, in proportion to the counts."""
+    """Frequencies that sum to 2**SCALE_BITS, at least 1 for every id, in proportion to the counts."""
     counts = np.asarray(counts, np.float64)
     total = 1 << SCALE_BITS
     if len(counts) >= total:
@@ -48,7 +48,7 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(freq, dtype=np.uint64)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
 
 
 def _steps(ids: np.ndarray, blocks: int) -> np.ndarray:
