@@ -451,7 +451,7 @@ class XlsxDataSource(DataSource):
         options = {k.lower(): v for k, v in self.options.items()}
         if "path" not in options:
             raise SheetError("IO_ERROR", "no path is given")
-        return options | {k: options[k.lower()] for k in () if k.lower() in options}
+        return options
 
     def schema(self) -> StructType:
         o = self._options()
@@ -489,4 +489,5 @@ def register(spark: SparkSession) -> None:
     from ..cluster import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # row ranges reach the reader
     spark.dataSource.register(XlsxDataSource)
