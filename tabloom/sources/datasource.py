@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from ..errors import SheetError
@@ -415,31 +415,32 @@ def _chunks(path: str) -> Iterator[bytes]:
             yield chunk
 
 
-class XlsxStreamReader(SimpleDataSourceStreamReader):
-    """Follows a folder: every new workbook is read once, in the order of names."""
+class XlsxStreamReader(DataSourceStreamReader):
+    """Follows a folder: every new workbook is read once, a task for each.
+
+    An offset is the time and name of the last workbook in order of both; what is put into the
+    folder later must be newer, as it is when finished files are moved there.
+    """
 
     def __init__(self, options: dict, schema: StructType):
         self.options, self.schema = options, schema
 
-    def initialOffset(self) -> dict:
-        return {"seen": 0}
+    def _files(self) -> list[tuple[int, str]]:
+        return sorted((os.stat(f).st_mtime_ns, f) for f in find_files(self.options["path"]) if os.path.exists(f))
 
-    def _files(self) -> list[str]:
-        found = [f for f in find_files(self.options["path"]) if os.path.exists(f)]
-        return sorted(found, key=lambda f: (os.path.getmtime(f), f))
+    def initialOffset(self) -> dict:
+        return {"time": 0, "name": ""}
 
-    def _read(self, files: list[str]) -> Iterator[tuple]:
-        for path in files:
-            reader = XlsxReader(self.options | {"path": path}, self.schema)
-            for batch in reader.read(SheetPartition(path, -1)):
-                yield from zip(*(c.to_pylist() for c in batch.columns))
+    def latestOffset(self) -> dict:
+        found = self._files()
+        return {"time": found[-1][0], "name": found[-1][1]} if found else self.initialOffset()
 
-    def read(self, start: dict):
-        files = self._files()[start["seen"] : start["seen"] + _number(self.options, "maxfilespertrigger", 1000)]
-        return self._read(files), {"seen": start["seen"] + len(files)}
+    def partitions(self, start: dict, end: dict) -> Sequence[SheetPartition]:
+        low, high = (start["time"], start["name"]), (end["time"], end["name"])
+        return [SheetPartition(f, -1) for t, f in self._files() if low < (t, f) <= high]
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return self._read(self._files()[start["seen"] : end["seen"]])
+    def read(self, partition: SheetPartition) -> Iterator[pa.RecordBatch]:
+        return XlsxReader(self.options, self.schema).read(partition)
 
 
 class XlsxDataSource(DataSource):
@@ -480,7 +481,7 @@ class XlsxDataSource(DataSource):
             raise SheetError("WRITER_STATE", "a workbook is replaced as a whole: use mode('overwrite')")
         return XlsxWriter(o, schema)
 
-    def simpleStreamReader(self, schema: StructType) -> XlsxStreamReader:
+    def streamReader(self, schema: StructType) -> XlsxStreamReader:
         return XlsxStreamReader(self._options(), schema)
 
 
