@@ -78,7 +78,7 @@ def number_text(x: float) -> str:
     """The shortest decimal text that reads back the same, as spreadsheets write it."""
     if x == 0:
         return "0"
-    if x == int(x) and abs(x) < 1e21:
+    if isinstance(x, int) or x == int(x) and abs(x) < 2**53:
         return str(int(x))
     text = repr(float(x))
     if "e" in text:
@@ -86,10 +86,14 @@ def number_text(x: float) -> str:
         p = int(power)
         if -7 <= p < 0:
             sign, digits = ("-", digits[1:]) if digits[0] == "-" else ("", digits)
-            return f"{sign}0.{'0' * (-p - 1)}{digits.replace('.', '')}"
+            return f"{sign}0.{'0' * (-p - 1)}{digits.replace('.', '').rstrip('0') if digits.endswith('.0') else digits.replace('.', '')}"
         digits = digits.removesuffix(".0")
+        if 0 < p < 21:
+            sign, digits = ("-", digits[1:]) if digits[0] == "-" else ("", digits)
+            whole, _, part = digits.partition(".")
+            return f"{sign}{whole}{part.ljust(p, '0')}"
         return f"{digits}E{'+' if p > 0 else '-'}{abs(p)}"
-    return text
+    return text.removesuffix(".0")
 
 
 def general_text(x: float) -> str:

@@ -296,10 +296,13 @@ class _Rows(Handler):
             if "<!" in held:
                 break
             *rows, held = held.split("</row>")
-            for row in rows:
+            apart = next((k for k, row in enumerate(rows) if "heetData" in row[:200]), None)
+            for row in rows if apart is None else rows[:apart]:
                 for made in self._plain(row):
                     given += 1
                     yield made
+            if apart is not None:
+                break
             if held.lstrip().startswith("</sheetData>"):
                 # Another sheetData element would go on; that is rare, and the parser knows it.
                 rest = held + "".join(texts)
@@ -325,8 +328,9 @@ class _Rows(Handler):
             yield self.number, []
             row = row[m.end() :]
         m = _ROW.match(row)
-        if not m:
-            raise SheetError("XML_MALFORMED", "a row does not begin")
+        if not m:  # what isn't of the plain form, such as other quotes, is the parser's
+            yield from self._alone(row + "</row>")
+            return
         attributes, rest = dict(_ATTRIBUTE.findall(m[1])), row[m.end() :]
         found = _CELL.findall(rest)
         if rest.count("<c") != len(found) or rest.count("<f") or rest.count("<") != self._tags(rest) or any(not v and not i and 'tr"' in told for told, v, i in found):
