@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,17 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("tabloom", os.path.relpath(full, here)))
     context.addPyFile(path)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """The URI of a fresh place in the folder that the cluster shares (``spark.checkpoint.dir``).
+
+    Only a local session may go without that setting: there driver and executors are one process.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tabloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"

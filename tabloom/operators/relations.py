@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..cluster import shared_folder
 from ..functions.columns import same_number, utf16_units
 
 KEYS = ["sheet", "row_index", "col_index"]
@@ -73,7 +74,10 @@ def dictionary(values: DataFrame, value: str, position: str) -> DataFrame:
 def number_in_order(d: DataFrame, by: str, name: str, parts: int | None = None) -> DataFrame:
     """Numbers rows from 0 in the order of ``by`` without one task for all of them."""
     n = parts or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = d.repartitionByRange(n, by).withColumn("part__", F.spark_partition_id())
+    # Written once: a partition's number must be the same for its rows and for its count.
+    path = shared_folder(d.sparkSession, "ordered")
+    d.repartitionByRange(n, by).withColumn("part__", F.spark_partition_id()).write.parquet(path)
+    placed = d.sparkSession.read.parquet(path)
     counts = placed.groupBy("part__").agg(F.count("*").alias("n__"))
     before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("part__"), F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("offset__"))

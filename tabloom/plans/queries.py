@@ -52,8 +52,8 @@ def xlsx_roundtrip_events(spark, sf):
     round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def xlsx_pricing_summary(spark, sf):
-    """The flagship: line items written as a workbook in parallel, scanned back and aggregated."""
-    d = round_trip(table(spark, sf, "lineitem"))
+    """The flagship: line items written as workbooks in parallel, scanned back and aggregated."""
+    d = round_trip(table(spark, sf, "lineitem").repartition(spark.sparkContext.defaultParallelism), layout="folder")
     return d.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
         F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
@@ -263,7 +263,7 @@ def sniff_formats(spark, sf):
 # Relations
 
 
-@query("SELECT count(*) AS \"references\", count(DISTINCT l_returnflag || l_linestatus || l_quantity) AS unique_count, (SELECT sum(length(t)) FROM (SELECT DISTINCT l_returnflag || l_linestatus || l_quantity AS t FROM lineitem)) AS chars FROM lineitem")
+@query("SELECT count(*) AS \"references\", count(DISTINCT l_returnflag || l_linestatus || l_quantity) AS unique_count, (SELECT sum(length(t)) FROM (SELECT DISTINCT l_returnflag || l_linestatus || l_quantity AS t FROM lineitem))::BIGINT AS chars FROM lineitem")
 def dictionary_stats(spark, sf):
     text = F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("string"))
     return R.dictionary_stats(table(spark, sf, "lineitem").select(text.alias("t")), "t").select("references", "unique_count", "chars")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
+from ..cluster import shared_folder
 from ..errors import SheetError
 from ..sources.container import Limits
 from ..sources.datasource import find_files, open_source, register
@@ -22,13 +22,7 @@ FORMAT = "tabloom.xlsx"
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     register(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tabloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.removeprefix('file://').removeprefix('file:').rstrip('/')}/books-{uuid.uuid4().hex[:12]}"
+    path = shared_folder(spark, "books").removeprefix("file://").removeprefix("file:")
     os.makedirs(path, exist_ok=True)
     return path
 

@@ -12,9 +12,10 @@ Options of a read:
 - ``pathColumn``: adds ``_path`` and ``_sheet``; ``date1904``: true or false, in place of the workbook's word
 - ``maxInflatedBytes``, ``maxTextLength``, ``maxRowChars``, ``maxSharedStringChars``, ``maxEntries``, ``maxXmlDepth``
 
-Writing (overwrite only): every partition packs its rows into a segment of the one sheet; the
-commit joins the segments in partition order, so sort the frame first if order matters.  Options:
-``sheet``, ``header`` (default true), ``date1904``, ``compressionLevel``, ``overlong``, ``suffix``,
+Writing (overwrite only), ``layout`` ``file`` (the default): every partition packs its rows into a
+segment of the one sheet; the commit joins the segments in partition order, so sort the frame
+first if order matters.  ``layout`` ``folder``: every partition writes workbooks of its own, of at most
+a sheet's rows each, into a folder; they are read back in parallel.  Other options: ``sheet``, ``header`` (default true), ``date1904``, ``compressionLevel``, ``overlong``, ``suffix``,
 ``freezeHeader``, ``autoFilter``, ``zip64``.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from ..errors import SheetError
-from ..functions.cells import MAX_COLUMNS, format_ref, general_text, iso_text, number_text
+from ..functions.cells import MAX_COLUMNS, MAX_ROWS, format_ref, general_text, iso_text, number_text
 from .container import Limits, Packed, PartPacker
 from .workbook import Cell, Workbook
 from .writer import CellWriter, Options, Sheet, Shared, Styles, WorkbookWriter
@@ -350,9 +351,35 @@ class XlsxWriter(DataSourceWriter):
         o = self.options
         return Options(d1904=_flag(o, "date1904"), level=_number(o, "compressionlevel", 1), overlong=o.get("overlong", "truncate"), suffix=o.get("suffix", ""), zip64=_flag(o, "zip64"))
 
+    def _folder_part(self, rows: Iterator) -> Segment:
+        """Whole workbooks of this partition's rows, under names that a second attempt doesn't share."""
+        from itertools import chain, islice
+
+        from pyspark import TaskContext
+
+        context, made, o = TaskContext.get(), self._options(), self.options
+        header = [self.schema.names] if _flag(o, "header", True) else []
+        files, total, truncated = 0, 0, 0
+        stem = f"{self.folder}/{context.partitionId()}-{context.taskAttemptId()}"
+        while files == 0 or (first := next(rows, None)) is not None:
+            if files == 0:
+                first = next(rows, None)
+                if first is None and context.partitionId() > 0:
+                    break
+            records = chain([first], islice(rows, MAX_ROWS - len(header) - 1)) if first is not None else iter(())
+            with open(f"{stem}-{files}", "wb") as out:
+                book = WorkbookWriter(out.write, made)
+                sheet = Sheet(o.get("sheet", "Sheet1"), freeze=(1, 0) if _flag(o, "freezeheader") else None, auto_filter=_flag(o, "autofilter"))
+                total += book.add(sheet, chain(header, (tuple(r) for r in records)))["rows"] - len(header)
+                truncated += book.close()["truncated"]
+            files += 1
+        return Segment(context.partitionId(), stem, files, 0, 0, total, truncated)
+
     def write(self, rows: Iterator) -> Segment:
         from pyspark import TaskContext
 
+        if self.options.get("layout") == "folder":
+            return self._folder_part(rows)
         made, n, styles = self._options(), 0, Styles()
         _date_style(styles, made)
         cells = CellWriter(made, styles, Shared("inline"))
@@ -376,6 +403,19 @@ class XlsxWriter(DataSourceWriter):
         parts, made = sorted((m for m in messages if m is not None), key=lambda m: m.partition), self._options()
         names, o = self.schema.names, self.options
         header = _flag(o, "header", True)
+        if o.get("layout") == "folder":
+            ready = f"{self.folder}/ready"
+            os.makedirs(ready)
+            for m in parts:
+                for k in range(m.packed):
+                    os.replace(f"{m.path}-{k}", f"{ready}/part-{m.partition:05d}-{k}.xlsx")
+            if os.path.isdir(self.path):
+                shutil.rmtree(self.path)
+            elif os.path.exists(self.path):
+                os.unlink(self.path)
+            os.replace(ready, self.path)
+            shutil.rmtree(self.folder, ignore_errors=True)
+            return
         temporary = f"{self.folder}/workbook"
         with open(temporary, "wb") as out:
             book = WorkbookWriter(out.write, made)

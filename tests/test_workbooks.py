@@ -299,6 +299,17 @@ def test_parallel_write_keeps_order(spark):
         save(d.select(F.array("id").alias("a")), f"{path}.2")
 
 
+def test_folder_of_workbooks(spark):
+    import os
+
+    d = spark.range(1000).select("id", F.concat(F.lit("t"), "id").alias("t")).repartition(3, "id")
+    path = f"{scratch(spark)}/books"
+    save(d, path, layout="folder")
+    assert len(os.listdir(path)) == 3 and sorted(r["id"] for r in load(spark, path, d.schema).collect()) == [*range(1000)]
+    save(d.where("id < 0"), path, layout="folder")
+    assert load(spark, path, d.schema).count() == 0
+
+
 def test_empty_frames(spark):
     d = spark.createDataFrame([], "a long, b string")
     assert round_trip(d).count() == 0
