@@ -82,9 +82,9 @@ def source_targets(sizes: DataFrame, schedules: Sequence, total_share: float = 1
     return d.select("source", "turn", "rows", "source_size", "target")
 
 
-def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share: float = 1.5, most: float = 2.0, seed: int = 42, carry: Sequence[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with a new column, the struct ``mix``: its part in the mixture.  A column of
-    that name is replaced.
+    that name is replaced.  Columns not in ``carry``, if that is given, stay behind.
 
     ``docs`` has doc_id, source and text, and any other columns, which stay as they are.
     ``mix`` holds size (words; 0 for a null text), source_size, target, copies, taken (words,
@@ -104,7 +104,7 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
         check_schedule(knots)
     if most != int(most) or total_share > most:
         raise ValueError("most is a whole number, and at least the total share")
-    names = docs.columns
+    names = list(carry or docs.columns)
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     d = docs.select(row, F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("h"), F.xxhash64(F.lit(seed), "text").alias("h2"))
 
@@ -157,6 +157,6 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     """The training sequence: a row per copy with its columns, range-sorted by training position."""
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    mixed = curriculum_mix(docs.select("doc_id", "source", "text", row), **options)
+    mixed = curriculum_mix(docs.select("doc_id", "source", "text", row), carry=["doc_id", "row"], **options)
     mixed = mixed.select("row", "doc_id", F.explode("mix.positions").alias("position"))
     return mixed.orderBy("position", F.xxhash64(F.col("doc_id").cast("string"))).select(*[F.col(f"row.`{c}`").alias(c) for c in names])

@@ -79,7 +79,7 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum_mix(table(spark, sf_dir, "documents"))
+    mixed = curriculum_mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", F.element_at(F.when(F.size("mix.positions") > 0, F.col("mix.positions")), 1).alias("first_position"))
 
 
