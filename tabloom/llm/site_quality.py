@@ -34,11 +34,12 @@ MIN_STRENGTH = 5.0
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
 WORD_FEATURES = 400
 LEAST_CHI2 = 24.0
+PREFIX = 4
 RIDGE = 0.5
 
 
 def features(text: str | None) -> tuple[np.ndarray, set[str]]:
-    """The whole text's shape, in numbers of order one, and its distinct tokens in lower case."""
+    """The whole text's shape, in numbers of order one, and its distinct tokens and their first letters."""
     shape = np.zeros(9)
     shape[0] = 1.0
     if not text or not (tokens := _WORD.findall(text)):
@@ -55,7 +56,7 @@ def features(text: str | None) -> tuple[np.ndarray, set[str]]:
     shape[6] = min(1.0, math.log1p(n) / 10)
     shape[7] = sum(map(len, letters)) / m / 10
     shape[8] = len(text.split("\n")) / n
-    return shape, distinct
+    return shape, distinct | {"^" + w[:PREFIX] for w in distinct if len(w) > PREFIX}
 
 
 class Logistic:
