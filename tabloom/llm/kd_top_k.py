@@ -34,7 +34,6 @@ class Tree:
         order = np.argsort(ids, kind="stable")
         self.vectors, self.ids = vectors[order], ids[order]
         self.low, self.high, self.children, self.rows = [], [], [], []
-        self.exact = len(vectors) and float(np.abs(vectors).max()) ** 2 * vectors.shape[1] < 2**52
         if len(ids):
             self._build(np.arange(len(ids)))
         self.low, self.high = np.array(self.low), np.array(self.high)
@@ -115,11 +114,11 @@ def _searcher(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best vectors by inner product, but its own.
 
-    Both tables have id (long) and v (array of whole numbers).  Rows with a null id or vector, or a
-    null or non-finite component, take no part, nor do vectors of another length than the query
-    set's most common one allows to score: all vectors are expected to be of one length, and rows
-    of another length than the longest are left out.  Ties go to the smaller id.  Ids are taken as
-    unique; rows that share an id with the query are its own.  Fewer than k others give fewer rows.
+    Both tables have id (long) and v (array of whole numbers).  Rows with a null id or an empty
+    vector, or with a null or non-finite component, take no part, nor do vectors shorter than the
+    longest one.  Ties go to the smaller id.  Rows that share an id with the query are its own and
+    are left out; other ids are taken as unique.  Fewer than k others give fewer rows, an empty
+    table none.  Other columns aren't looked at.
     """
     spark = vectors.sparkSession
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
