@@ -118,16 +118,11 @@ _NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
 
 def parse_number(text: str) -> float | str | None:
     """A cell's number; None if blank; the text itself if it is no finite decimal number."""
-    if not text.strip():
-        return None
-    try:
-        if _NUMBER.fullmatch(text):
-            x = float(text)
-            if math.isfinite(x):
-                return x + 0.0 if x else 0.0
-    except ValueError:
-        pass
-    return text
+    if _NUMBER.fullmatch(text):
+        x = float(text)
+        if -1.7976931348623157e308 <= x <= 1.7976931348623157e308:
+            return x or 0.0
+    return text if text.strip() else None
 
 
 def from_serial(x: float, d1904: bool = False) -> dt.datetime | None:

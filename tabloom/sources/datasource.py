@@ -263,7 +263,7 @@ class XlsxReader(DataSourceReader):
         place = dict(zip(bound.names, bound.columns))
         width = len(self.schema.fields) - len(extra)
         wanted = [(place.get(f.name), f.dataType) for f in self.schema.fields[:width]]
-        where = {c: (k, t) for k, (c, t) in enumerate(wanted) if c is not None}
+        where = {c: (k, t, _PLAIN.get(t.typeName())) for k, (c, t) in enumerate(wanted) if c is not None}
         default, no_errors = o.get("defval"), o.get("errors") == "null"
         empty = [None if default is None else _typed(Cell("s", default), t) for _, t in wanted]
         blank, before = _flag(o, "blankrows"), bound.first_row - 1
@@ -276,8 +276,9 @@ class XlsxReader(DataSourceReader):
                 yield from ((*empty, *extra) for _ in range(before + 1, number))
             before, out = number, list(empty)
             for c, cell, _ in cells:
-                if spot := where.get(c):
-                    out[spot[0]] = _typed(cell, spot[1])
+                if (spot := where.get(c)) is not None:
+                    k, kind, plain = spot
+                    out[k] = cell.value if cell.kind == plain and cell.formula is None else _typed(cell, kind)
             yield (*out, *extra)
 
 
@@ -291,6 +292,10 @@ def pick_sheet(book: Workbook, options: dict):
         raise
 
 
+#: The kind of cell whose value a column of the type takes as it is.
+_PLAIN = {"string": "s", "double": "n", "boolean": "b", "timestamp_ntz": "d"}
+
+
 def _struct(cell: Cell) -> tuple:
     k, v = cell.kind, cell.value
     return k, v if k == "s" else None, v if k == "n" else None, v if k == "b" else None, v if k == "d" else None, v if k == "e" else None, cell.formula

@@ -245,8 +245,8 @@ class Workbook:
         return 0
 
 
-# What most writers produce: attributes r, s and t in any order, then v or one inline text.
-_CELL = re.compile(r'<c((?:\s+[a-z]+="[^"<&]*")*)\s*(?:/>|>(?:<v>([^<]*)</v>|<is><t(?:\s+xml:space="preserve")?>([^<]*)</t></is>)?</c>)')
+# What most writers produce: attributes r, s and t in this order, then v or one inline text.
+_CELL = re.compile(r'<c(?:\s+r="([A-Z]{1,3})[0-9]{1,7}")?(?:\s+s="([0-9]{1,9})")?(?:\s+t="([a-zA-Z]+)")?\s*(?:/>|>(?:<v>([^<]*)</v>|<is><t(?:\s+xml:space="preserve")?>([^<]*)</t></is>)?</c>)')
 _ROW = re.compile(r'\s*<row((?:\s+[\w:]+="[^"<]*")*)\s*>')
 _EMPTY_ROW = re.compile(r'\s*<row((?:\s+[\w:]+="[^"<]*")*)\s*/>')
 _ATTRIBUTE = re.compile(r'([\w:]+)="([^"]*)"')
@@ -331,50 +331,41 @@ class _Rows(Handler):
         if not m:  # what isn't of the plain form, such as other quotes, is the parser's
             yield from self._alone(row + "</row>")
             return
-        attributes, rest = dict(_ATTRIBUTE.findall(m[1])), row[m.end() :]
+        rest = row[m.end() :]
         found = _CELL.findall(rest)
-        if rest.count("<c") != len(found) or rest.count("<f") or rest.count("<") != self._tags(rest) or any(not v and not i and 'tr"' in told for told, v, i in found):
+        if rest.count("<c") != len(found) or "<f" in rest or rest.count("<") != self._tags(rest) or 'tr"' in rest and any(not v and not i and kind in ("inlineStr", "str") for _, _, kind, v, i in found):
             yield from self._alone(row + "</row>")
             return
-        self._begin_row(attributes)
-        cells, column, refs, dates = [], -1, self.refs, self.book.dates
-        for told, v, inline in found:
-            kind = style = ref = ""
-            if told:
-                for name, value in _ATTRIBUTE.findall(told):
-                    if name == "r":
-                        ref = value
-                    elif name == "t":
-                        kind = value
-                    elif name == "s":
-                        style = value
-            column = self._column(ref, column)
+        self._begin_row(dict(_ATTRIBUTE.findall(m[1])))
+        cells, column, known, dates, serials, d1904 = [], -1, self.refs, self.book.dates, self.serials, self.book.d1904
+        for letters, style, kind, v, inline in found:
+            column = known.get(letters, -1) if letters else column + 1
+            if column < 0 or column >= self.max_columns:
+                column = known[letters] = self._column(letters, column)
+            k = int(style) if style else 0
             if kind == "inlineStr":
                 if "\r" in inline:
                     inline = inline.replace("\r\n", "\n").replace("\r", "\n")
                 text = _ENTITY.sub(_entity, inline) if "&" in inline else inline
                 self._check(text)
-                cells.append((column, Cell("s", decode_text(text)), int(style) if style.isdigit() else 0))
+                cells.append((column, Cell("s", decode_text(text) if "_x" in text else text), k))
                 continue
-            if v == "":
+            if not v:
                 continue
-            if kind in ("", "n"):
+            if not kind or kind == "n":
                 x = parse_number(v)
-                if x is None:
-                    continue
-                k = int(style) if style.isdigit() else 0
-                if isinstance(x, str):
+                if x.__class__ is float:
+                    if k and k < len(dates) and dates[k] and not serials and (t := from_serial(x, d1904)) is not None:
+                        cells.append((column, Cell("d", t), k))
+                    else:
+                        cells.append((column, Cell("n", x), k))
+                elif x is not None:
                     cells.append((column, Cell("s", x), k))
-                elif k < len(dates) and dates[k] and not self.serials:
-                    t = from_serial(x, self.book.d1904)
-                    cells.append((column, Cell("n", x) if t is None else Cell("d", t), k))
-                else:
-                    cells.append((column, Cell("n", x), k))
                 continue
             if "&" in v:
                 v = _ENTITY.sub(_entity, v)
-            if (cell := self._value(kind, v, style, ref or "")) is not None:
-                cells.append((column, cell, int(style) if style.isdigit() else 0))
+            if (cell := self._value(kind, v, style, letters and f"{letters}{self.number}")) is not None:
+                cells.append((column, cell, k))
         yield self.number, self._latest(cells)
 
     @staticmethod
@@ -413,16 +404,11 @@ class _Rows(Handler):
         self.chars = 0
 
     def _column(self, ref: str, before: int) -> int:
-        column = self.refs.get(ref)
-        if column is None:
-            letters = ref.rstrip("0123456789").lstrip("$")
-            column = column_index(letters.rstrip("$"))
-            if column < 0:
-                if ref and re.fullmatch(r"[A-Z]{3,}\d+", ref):
-                    raise SheetError("ROW_OUT_OF_RANGE", f"{ref} lies past the last column")
-                column = before + 1
-            elif len(self.refs) < 100_000:
-                self.refs[ref] = column
+        column = column_index(ref.rstrip("0123456789").strip("$"))
+        if column < 0:
+            if re.fullmatch(r"[A-Z]{3,}\d*", ref):
+                raise SheetError("ROW_OUT_OF_RANGE", f"{ref} lies past the last column")
+            column = before + 1
         if column >= self.max_columns:
             raise SheetError("LIMIT_EXCEEDED", f"column {column + 1} is past the limit of {self.max_columns}", limit="columns")
         return column
@@ -464,7 +450,7 @@ class _Rows(Handler):
         if isinstance(x, str):
             return Cell("s", x)
         k = int(style) if style.isdigit() else 0
-        if k < len(self.book.dates) and self.book.dates[k] and not self.serials and (t := from_serial(x, self.book.d1904)):
+        if k < len(self.book.dates) and self.book.dates[k] and not self.serials and (t := from_serial(x, self.book.d1904)) is not None:
             return Cell("d", t)
         return Cell("n", x)
 
