@@ -11,7 +11,7 @@ buckets' rows over all its bands, so the text that the others are edits of.  Lin
 component need no comparison, since the result is the components.  What can still be missing are
 links of members outside their hub's component; those meet all members of that hub's buckets in
 blocks of bounded size, where pairs of different components whose signatures agree in at least
-AGREE of 128 values (fewer have a chance below 1e-7 at similarity 0.8) are confirmed on the full
+AGREE of 128 values (fewer have a chance of 2e-7 at similarity 0.8) are confirmed on the full
 sets, unless links found in the block connect them already.
 """
 

@@ -222,6 +222,8 @@ def brute_leaks(texts, items, least=0.8):
             if not p or not q:
                 continue
             n = min(len(q), len(p))
+            if not {*simhash_decontam.shingle_list(q)} & {x for w in {min(5, len(q)), min(5, n)} for x in simhash_decontam.shingle_list(p, w)}:
+                continue  # without a common shingle the similarity is 0
             if any(simhash_decontam.weighted_similarity(simhash_decontam.shingle_list(q), simhash_decontam.shingle_list(p[s : s + n])) >= least for s in range(len(p) - n + 1)):
                 out.add((d, i))
     return out
