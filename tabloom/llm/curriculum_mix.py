@@ -8,7 +8,8 @@ of the cumulative demand ``d`` trains at the time at which the integral reaches
 
 No source is sorted in one task: documents fall into hash buckets per source (of 256 rows, or
 sqrt(rows) of them for large sources),
-sums over buckets give each bucket's offset, and windows run within a bucket only.
+sums over buckets give each bucket's offset, and windows run within a bucket only.  What is gathered
+of a source is the count of its documents of each size.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 20_000
-FILL_ROUNDS = 2
 BUCKET_ROWS = 256
 #: Weight schedules that sources take in turn: (time, weight) knots.  Their integrals are 5, 2 and 1.
 SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)), ((0.0, 0.5), (1.0, 1.5)))
@@ -82,6 +84,19 @@ def source_targets(sizes: DataFrame, schedules: Sequence, total_share: float = 1
     return d.select("source", "turn", "rows", "source_size", "target")
 
 
+def _fill(rest: Column, done: Column, spares: Column) -> Column:
+    """(size, n, start) of the spare documents that fill a source's rest: as many of each size as
+    fit, from the longest downwards.  ``start`` is where the first of them lies in the rest."""
+    none = F.struct(done.cast("long").alias("done"), F.array().cast("array<struct<size:bigint,n:bigint,start:bigint>>").alias("picks"))
+
+    def step(made: Column, spare: Column) -> Column:
+        n = F.least(spare["n"], F.floor((rest - made["done"]) / spare["size"]))
+        one = F.struct(spare["size"].alias("size"), n.cast("long").alias("n"), made["done"].alias("start"))
+        return F.when(n > 0, F.struct((made["done"] + n * spare["size"]).cast("long").alias("done"), F.concat(made["picks"], F.array(one)).alias("picks"))).otherwise(made)
+
+    return F.aggregate(F.reverse(F.array_sort(spares)), none, step, lambda made: made["picks"])
+
+
 def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share: float = 1.5, most: float = 2.0, seed: int = 42, carry: Sequence[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with a new column, the struct ``mix``: its part in the mixture.  A column of
     that name is replaced.  Columns not in ``carry``, if that is given, stay behind.
@@ -94,9 +109,9 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
     the schedules in turn.  All together they get ``total_share`` of all words; none gets more
     than ``most`` (a whole number) times its size, the excess goes to the others by weight.
     Whole documents are taken: each ``floor(target / size)`` times, and once more in hash order
-    until the rest of the target is met; in the bucket where that happens the longest documents
-    that fit come first, and shorter ones then fill what is left, so a source misses its target by
-    less than a short document.  No row is taken more than ``most`` times.  Rows of no words are never taken unless a
+    until the rest of the target is met; those longer than the rest are passed over.  What is left
+    then is filled with other documents of the source, the longest that fit first, so a source
+    misses its target by less than the shortest document not taken once more.  No row is taken more than ``most`` times.  Rows of no words are never taken unless a
     whole pass is, which takes nothing from them.  Order depends on values alone, never on
     partitions: reruns agree.  An empty table gives an empty one.
     """
@@ -107,41 +122,64 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
     names = list(carry or docs.columns)
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     d = docs.select(row, F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("h"), F.xxhash64(F.lit(seed), "text").alias("h2"))
+    bare = cut(d.select("source", "size", "h", "h2"), "sizes")  # the sums below take no second look at the texts
 
-    sizes = d.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
+    sizes = bare.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, schedules, total_share, most)
     # Few sources are broadcast, after a check; more of them are joined by a shuffle.
     few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     known = targets.withColumn("buckets", F.least(F.ceil(F.sqrt("rows")), F.ceil(F.col("rows") / BUCKET_ROWS))).withColumn("full", F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12))
-    known = known.withColumn("rest", F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0))).withColumnRenamed("source", "s")
-    d = d.join(F.broadcast(known) if few else known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    d = d.withColumn("bucket", F.pmod(F.col("h"), F.col("buckets")))
+    known = known.withColumn("rest", F.when(F.col("full") < most, F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0))).otherwise(0.0))
+
+    def of_source(rows: DataFrame, by: DataFrame) -> DataFrame:
+        by = by.withColumnRenamed("source", "s")
+        return rows.join(F.broadcast(by) if few else by, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    def in_buckets(rows: DataFrame) -> DataFrame:
+        return of_source(rows, known).withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).withColumn("able", (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
+
+    able_size = F.when(F.col("able"), F.col("size")).otherwise(0)
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(along), F.lit(0)))
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_size", "bucket_start")
-    d = d.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-
-    # Buckets before the rest's end are taken whole; in the one that holds it, what fits goes first.
-    want = F.col("rest") - F.col("bucket_start")
-    split = (want > 0) & (want < F.col("bucket_size"))
-    first = F.when(split & (F.col("size") <= want), -F.col("size")).when(split, F.lit(1)).otherwise(F.lit(0))
-    within = Window.partitionBy("source", "bucket").orderBy(first, "h", "h2").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.withColumn("extra", F.when(want <= 0, False).when(~split, True).otherwise((F.col("start") + F.col("size") <= want) & (F.col("size") > 0)))
-    bucket = Window.partitionBy("source", "bucket")
-    for _ in range(FILL_ROUNDS):  # smaller ones that were passed over fill the gap that is left
-        d = d.withColumn("gap", want - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).over(bucket))
-        fits = split & ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-        d = d.withColumn("fits", fits)
-        upto = F.sum(F.when(F.col("fits"), F.col("size"))).over(bucket.orderBy((~F.col("fits")).cast("int"), -F.col("size"), "h", "h2").rowsBetween(Window.unboundedPreceding, 0))
-        d = d.withColumn("upto", upto).withColumn("extra", F.col("extra") | (F.col("fits") & (F.col("upto") <= F.col("gap"))))
-    d = d.withColumn("copies", (F.col("full") + F.when((F.col("full") < most) & F.col("extra"), 1).otherwise(0)).cast("int"))
-
-    place = F.col("bucket_start") + F.col("start") + F.col("size") / 2
+    sums = in_buckets(bare).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.sum(able_size).alias("able_size"))
+    sums = sums.select("source", "bucket", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(to) for c, to in (("bucket_size", "bucket_start"), ("able_size", "able_start"))])
+
+    def in_order(rows: DataFrame, sums: DataFrame) -> DataFrame:
+        """Where a row starts among all of its source, and whether it is in time for the rest."""
+        sums = sums.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
+        rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+        within = Window.partitionBy("source", "bucket").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, -1)
+        for size, start in ((F.col("size"), "bucket_start"), (able_size, "able_start")):
+            rows = rows.withColumn(start, F.col(start) + F.coalesce(F.sum(size).over(within), F.lit(0)))
+        return rows.withColumn("early", F.col("able") & (F.col("able_start") + F.col("size") <= F.col("rest")))
+
+    # What is left then is filled from the longest size that fits downwards, over all of a source.
+    spare = F.col("able") & ~F.col("early")
+    ran = in_order(in_buckets(bare), sums)
+    left = ran.groupBy("source", "size").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("early"), F.col("size")).otherwise(0)).alias("done"), F.count(F.when(spare, 1)).alias("n"))
+    left = left.groupBy("source").agg(F.max("rest").alias("rest"), F.sum("done").alias("done"), F.collect_list(F.when(F.col("n") > 0, F.struct("size", "n"))).alias("spares"))
+    fill = left.select("source", _fill(F.col("rest"), F.col("done"), F.col("spares")).alias("picks"))
+    pick = F.get(F.filter("picks", lambda p: p["size"] == F.col("size")), F.lit(0))
+    asked = of_source(ran.where(spare), fill.where(F.size("picks") > 0)).withColumn("pick", pick).where(F.col("pick").isNotNull())
+    asked = asked.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"), F.first("pick").alias("pick"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = asked.withColumn("before", before).withColumn("n", F.least(F.col("n"), F.col("pick.n") - F.col("before"))).where("n > 0")
+    picks = F.collect_list(F.struct("size", "n", (F.col("pick.start") + F.col("before") * F.col("size")).alias("start")))
+    asked = asked.groupBy("source", "bucket").agg(picks.alias("picks")).withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
+    sums = sums.join(asked, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left").drop("s", "b")
+
+    d = in_order(in_buckets(d), sums)
+    again = F.row_number().over(Window.partitionBy("source", "bucket", "size", "early").orderBy("h", "h2")) - 1
+    d = d.withColumn("pick", pick).withColumn("again", again)
+    late = spare & F.coalesce(F.col("again") < F.col("pick.n"), F.lit(False))
+    d = d.withColumn("extra", F.col("early") | late).withColumn("copies", (F.col("full") + F.col("extra").cast("int")).cast("int"))
+
+    middle = F.col("size") / 2
+    place = F.col("bucket_start") + middle
+    extra_place = F.when(F.col("early"), F.col("able_start")).otherwise(F.col("pick.start") + F.col("again") * F.col("size")) + middle
+    place_of = lambda k: k * F.col("source_size") + F.when(k < F.col("full"), place).otherwise(extra_place)
+
     def time_of(k: Column) -> Column:
-        share = F.least((k * F.col("source_size") + place) / F.greatest(F.col("target"), F.lit(1e-9)), F.lit(1.0))
+        share = F.least(place_of(k) / F.greatest(F.col("target"), F.lit(1e-9)), F.lit(1.0))
         out = F.lit(None).cast("double")
         for turn, knots in enumerate(schedules):
             out = F.when(F.col("turn") == turn, invert(knots, share)).otherwise(out)

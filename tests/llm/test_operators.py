@@ -449,6 +449,21 @@ def test_mix(spark):
     assert mixture.columns == d.columns and mixture.count() == sum(r["copies"] for r in got)
 
 
+def test_mix_fills_the_rest(spark):
+    rnd = random.Random(8)
+    rows = [(k, " ".join(["w"] * rnd.randint(3, 40)), f"s{k % 3}") for k in range(3000)]
+    rows += [(3000 + 10 * n + k, " ".join(["w"] * size), f"s{n}") for n in range(3) for k, size in enumerate((9_000, 25_000, 60_000))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = curriculum_mix.curriculum_mix(d).select("doc_id", "source", "mix.*").collect()
+    for s in ("s1", "s2"):  # s0 is taken twice as a whole
+        mine = [r for r in got if r["source"] == s]
+        full = int(mine[0]["target"] / mine[0]["source_size"])
+        gap = mine[0]["target"] - sum(r["taken"] for r in mine)
+        assert full < 2 and -1e-6 < gap < min(r["size"] for r in mine if r["size"] and r["copies"] == full)
+        places = [p for r in mine for p in r["positions"]]
+        assert all(0 <= p <= 1 for p in places) and len(set(places)) == len(places)
+
+
 def test_schedule_inversion(spark):
     for knots in [*curriculum_mix.SCHEDULES, ((0.0, 0.0), (0.3, 2.0), (0.6, 0.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 1.0))]:
         whole = curriculum_mix.integral(knots)
