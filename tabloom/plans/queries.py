@@ -275,12 +275,22 @@ def dictionary_encode(spark, sf):
     return R.dictionary(d, "t", "c_custkey")
 
 
+def _rectangles(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    return orders.select(k.alias("id"), (F.col("o_custkey") % 50).alias("sheet"), (k * 7 % 500).alias("top"), (k * 13 % 90).alias("left"), (k * 7 % 500 + k % 9).alias("bottom"), (k * 13 % 90 + k % 5).alias("right"))
+
+
 @query("""WITH r AS (SELECT o_orderkey AS id, o_custkey % 50 AS sheet, o_orderkey * 7 % 500 AS top, o_orderkey * 13 % 90 AS "left", o_orderkey * 7 % 500 + o_orderkey % 9 AS bottom, o_orderkey * 13 % 90 + o_orderkey % 5 AS "right" FROM orders WHERE o_orderstatus = 'F')
     SELECT a.sheet, a.id AS a, b.id AS b FROM r a JOIN r b ON a.sheet = b.sheet AND a.id < b.id AND a.top <= b.bottom AND a.bottom >= b.top AND a."left" <= b."right" AND a."right" >= b."left\"""")
 def merge_overlaps(spark, sf):
-    k = F.col("o_orderkey")
-    d = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(k.alias("id"), (F.col("o_custkey") % 50).alias("sheet"), (k * 7 % 500).alias("top"), (k * 13 % 90).alias("left"), (k * 7 % 500 + k % 9).alias("bottom"), (k * 13 % 90 + k % 5).alias("right"))
-    return R.overlapping_ranges(d)
+    return R.overlapping_ranges(_rectangles(table(spark, sf, "orders").where("o_orderstatus = 'F'")))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey % 50 AS sheet, o_orderkey * 7 % 500 AS top, o_orderkey * 13 % 90 AS "left", o_orderkey * 7 % 500 + o_orderkey % 9 AS bottom, o_orderkey * 13 % 90 + o_orderkey % 5 AS "right" FROM orders)
+    SELECT a.sheet, a.id AS a, b.id AS b FROM r a JOIN r b ON a.sheet = b.sheet AND a.id < b.id AND a.top <= b.bottom AND a.bottom >= b.top AND a."left" <= b."right" AND a."right" >= b."left\"""")
+def merge_overlaps_whole(spark, sf):
+    """As merge_overlaps, with the orders of every status."""
+    return R.overlapping_ranges(_rectangles(table(spark, sf, "orders")))
 
 
 @query("""WITH c AS (SELECT CASE WHEN p_partkey % 11 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 THEN 'number' WHEN p_partkey % 5 = 0 THEN 'number-read-as-text' ELSE 'match' END AS category FROM part),
