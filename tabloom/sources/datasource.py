@@ -6,7 +6,9 @@ Options of a read:
 - ``sheet``: a name or an index (0 is the first); ``allSheets`` for every visible worksheet
 - ``mode``: ``object`` (columns named by the header row), ``array`` (row_index, cells) or ``cells``
 - ``headerRow``, ``headers`` (JSON list of names), ``headerNaming`` (``unique`` or ``index``), ``dropEmptyHeaders``
-- ``inferSchema`` (default true) or else strings; ``sampleRows`` that inference looks at
+- ``inferSchema`` (default true) or else strings.  Inference looks at all rows of all sheets that are
+  read, once more than the read itself; ``sampleRows`` bounds it to the first rows of each, and a value
+  that doesn't fit the type inferred from them is an error (``TYPE_MISMATCH``), never null
 - ``startRow``, ``maxRows``, ``maxColumns``, ``columns`` (JSON list), ``defval``, ``blankRows``
 - ``errors``: ``text`` or ``null``; ``formulas``: ``value`` or ``text``; ``dates``: ``timestamp`` or ``serial``
 - ``pathColumn``: adds ``_path`` and ``_sheet``; ``date1904``: true or false, in place of the workbook's word
@@ -32,7 +34,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from ..errors import SheetError
 from ..functions.cells import MAX_COLUMNS, MAX_ROWS, format_ref, general_text, iso_text, number_text
@@ -161,16 +163,22 @@ def bind(book: Workbook, info, options: dict) -> Bound:
 _KINDS = {"n": DoubleType(), "b": BooleanType(), "d": TimestampNTZType(), "s": StringType(), "e": StringType()}
 
 
-def infer(book: Workbook, info, bound: Bound, options: dict) -> StructType:
-    """Types of the columns from the first rows: what all values agree on, else text."""
-    kinds: dict[int, set] = {c: set() for c in bound.columns}
-    sample = _number(options, "samplerows", 1000)
-    for _, cells in book.rows(info, serials=options.get("dates") == "serial", start_row=bound.first_row, max_rows=sample, max_columns=_number(options, "maxcolumns", MAX_COLUMNS)):
+def infer(book: Workbook, info, bound: Bound, options: dict, kinds: dict[str, set]) -> None:
+    """Adds to ``kinds`` the kinds of cells in each column, by its name: of all rows that are read, or a sample."""
+    names = dict(zip(bound.columns, bound.names))
+    for name in bound.names:
+        kinds.setdefault(name, set())
+    bounds = [n for n in (_number(options, "samplerows", None), _number(options, "maxrows", None)) if n is not None]
+    common = {"formulas": options.get("formulas") == "text", "serials": options.get("dates") == "serial", "max_columns": _number(options, "maxcolumns", MAX_COLUMNS)}
+    for _, cells in book.rows(info, start_row=bound.first_row, max_rows=min(bounds, default=None), **common):
         for c, cell, _ in cells:
-            if c in kinds and not (cell.kind == "e" and options.get("errors") == "null"):
-                kinds[c].add(cell.kind)
-    known = [_KINDS[next(iter(k))] if len(k := kinds[c]) == 1 else StringType() for c in bound.columns]
-    return StructType([StructField(n, t) for n, t in zip(bound.names, known)])
+            if c in names and not (cell.kind == "e" and options.get("errors") == "null"):
+                kinds[names[c]].add("s" if cell.formula is not None else cell.kind)
+
+
+def agreed(kinds: set) -> DataType:
+    """The type that all values of a column agree on, else text."""
+    return _KINDS[next(iter(kinds))] if len(kinds) == 1 else StringType()
 
 
 @dataclass
@@ -180,8 +188,8 @@ class SheetPartition(InputPartition):
 
 
 class XlsxReader(DataSourceReader):
-    def __init__(self, options: dict, schema: StructType):
-        self.options, self.schema = options, schema
+    def __init__(self, options: dict, schema: StructType, inferred: bool = False):
+        self.options, self.schema, self.inferred = options, schema, inferred
         self.mode, self.limits = options.get("mode", "object"), limits_of(options)
         self.low, self.high, self.names = 1, None, None
 
@@ -278,7 +286,12 @@ class XlsxReader(DataSourceReader):
             for c, cell, _ in cells:
                 if (spot := where.get(c)) is not None:
                     k, kind, plain = spot
-                    out[k] = cell.value if cell.kind == plain and cell.formula is None else _typed(cell, kind)
+                    if cell.kind == plain and cell.formula is None:
+                        out[k] = cell.value
+                    elif self.inferred and plain not in (None, "s"):
+                        raise SheetError("TYPE_MISMATCH", f"{path}: {info.name}!{format_ref(number, c)} doesn't fit the inferred {kind.typeName()}; give a schema, a larger sampleRows or inferSchema=false")
+                    else:
+                        out[k] = _typed(cell, kind)
             yield (*out, *extra)
 
 
@@ -467,8 +480,8 @@ class XlsxStreamReader(DataSourceStreamReader):
     folder later must be newer, as it is when finished files are moved there.
     """
 
-    def __init__(self, options: dict, schema: StructType):
-        self.options, self.schema = options, schema
+    def __init__(self, options: dict, schema: StructType, inferred: bool = False):
+        self.options, self.schema, self.inferred = options, schema, inferred
 
     def _files(self) -> list[tuple[int, str]]:
         return sorted((os.stat(f).st_mtime_ns, f) for f in find_files(self.options["path"]) if os.path.exists(f))
@@ -485,10 +498,12 @@ class XlsxStreamReader(DataSourceStreamReader):
         return [SheetPartition(f, -1) for t, f in self._files() if low < (t, f) <= high]
 
     def read(self, partition: SheetPartition) -> Iterator[pa.RecordBatch]:
-        return XlsxReader(self.options, self.schema).read(partition)
+        return XlsxReader(self.options, self.schema, self.inferred).read(partition)
 
 
 class XlsxDataSource(DataSource):
+    inferred = False  # Spark asks for the schema, if none is given, before it asks for a reader
+
     @classmethod
     def name(cls) -> str:
         return "tabloom.xlsx"
@@ -506,19 +521,29 @@ class XlsxDataSource(DataSource):
             return CELLS
         if mode == "array":
             return StructType([StructField("row_index", IntegerType()), StructField("cells", ArrayType(CELL))])
-        with open_source(find_files(o["path"])[0]) as source:
-            told = {"true": True, "false": False}.get(str(o.get("date1904")).lower())
-            book = Workbook(source, limits_of(o), told)
-            info = pick_sheet(book, o)
-            bound = bind(book, info, o)
-            out = infer(book, info, bound, o) if _flag(o, "inferschema", True) else StructType([StructField(n, CELL if o.get("cellmode") == "struct" else StringType()) for n in bound.names])
+        self.inferred = _flag(o, "inferschema", True)
+        told = {"true": True, "false": False}.get(str(o.get("date1904")).lower())
+        kinds: dict[str, set] = {}
+        if not (files := find_files(o["path"])):
+            raise SheetError("IO_ERROR", f"{o['path']}: no workbooks")
+        for path in files:
+            with open_source(path) as source:
+                book = Workbook(source, limits_of(o), told)
+                for info in [s for s in book.sheets if s.kind == "worksheet"] if _flag(o, "allsheets") else [pick_sheet(book, o)]:
+                    bound = bind(book, info, o)
+                    if self.inferred:
+                        infer(book, info, bound, o, kinds)
+                    else:
+                        kinds |= {n: set() for n in bound.names}
+        text = CELL if not self.inferred and o.get("cellmode") == "struct" else StringType()
+        out = StructType([StructField(n, agreed(k) if self.inferred else text) for n, k in kinds.items()])
         if o.get("columns"):
             out = StructType([out[c] for c in json.loads(o["columns"])])
         extra = [StructField("_path", StringType()), StructField("_sheet", StringType())] if _flag(o, "pathcolumn") else []
         return StructType([*out.fields, *extra])
 
     def reader(self, schema: StructType) -> XlsxReader:
-        return XlsxReader(self._options(), schema)
+        return XlsxReader(self._options(), schema, self.inferred)
 
     def writer(self, schema: StructType, overwrite: bool) -> XlsxWriter:
         o = self._options()
@@ -527,7 +552,7 @@ class XlsxDataSource(DataSource):
         return XlsxWriter(o, schema)
 
     def streamReader(self, schema: StructType) -> XlsxStreamReader:
-        return XlsxStreamReader(self._options(), schema)
+        return XlsxStreamReader(self._options(), schema, self.inferred)
 
 
 def register(spark: SparkSession) -> None:

@@ -318,6 +318,24 @@ def test_empty_frames(spark):
     assert load(spark, path).columns == ["a", "b"] and [r["name"] for r in sheet_catalogue(spark, path).collect()] == ["e"]
 
 
+def test_inference_loses_nothing(spark):
+    folder = scratch(spark)
+    first = [["id", "v"], *[[k, k] for k in range(1100)], [1100, "late"], [1101, True]]
+    second = [["id", "v", "more"], [2000, dt.datetime(2024, 1, 2), 7]]
+    for name, rows in (("a.xlsx", first), ("b.xlsx", second)):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(workbook_bytes({"s": rows}))
+    d = load(spark, folder)
+    assert d.dtypes == [("id", "double"), ("v", "string"), ("more", "double")]
+    got = {int(r["id"]): (r["v"], r["more"]) for r in d.collect()}
+    assert len(got) == 1103 and all(v is not None for v, _ in got.values())
+    assert got[7] == ("7", None) and got[1100] == ("late", None) and got[1101] == ("TRUE", None) and got[2000][1] == 7
+    assert load(spark, f"{folder}/a.xlsx", maxRows="1000").dtypes[1] == ("v", "double")
+    with pytest.raises(Exception) as caught:
+        load(spark, f"{folder}/a.xlsx", sampleRows="1000").collect()
+    assert error_code(caught.value) == "TYPE_MISMATCH"
+
+
 def test_relations(spark):
     d = spark.createDataFrame([("b", 3), ("a", 1), ("b", 2), (None, 4)], "t string, k long")
     assert sorted(tuple(r) for r in R.dictionary(d, "t", "k").select("text", "first", "references", "id").collect()) == [("a", 1, 1, 0), ("b", 2, 2, 1)]
