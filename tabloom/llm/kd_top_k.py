@@ -115,8 +115,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best vectors by inner product, but its own.
 
     Both tables have id (long) and v (array of whole numbers).  Rows with a null id or an empty
-    vector, or with a null or non-finite component, take no part, nor do vectors shorter than the
-    longest one.  Ties go to the smaller id.  Rows that share an id with the query are its own and
+    vector, or with a null or non-finite component, take no part.  All others have the same length,
+    or else a ValueError is raised.  Ties go to the smaller id.  Rows that share an id with the query are its own and
     are left out; other ids are taken as unique.  Fewer than k others give fewer rows, an empty
     table none.  Other columns aren't looked at.
     """
@@ -125,12 +125,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     as_double = F.col("v").cast("array<double>").alias("v")
     vectors = cut(vectors.select("id", as_double).where(good), "vectors")
     queries = cut(queries.select("id", as_double).where(good), "queries")
-    seen = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    asked = queries.count()
+    seen, waits = (d.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first() for d in (vectors, queries))
+    asked = waits["n"]
     schema = "query_id long, vec_id long, score long"
     if not seen["n"] or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    vectors, queries = (d.where(F.size("v") == seen["d"]) for d in (vectors, queries))
+    lengths = {r[c] for r in (seen, waits) for c in ("least", "most")}
+    if len(lengths) > 1:
+        raise ValueError(f"the vectors are of mixed lengths, from {min(lengths)} to {max(lengths)} components")
     shards, blocks = -(-seen["n"] // SHARD_ROWS), -(-asked // BLOCK_ROWS)
 
     def dealt(column: str, parts: int) -> Column:

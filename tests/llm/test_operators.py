@@ -178,6 +178,14 @@ def test_top_k(spark, monkeypatch):
     assert kd_top_k.top_k(d.where("id < 0"), d, 20).count() == 0
 
 
+def test_top_k_refuses_mixed_lengths(spark):
+    d = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)] + [(9, [1.0, 1.0, 1.0])], "id long, v array<double>")
+    for vectors, queries in ((d, d.where("id < 2")), (d.where("id < 9"), d)):
+        with pytest.raises(ValueError, match="mixed lengths, from 2 to 3"):
+            kd_top_k.top_k(vectors, queries, 2)
+    assert kd_top_k.top_k(d.where("id < 9"), d.where("id < 2"), 2).count() == 4
+
+
 # 5 language
 
 def test_gram_keys():
