@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..cluster import ship
+from ..cluster import ship as ship_sources
 
 _RUN = uuid.uuid4().hex[:12]
 _MADE: list[tuple[SparkSession, str]] = []
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
+
+
+def ship(spark: SparkSession) -> None:
+    """The package for the workers, and smaller Arrow batches: rows hold whole texts.  A batch size that the
+    session has been given stays."""
+    ship_sources(spark)
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read through Spark so that any store it knows will do."""
     ship(spark)
@@ -91,22 +106,79 @@ def put_file(uri: str, chunks) -> int:
 
 
 class TwoGenerations(dict):
-    """A bounded memo: when the young generation is full it becomes the old one.
+    """A memo bounded by bytes: when the young generation is full it becomes the old one.
 
     ``compute(key)`` makes a missing value.  Frequent keys move back to the young generation
-    as they are met, so only rare ones are computed again.
+    as they are met, so only rare ones are computed again.  Keys longer than LONGEST aren't kept.
     """
 
+    ENTRY = 130  # bytes of a dictionary's slot and of the memory manager's rounding
+    LONGEST = 200
+
     def __init__(self, compute, limit: int):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.used, self.old = compute, limit // 2, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+            if len(key) > self.LONGEST:
+                return value
+        if self.used >= self.limit:
+            self.old, self.used = dict(self), 0
             self.clear()
+        self.used += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
         self[key] = value
         return value
+
+
+def file_order(docs: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[Column] | None]:
+    """``columns`` of ``docs``, and by which columns its rows come in the order of the files it is read from.
+
+    That order is None if it isn't read straight from Parquet files.  Part files are named in the order of
+    their partitions, so a sorted frame that was written and read again has its order back by this.
+    """
+    names = [F.col(f"`{c}`") for c in columns]
+    try:
+        placed = docs.select(*names, F.col("_metadata.file_name").alias("file__"), F.col("_metadata.row_index").alias("row__"))
+    except AnalysisException:  # no such hidden columns
+        return docs.select(*names), None
+    return placed, [F.length("file__"), F.col("file__"), F.col("row__")]
+
+
+HOT_SHARE = 10_000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str, least: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row a key, and how many rows it has) on ``key``, hot keys apart.
+
+    A key is hot with more than ``least`` rows and more than a HOT_SHARE-th of all of them, so there are
+    fewer than HOT_SHARE hot keys: those are broadcast, and their rows stay where they are.
+    """
+    seen = groups.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    border = max(least, (seen["total"] or 0) // HOT_SHARE)
+    if (seen["most"] or 0) <= border:
+        return rows.join(groups, key)
+    keys, hot = [key] if isinstance(key, str) else key, groups.where(F.col(count) > border)
+    apart = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(groups.where(F.col(count) <= border), key)
+    return apart.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def running_sums(rows: DataFrame, order: Sequence[Column], sums: dict[str, str], number: str) -> DataFrame:
+    """Each row's number from 0 in ``order``, and for each column of ``sums`` its sum over all rows before,
+    under the name told.  Rows are range-partitioned; only a row a partition meets in one task.
+    """
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("part__", F.spark_partition_id())
+    placed = cut(placed, "placed")  # a partition's number must be the same in its rows and in its sums
+    totals = placed.groupBy("part__").agg(F.count("*").alias("number__"), *[F.sum(c).alias(f"{to}__") for c, to in sums.items()])
+    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    offsets = totals.select("part__", *[so_far(f"{c}__", before).alias(f"{c}__") for c in ("number", *sums.values())])
+    inner = Window.partitionBy("part__").orderBy(*order)
+    within = inner.rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(offsets), "part__").withColumn(number, F.col("number__") + F.row_number().over(inner) - 1)
+    for column, to in sums.items():
+        out = out.withColumn(to, F.col(f"{to}__") + so_far(column, within))
+    return out.drop("part__", "number__", *[f"{to}__" for to in sums.values()])
