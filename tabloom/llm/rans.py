@@ -1,25 +1,28 @@
 """Static range asymmetric numeral system over token ids, and its shard file format.
 
-One frequency table, quantised to 2**18 and shared by all shards, drives the coder.  Ids are
-cut into blocks; a block has LANES interleaved states that are independent of each other and of
+One frequency table, quantised to 2**18 and shared by all shards, drives the coder; it has a file
+of its own beside them, and every shard holds its checksum.  Ids are cut into blocks; a block has LANES interleaved states that are independent of each other and of
 every other block, so any block can be decoded alone.  Many blocks are coded at once with numpy.
 
 A shard file: the magic; the blocks; a footer (JSON, zlib); its length and crc32 (8 bytes); the
-magic again.  The footer lists documents (token counts) and blocks: offset, bytes, ids, crc32, the
-document and the place in it where the block begins (the checkpoint for parallel decoding).
-A block: LANES final states (u64), LANES word counts (u32), then each lane's 32-bit words.
+magic again.  The footer lists documents (names and token counts) and blocks: offset, bytes, ids, crc32,
+the document and the place in it where the block begins (the checkpoint for parallel decoding).
+The table's file: its magic, the crc32 of the frequencies, and those (u32, zlib).  A block: LANES final states (u64), LANES word counts (u32), then each lane's 32-bit words.
 """
 
 from __future__ import annotations
 
+import bisect
 import io
 import json
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"RANSTOK1"
+MAGIC = b"RANSTOK2"
+TABLE_MAGIC = b"RANSTAB1"
 SCALE_BITS = 18
 LANES = 32
 BLOCK = 1 << 15
@@ -46,11 +49,29 @@ class Table:
     """What encoder and decoder derive from the frequencies."""
 
     def __init__(self, freq: np.ndarray):
+        self.crc = zlib.crc32(freq.astype("<u4").tobytes())
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(freq, dtype=np.uint64)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
 
 
+def table_bytes(freq: np.ndarray) -> bytes:
+    raw = freq.astype("<u4").tobytes()
+    return TABLE_MAGIC + struct.pack("<I", zlib.crc32(raw)) + zlib.compress(raw)
+
+
+def read_table(data: bytes) -> Table:
+    if data[:8] != TABLE_MAGIC:
+        raise ValueError("not a frequency table")
+    try:
+        raw = zlib.decompress(data[12:])
+    except zlib.error as e:
+        raise ValueError("the frequency table is damaged") from e
+    if zlib.crc32(raw) != struct.unpack_from("<I", data, 8)[0]:
+        raise ValueError("the frequency table is damaged")
+    return Table(np.frombuffer(raw, "<u4"))
+
+
 def _steps(ids: np.ndarray, blocks: int) -> np.ndarray:
     """(step, block, lane) view of padded ids."""
     return ids.reshape(blocks, -1, LANES).transpose(1, 0, 2)
@@ -131,8 +152,9 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], table: Table) -> list
     return out
 
 
-def shard_bytes(lengths: list[int], ids: np.ndarray, table: Table):
-    """The chunks of a shard file: ``lengths`` ids for each document, one after another in ``ids``."""
+def shard_bytes(lengths: list[int], ids: np.ndarray, table: Table, names: list[int | None] | None = None):
+    """The chunks of a shard file: ``lengths`` ids for each document, one after another in ``ids``; ``names``
+    are the documents' ids, their places in the shard unless told."""
     yield MAGIC
     at, index, ends, done = len(MAGIC), [], np.cumsum(lengths) if len(lengths) else np.zeros(0, np.int64), 0
     for payload in encode_blocks(ids, table):
@@ -142,7 +164,7 @@ def shard_bytes(lengths: list[int], ids: np.ndarray, table: Table):
         index.append([at, len(payload), n, zlib.crc32(payload), doc, into])
         at, done = at + len(payload), done + n
         yield payload
-    footer = zlib.compress(json.dumps({"lanes": LANES, "block": BLOCK, "scale_bits": SCALE_BITS, "documents": [int(x) for x in lengths], "blocks": index}).encode())
+    footer = zlib.compress(json.dumps({"lanes": LANES, "block": BLOCK, "scale_bits": SCALE_BITS, "table": table.crc, "names": [*range(len(lengths))] if names is None else names, "documents": [int(x) for x in lengths], "blocks": index}).encode())
     yield footer + struct.pack("<II", len(footer), zlib.crc32(footer)) + MAGIC
 
 
@@ -171,3 +193,28 @@ def read_blocks(source: io.RawIOBase, footer: dict, table: Table, first: int = 0
             raise ValueError("a block is damaged")
         payloads.append(payload)
     return decode_blocks(payloads, [b[2] for b in wanted], table)
+
+
+def read_documents(source: io.RawIOBase, table: Table, first: int = 0, last: int | None = None, step: int = 16) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(name, ids) of the shard's documents first..last, decoded from the checkpoint before the first of them."""
+    footer = read_footer(source)
+    if footer["table"] != table.crc:
+        raise ValueError("the shard was written with another frequency table")
+    lengths, blocks = footer["documents"], footer["blocks"]
+    if not blocks:
+        yield from ((name, np.empty(0, np.uint32)) for name in footer["names"][first:last])
+        return
+    at = max(0, bisect.bisect_right([(b[4], b[5]) for b in blocks], (first, 0)) - 1)
+    doc, into = blocks[at][4:]
+    skip = lengths[doc] - into + sum(lengths[doc + 1 : first]) if doc < first else 0
+    held: np.ndarray = np.empty(0, np.uint32)
+    for name, n in zip(footer["names"][first:last], lengths[first:last]):
+        parts, have = [held], len(held)
+        while have < skip + n:
+            got = read_blocks(source, footer, table, at, at + step)
+            at += step
+            parts += got
+            have += sum(map(len, got))
+        held = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        yield name, held[skip : skip + n]
+        held, skip = held[skip + n :], 0
