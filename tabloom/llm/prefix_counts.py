@@ -8,27 +8,33 @@ count[i] = count[i - len(token)] + 1.  Each pre-token is scanned once and every
 answered.
 
 A document's table is the string of count differences from one code point to the next, one signed
-byte each, so that budgets and truncations are sums over it.  Chunks between single spaces repeat
-a lot; their tables are kept in a bounded memo.
+byte each (a difference that doesn't fit one is an OverflowError; the longest tokens of public
+vocabularies are far too short for that), so that budgets and truncations are sums over it.  Chunks
+between single spaces repeat a lot; their tables are kept in a memo bounded by bytes.
+
+The tables are written to the shared folder once; every question about counts, budgets and
+truncation is answered from them, without the texts.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe_ids import byte_alphabet
-from .common import TwoGenerations
+from .common import TwoGenerations, cut
 
-MEMO_CHUNKS = 350_000
-MEMO_PIECES = 150_000
-MEMO_PAIRS = 1_000_000
+MEMO_CHUNKS = 96 << 20
+MEMO_PIECES = 32 << 20
+MEMO_PAIRS = 600_000  # pairs of tokens, which are short
 _CONTRACTED = {"'re", "'ve", "'ll"}
 
 
@@ -137,7 +143,7 @@ class PrefixCounter:
 
     @staticmethod
     def _steps(counts: list[int]) -> bytes:
-        return bytes([b - a & 0xFF for a, b in zip([0, *counts], counts)])
+        return array("b", [b - a for a, b in zip([0, *counts], counts)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         return self._steps(self.char_counts(piece))
@@ -216,26 +222,43 @@ def longest_within(table: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def _count_task(path: str, pattern: str, limit: int, keep_table: bool):
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _table_task(path: str, pattern: str):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         programme = counter(path, pattern)
-        for frame in frames:
-            texts = [t or "" for t in frame["text"]]
-            tables = [programme.table(t) for t in texts]
-            out = {"doc_id": frame["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": [count_at(x) for x in tables], "limit_chars": [longest_within(x, limit) for x in tables]}
-            yield pd.DataFrame(out | ({"prefix_steps": tables} if keep_table else {}))
+        for batch in batches:
+            texts = batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            tables = pa.array([programme.table(t.as_py()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tables], ["doc_id", "n_bytes", "prefix_steps"])
+
+    return build
+
+
+def prefix_tables(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_bytes, prefix_steps) per row of ``docs``: the count differences of all prefixes, a byte a
+    code point."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(_table_task(path, pattern), "doc_id long, n_bytes long, prefix_steps binary")
+
 
-    return count
+def _answer_task(limit: int):
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables = [t.as_py() for t in batch.column("prefix_steps")]
+            counts, chars = pa.array([count_at(t) for t in tables], pa.int64()), pa.array([longest_within(t, limit) for t in tables], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts, chars], [*batch.schema.names, "n_tokens", "limit_chars"])
+
+    return answer
 
 
 def prefix_token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, keep_table: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, limit_chars[, prefix_steps]) per row of ``docs``.
+    """(doc_id, n_bytes, n_tokens, over_limit, limit_chars[, prefix_steps]) per row of ``docs``, answered from
+    the stored tables.
 
     ``limit_chars`` is the longest prefix, in code points, of at most ``limit`` tokens.  A null or
     empty text has 0 of everything.  Every row gives a row, also if doc_id is null or repeated; other
     columns aren't looked at.  Special strings in a text count as one token, as in the library.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_bytes long, n_tokens long, limit_chars long" + ", prefix_steps binary" * keep_table
-    out = d.mapInPandas(_count_task(path, pattern, limit, keep_table), schema)
+    stored = cut(prefix_tables(docs, path, pattern), "prefixes")
+    out = stored.mapInArrow(_answer_task(limit), "doc_id long, n_bytes long, prefix_steps binary, n_tokens long, limit_chars long")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "limit_chars", *["prefix_steps"] * keep_table)
