@@ -7,7 +7,8 @@ the document's n-grams, how far each one's rank is from its rank in the language
 PROFILE if it isn't there.  The language with the smallest distance is predicted.
 
 Counting is exact: three code points of 21 bits fit a 64-bit key.  Counts are added up per task
-and language before the shuffle, and only profiles, PROFILE rows a language, reach the driver.
+and language before the shuffle, and only profiles, PROFILE rows for each of at most LANGUAGES
+languages, reach the driver.
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import cut, ship
+
 PROFILE = 300
 FLUSH = 400_000
-BLANK = np.int64(0x20)
+CHARS = 500_000
+LANGUAGES = 5_000
+BLANK = 0x20
 _BITS = np.int64(21)
 
 
@@ -31,24 +36,46 @@ def _letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def gram_keys(text: str) -> np.ndarray:
-    """The keys of all n-grams of the text's padded letter runs, unsorted; empty if it has no letter."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    if not len(codes):
-        return np.empty(0, np.int64)
+def _runs(text: str) -> np.ndarray:
+    """The code points of the text's letter runs, lower-cased, with one blank on either side of each."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letters = _letter_table()[codes]
     if not letters.any():
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint32)
     # Everything else becomes one blank between runs, and one at each end.
-    codes = np.where(letters, codes, BLANK)
-    padded = np.concatenate([[BLANK], codes, [BLANK]])
+    padded = np.full(len(codes) + 2, BLANK, np.uint32)
+    padded[1:-1] = np.where(letters, codes, np.uint32(BLANK))
     keep = np.ones(len(padded), bool)
     keep[1:] = (padded[1:] != BLANK) | (padded[:-1] != BLANK)
-    c = padded[keep]
+    return padded[keep]
+
+
+def _keys(runs: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The keys of the n-grams that begin at places first..last of the runs."""
+    c = runs[first : last + 2].astype(np.int64)
+    own = min(last, len(runs)) - first
     inner = c != BLANK
     two = (c[:-1] << _BITS) | c[1:]
     three = (two[:-1] << _BITS) | c[2:]
-    return np.concatenate([c[inner], two, three[inner[1:-1]]])
+    middle = inner[1:-1]
+    return np.concatenate([c[:own][inner[:own]], two[:own], three[:own][middle[:own]]])
+
+
+def gram_keys(text: str) -> np.ndarray:
+    """The keys of all n-grams of the text's padded letter runs, unsorted; empty if it has no letter."""
+    runs = _runs(text)
+    return _keys(runs, 0, len(runs)) if len(runs) else np.empty(0, np.int64)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each is there; a long text is counted CHARS places at a time."""
+    runs = _runs(text)
+    if len(runs) <= CHARS:
+        return np.unique(_keys(runs, 0, len(runs)) if len(runs) else np.empty(0, np.int64), return_counts=True)
+    total: list[tuple[np.ndarray, np.ndarray]] = []
+    for first in range(0, len(runs), CHARS):
+        total = [_sum_up([*total, np.unique(_keys(runs, first, first + CHARS), return_counts=True)])]
+    return total[0]
 
 
 def _ranked(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -67,42 +94,54 @@ def _sum_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return unique, np.bincount(inverse, counts).astype(np.int64)
 
 
-def _count_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts (lang, gram, n); what a task holds is bounded by FLUSH keys a language and batch."""
-    held: dict[str, list] = {}
-    for frame in frames:
-        for lang, texts in frame.groupby("lang", sort=False)["text"]:
-            parts, size = held.setdefault(lang, [[], 0])
-            pending, chars = [], 0
-            for text in [*texts, None]:
-                if text is not None:
-                    pending.append(text)
-                    chars += len(text)
-                if pending and (chars > 300_000 or text is None):
-                    # A letter run never crosses the space between two texts.
-                    keys, counts = np.unique(gram_keys(" ".join(pending)), return_counts=True)
-                    parts.append((keys, counts))
-                    pending, chars = [], 0
-            if sum(len(k) for k, _ in parts) > FLUSH:
-                parts[:] = [_sum_up(parts)]
-                if len(parts[0][0]) > FLUSH:
-                    yield pd.DataFrame({"lang": lang, "gram": parts[0][0], "n": parts[0][1]})
-                    parts.clear()
-    for lang, (parts, _) in held.items():
-        if parts:
-            keys, counts = _sum_up(parts)
-            yield pd.DataFrame({"lang": lang, "gram": keys, "n": counts})
+def _counts_of(lang: str, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+
+
+def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (lang, gram, n).  What a task holds is bounded: keys beyond FLUSH in all go out, those
+    of the language that holds most first."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    pending: dict[str, list[str]] = {}
+    waiting = 0
+
+    def count() -> None:
+        nonlocal waiting
+        for lang, texts in pending.items():
+            # A letter run never crosses the space between two texts.
+            made = gram_counts(" ".join(texts))
+            held[lang] = _sum_up([held[lang], made]) if lang in held else made
+        pending.clear()
+        waiting = 0
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            text = text.as_py()
+            pending.setdefault(lang, []).append(text)
+            waiting += len(text)
+            if waiting > CHARS:
+                count()
+                while sum(len(k) for k, _ in held.values()) > FLUSH:
+                    most = max(held, key=lambda x: len(held[x][0]))
+                    yield _counts_of(most, *held.pop(most))
+    count()
+    for lang, counts in held.items():
+        yield _counts_of(lang, *counts)
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles by language from the rows of ``docs`` (text, lang) whose two columns aren't null.
 
-    What comes to the driver is at most ``size`` keys for each distinct language.
+    What comes to the driver is at most ``size`` keys for each distinct language; more than LANGUAGES of
+    those are an error, since that column then holds something else.
     """
     d = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = d.mapInPandas(_count_task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = d.mapInArrow(_count_task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    top = cut(top.select("lang", "rank", "gram"), "profiles")
+    if top.where("rank = 1").limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     found: dict[str, list] = {}
     for row in top.select("lang", "rank", "gram").collect():
         found.setdefault(row["lang"], []).append((row["rank"], row["gram"]))
@@ -120,10 +159,10 @@ class Matcher:
             self.ranks[np.searchsorted(self.keys, profiles[lang]), k] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        keys = gram_keys(text) if text else np.empty(0, np.int64)
+        keys, counts = gram_counts(text) if text else (np.empty(0, np.int64),) * 2
         if not len(keys) or not self.langs:
             return "und", 0.0
-        mine = _ranked(*np.unique(keys, return_counts=True), self.size)
+        mine = _ranked(keys, counts, self.size)
         at = np.searchsorted(self.keys, mine)
         at[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != mine)] = len(self.keys)
         theirs = self.ranks[at]
@@ -133,11 +172,12 @@ class Matcher:
 
 
 def _predict_task(profiles):
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(profiles.value)
-        for frame in frames:
-            found = [matcher.predict(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": [lang for lang, _ in found], "score": [s for _, s in found]})
+        for batch in batches:
+            found = [matcher.predict(t.as_py()) for t in batch.column(1)]
+            langs, scores = pa.array([lang for lang, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), langs, scores], ["doc_id", "lang_pred", "score"])
 
     return predict
 
@@ -150,6 +190,7 @@ def identify_language(docs: DataFrame, training: DataFrame) -> DataFrame:
     share of the largest possible one.  Equal distances go to the language first by name.  Rows
     with a null or repeated doc_id give a row each; other columns aren't looked at.
     """
+    ship(docs.sparkSession)
     profiles = docs.sparkSession.sparkContext.broadcast(learn_profiles(training))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInPandas(_predict_task(profiles), "doc_id long, lang_pred string, score double")
+    return d.mapInArrow(_predict_task(profiles), "doc_id long, lang_pred string, score double")
