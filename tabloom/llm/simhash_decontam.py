@@ -2,10 +2,14 @@
 
 Texts and benchmark items are lower-cased word sequences.  For an item of L words, every window of
 L words of a document is compared by the 64-bit SimHash of its weighted 5-word shingles.
-Fingerprints within RADIUS bits are found by a multi-index: the 64 bits fall into 4 blocks, and
-two fingerprints at most 19 bits apart agree to within 4 bits in at least one block, so tables of
-each block's neighbourhoods guarantee every one of them.  Candidates are then confirmed by the
-exact weighted Jaccard similarity of the full shingle multisets (a shingle weighs its letters).
+Fingerprints within RADIUS bits are found by a multi-index: the 64 bits fall into 4 blocks, and two
+fingerprints at most 23 bits apart are at most 5 bits apart in at least one block, so a table of each
+block's values guarantees every one of them.  Candidates are then confirmed by the exact weighted
+Jaccard similarity of the full shingle multisets (a shingle weighs its letters).
+
+A shingle counts in the fingerprint by the square root of its weight, so that the angle between two
+windows follows their similarity: at 0.8 it is at most 27 degrees, 9.7 bits of 64 on average with a
+deviation of 2.9, and RADIUS lies 4.6 deviations off.
 
 A window without any shingle of an item has similarity 0 with it.  So windows are fingerprinted
 only where they hold at least one of the benchmark's shingles; this loses nothing.
@@ -17,23 +21,24 @@ broadcast is bounded whatever the benchmark's size.
 
 from __future__ import annotations
 
-import itertools
 import re
 import weakref
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .common import ship
+
 WIDTH = 5
-RADIUS = 19
+RADIUS = 23
 BLOCKS = 4
-CHUNK_ITEMS = 500
-CHUNK_WORDS = 200_000
+CHUNK_ITEMS = 5_000
+CHUNK_WORDS = 400_000
+SLAB = 8_192
 _WORD = re.compile(r"\w+")
 _BITS = np.arange(64, dtype=np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WIDTH)], np.uint64)
@@ -59,7 +64,9 @@ def weighted_similarity(a: list[str], b: list[str]) -> float:
 def _signs(shingles: list[str]) -> np.ndarray:
     """A row of 64 weights, positive or negative, for each shingle."""
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles))
-    weight = np.fromiter(map(len, shingles), np.int64, len(shingles))
+    weight = np.sqrt(np.fromiter(map(len, shingles), np.float64, len(shingles)))
+    # Whole numbers, so that running sums are exact wherever they begin.
+    weight = np.round(1024 * weight).astype(np.int64)
     return np.where((hashed[:, None] >> _BITS) & np.uint64(1), weight[:, None], -weight[:, None])
 
 
@@ -67,32 +74,28 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
 
 
-def block_neighbours() -> np.ndarray:
-    """All 16-bit masks of at most RADIUS // BLOCKS bits."""
-    masks = [0]
-    for n in range(1, RADIUS // BLOCKS + 1):
-        masks += [sum(1 << b for b in bits) for bits in itertools.combinations(range(16), n)]
-    return np.array(masks, np.uint32)
-
-
 class HammingIndex:
-    """Finds every stored fingerprint within RADIUS bits of a query."""
+    """Finds every stored fingerprint within RADIUS bits of a query.
+
+    A table for each block lists its distinct values with the fingerprints that have them; a query looks up
+    the values within RADIUS // BLOCKS bits of its own block.
+    """
 
     def __init__(self, fingerprints: np.ndarray):
-        self.fingerprints = fingerprints
-        masks, self.tables = block_neighbours(), []
+        self.fingerprints, self.tables = fingerprints, []
         for b in range(BLOCKS):
-            block = ((fingerprints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
-            keys = (block[:, None] ^ masks).ravel()
-            items = np.repeat(np.arange(len(block), dtype=np.int32), len(masks))
-            order = np.argsort(keys, kind="stable")
-            starts = np.searchsorted(keys[order], np.arange(0x10001))
-            self.tables.append((starts, items[order]))
+            block = ((fingerprints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+            values, where = np.unique(block, return_inverse=True)
+            order = np.argsort(where, kind="stable")
+            self.tables.append((values, np.searchsorted(where[order], np.arange(len(values) + 1)), order))
 
     def within(self, query: int) -> dict[int, int]:
         """Item number to distance."""
-        found = [items[starts[v] : starts[v + 1]] for b, (starts, items) in enumerate(self.tables) for v in [query >> 16 * b & 0xFFFF]]
-        items = np.unique(np.concatenate(found))
+        able = np.zeros(len(self.fingerprints), bool)
+        for b, (values, starts, items) in enumerate(self.tables):
+            for k in np.flatnonzero(np.bitwise_count(values ^ np.uint16(query >> 16 * b & 0xFFFF)) <= RADIUS // BLOCKS):
+                able[items[starts[k] : starts[k + 1]]] = True
+        items = np.flatnonzero(able)
         distance = np.bitwise_count(self.fingerprints[items] ^ np.uint64(query))
         near = distance <= RADIUS
         return dict(zip(items[near].tolist(), distance[near].tolist()))
@@ -110,7 +113,11 @@ class Detector:
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for parts in self.items for w in parts}))}
         self.shingles = [shingle_list(parts) for parts in self.items]
         sums = [_signs(s).sum(axis=0) for s in self.shingles]
-        self.index = HammingIndex(_fingerprints(np.array(sums))) if sums else None
+        # An index for each length of items: a window is compared with those of its own length only.
+        self.index: dict[int, tuple[HammingIndex, list[int]]] = {}
+        for length in sorted({len(parts) for parts in self.items}):
+            mine = [k for k, parts in enumerate(self.items) if len(parts) == length]
+            self.index[length] = HammingIndex(_fingerprints(np.array([sums[k] for k in mine]))), mine
         # Shingle keys by their width (shorter items are one shorter shingle), and the items' lengths.
         lengths: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for parts in self.items:
@@ -127,8 +134,8 @@ class Detector:
         return sum((codes[k : k + n] * _POWERS[k] for k in range(width)), np.zeros(n, np.uint64))
 
     def _windows(self, codes: np.ndarray) -> dict[int, np.ndarray]:
-        """By item length, the starts of the windows that hold a shingle of an item of that length."""
-        marks: dict[int, np.ndarray] = {}
+        """By item length, runs (first start, last start) of the windows that hold a shingle of such an item."""
+        marks: dict[int, list[tuple[int, int]]] = defaultdict(list)
         known = codes > 0
         for width, keys in self.keys.items():
             n = len(codes) - width + 1
@@ -145,39 +152,54 @@ class Detector:
             hit = keys[np.minimum(at, len(keys) - 1)] == mixed
             for place, key in zip(places[hit].tolist(), mixed[hit].tolist()):
                 for length in self.lengths[width][key]:
-                    edge = marks.setdefault(length, np.zeros(len(codes) + 1, np.int32))
                     last = max(0, len(codes) - length)
-                    edge[min(max(0, place + width - length), last)] += 1
-                    edge[min(place, last) + 1] -= 1
-        return {length: np.flatnonzero(np.cumsum(edge)[:-1] > 0) for length, edge in marks.items()}
+                    run = min(max(0, place + width - length), last), min(place, last)
+                    held = marks[length]
+                    if held and held[-1][0] <= run[0] <= held[-1][1] + 1:
+                        held[-1] = held[-1][0], max(held[-1][1], run[1])
+                    else:
+                        held.append(run)
+        return {length: _merged(runs) for length, runs in marks.items()}
 
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item_id, similarity, first word, words, bits apart) of each item found, at its best window."""
         parts = words(text)
-        if not parts or self.index is None:
+        if not parts or not self.index:
             return []
         get = self.vocabulary.get
         codes = np.fromiter([get(w, 0) for w in parts], np.uint64, len(parts))
         best: dict[int, tuple[float, int, int, int]] = {}
-        for length, starts in self._windows(codes).items():
-            for group in np.split(starts, np.flatnonzero(np.diff(starts) > length) + 1):
-                self._look(parts, length, group, best)
+        for length, runs in self._windows(codes).items():
+            for first, last in runs:
+                for start in range(first, last + 1, SLAB):
+                    self._look(parts, length, start, min(last, start + SLAB - 1), best)
         return [(self.ids[k], *v) for k, v in sorted(best.items(), key=lambda x: (self.ids[x[0]], x[0]))]
 
-    def _look(self, parts: list[str], length: int, starts: np.ndarray, best: dict) -> None:
+    def _look(self, parts: list[str], length: int, first: int, last: int, best: dict) -> None:
+        """Looks at the windows that start at first..last."""
         size = min(length, len(parts))
         per = max(1, size - WIDTH + 1)
-        low = int(starts[0])
-        stretch = shingle_list(parts[low : int(starts[-1]) + size], min(WIDTH, size))
+        stretch = shingle_list(parts[first : last + size], min(WIDTH, size))
         sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_signs(stretch), axis=0)])
-        prints = _fingerprints(sums[starts - low + per] - sums[starts - low])
-        for start, fingerprint in zip(starts.tolist(), prints.tolist()):
-            for k, apart in self.index.within(fingerprint).items():
-                if len(self.items[k]) != length:
-                    continue
-                share = weighted_similarity(self.shingles[k], stretch[start - low : start - low + per])
+        count = last - first + 1
+        prints = _fingerprints(sums[per : per + count] - sums[:count])
+        index, mine = self.index[length]
+        for start, fingerprint in enumerate(prints.tolist()):
+            for at, apart in index.within(fingerprint).items():
+                k = mine[at]
+                share = weighted_similarity(self.shingles[k], stretch[start : start + per])
                 if share >= self.least and (k not in best or share > best[k][0]):
-                    best[k] = (share, start, size, apart)
+                    best[k] = (share, first + start, size, apart)
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(runs):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], last)
+        else:
+            out.append((first, last))
+    return out
 
 
 def benchmark_chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -205,22 +227,27 @@ def _detector(shared, least: float) -> Detector:
     return made[least]
 
 
+_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("bits_apart", pa.int32())])
+
+
 def _leak_task(shared, least: float):
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = _detector(shared, least)
-        for frame in frames:
-            rows = [(doc, *leak) for doc, text in zip(frame["doc_id"], frame["text"]) for leak in detector.leaks(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "first_word", "n_words", "bits_apart"])
+        for batch in batches:
+            ids = batch.column(0).to_pylist()  # plain numbers: nothing is rounded beside a null
+            rows = [(doc, *leak) for doc, text in zip(ids, batch.column(1)) for leak in detector.leaks(text.as_py())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LEAKS)], schema=_LEAKS)
 
     return find
 
 
-def _clean_task(shared, least: float):
+def _clean_task(shared, least: float, place: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = _detector(shared, least)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([not detector.leaks(t) for t in texts], pa.bool_()))
+            texts = batch.column(place)
+            yield batch.filter(pa.array([not detector.leaks(t.as_py()) for t in texts], pa.bool_()))
 
     return clean
 
@@ -236,11 +263,12 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -
     there twice gives two rows.  Other columns aren't looked at.
     """
     spark = docs.sparkSession
+    ship(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long, bits_apart int"
     out = None
     for chunk in benchmark_chunks(benchmark):
-        found = d.mapInPandas(_leak_task(spark.sparkContext.broadcast(chunk), least), schema)
+        found = d.mapInArrow(_leak_task(spark.sparkContext.broadcast(chunk), least), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -248,8 +276,13 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns as they are."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns as they are.
+
+    Rows with a null or empty text stay, as do all of them if the benchmark is empty.
+    """
     spark = docs.sparkSession
+    ship(spark)
+    place = [c.lower() for c in docs.columns].index("text")
     for chunk in benchmark_chunks(benchmark):
-        docs = docs.mapInArrow(_clean_task(spark.sparkContext.broadcast(chunk), least), docs.schema)
+        docs = docs.mapInArrow(_clean_task(spark.sparkContext.broadcast(chunk), least, place), docs.schema)
     return docs
