@@ -10,26 +10,30 @@ a bucket every member is confirmed against the bucket's hub only: the member tha
 buckets' rows over all its bands, so the text that the others are edits of.  Links within a
 component need no comparison, since the result is the components.  What can still be missing are
 links of members outside their hub's component; those meet all members of that hub's buckets in
-blocks of bounded size, where pairs of different components whose signatures agree in at least
-AGREE of 128 values (fewer have a chance of 2e-7 at similarity 0.8) are confirmed on the full
-sets, unless links found in the block connect them already.
+blocks of bounded size (rows and shingles), where pairs of different components whose signatures agree
+in at least AGREE of 128 values (fewer have a chance of 2e-7 at similarity 0.8; ``agree=0`` compares
+all of them) are confirmed on the full sets, unless links found in the block connect them already.
+
+Sets, buckets and vertices that hold very many rows are joined apart from the others (``join_hot``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 VALUES = 2 * PERMUTATIONS
 AGREE = 78
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1_024
+BLOCK_SHINGLES = 1_000_000
 BLOOM_BITS = 1 << 23
 
 _rng = np.random.default_rng(20240607)
@@ -77,32 +81,36 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return _finish((rows * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
+_SIGNED = pa.schema([("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("mark", pa.binary())])
+
+
 def _signer(width: int):
     def sign(batches):
-        for frame in batches:
+        for batch in batches:
             rows = []
-            for text in frame["text"]:
-                items = shingles(text, width)
+            for text in batch.column(1):
+                items = shingles(text.as_py(), width)
                 if len(items):
                     values = signature(items)
                     rows.append((len(items), xxhash.xxh3_128_digest(items.tobytes()), band_keys(values), values.astype(np.uint8).tobytes()))
                 else:
                     rows.append((0, None, None, None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "mark"]).assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", "n_shingles", "set_key", "bands", "mark"]]
+            made = [pa.array(c, f.type) for c, f in zip(zip(*rows), _SIGNED)] if rows else [pa.nulls(0, f.type) for f in _SIGNED]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", *_SIGNED.names])
 
     return sign
 
 
 def _lister(width: int):
     def full_sets(batches):
-        for frame in batches:
-            sets = [shingles(t, width).view(np.int64) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["doc_id"], "items": sets})
+        for batch in batches:
+            sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
 
     return full_sets
 
 
-def _comparer(share: int):
+def _comparer(share: int, agree: int):
     def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Links (a, b) that connect the components of two blocks; each confirmed on the full sets."""
         found, root = [], {}
@@ -118,7 +126,7 @@ def _comparer(share: int):
             ids, labels, sizes, sets = (right[c].to_numpy() for c in ("id", "label", "n", "items"))
             for one in left.itertuples(index=False):
                 able = (labels != one.label) & (np.minimum(sizes, one.n) * 100 >= np.maximum(sizes, one.n) * share)
-                able &= (marks == np.frombuffer(one.mark, np.uint8)).sum(axis=1) >= AGREE
+                able &= (marks == np.frombuffer(one.mark, np.uint8)).sum(axis=1) >= agree
                 for k in np.flatnonzero(able):
                     x, y = find(one.label), find(labels[k])
                     if x == y:
@@ -147,12 +155,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = (seen["n"], seen["h"])
         # Large star: every larger neighbour of a vertex moves to the smallest neighbour.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", 2 * seen["n"])
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), "least", 2 * seen["n"])
+        large = join_hot(both, least, "u", "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large, "large", seen["n"])
         # Small star: the smaller neighbours of a vertex, and itself, move to the smallest of them.
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least", seen["n"])
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least", seen["n"])
+        small = join_hot(large, least, "u", "c").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = cut(small.where("u <> v").distinct(), "small", seen["n"])
     return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
@@ -181,7 +189,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("common"), F.size("items_a").alias("na"), F.size("items_b").alias("nb"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, agree: int = AGREE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of documents linked by similarity.
 
     Two documents are linked when ``100 * |A & B| >= share * |A | B|`` for their sets of distinct
@@ -193,29 +201,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
     and the row is kept.  Other columns of ``docs`` aren't looked at, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInPandas(_signer(width), "doc_id long, n_shingles long, set_key binary, bands array<long>, mark binary"), "signed")
+    signed = cut(docs.mapInArrow(_signer(width), "doc_id long, n_shingles long, set_key binary, bands array<long>, mark binary"), "signed")
     vertices = signed.where("doc_id is not null and set_key is not null")
 
     # Equal sets: one vertex, the smallest id; partial aggregation takes care of huge classes.
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "mark")]
-    classes = cut(vertices.groupBy("set_key").agg(F.min("doc_id").alias("id"), *firsts).withColumnRenamed("n_shingles", "n"), "classes")
-    same = vertices.select("doc_id", "set_key").join(classes.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    classes = cut(vertices.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("c"), *firsts).withColumnRenamed("n_shingles", "n"), "classes")
+    same = join_hot(vertices.select("doc_id", "set_key"), classes.select("set_key", "id", "c"), "set_key", "c").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
     # Buckets of two or more.  A vertex may stand for two sets if rows share a doc_id.
     every = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     counts = cut(every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    member = cut(every.join(counts, "bucket"), "member")
+    member = cut(join_hot(every, counts, "bucket", "c"), "member")
     central = cut(member.groupBy("id").agg(F.sum("c").alias("weight")), "central")
     weighed = member.join(central, "id").select("bucket", F.struct("weight", (-F.col("id")).alias("less"), "n").alias("h"))
-    hubs = cut(weighed.groupBy("bucket").agg(F.max("h").alias("h")).select("bucket", (-F.col("h.less")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
-    member = cut(member.join(hubs, "bucket"), "hubbed")
+    top = weighed.groupBy("bucket").agg(F.max("h").alias("h"), F.count("*").alias("members"))
+    hubs = cut(top.select("bucket", (-F.col("h.less")).alias("hub"), F.col("h.n").alias("hub_n"), "members"), "hubs")
+    member = cut(join_hot(member, hubs, "bucket", "members").drop("members"), "hubbed")
     star = member.where((F.col("id") != F.col("hub")) & _fits("n", "hub_n", share)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
     star = cut(star.distinct(), "star")
 
     needed = member.select("id").distinct()
     bloom = _bloom(needed)
     texts = _in_bloom(docs.where("doc_id is not null"), bloom).join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = cut(texts.mapInPandas(_lister(width), "id long, items array<long>").where(F.size("items") > 0), "sets")
+    sets = cut(texts.select("doc_id", "text").mapInArrow(_lister(width), "id long, items array<long>").where(F.size("items") > 0), "sets")
 
     linked = F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * share
     labels = components(_confirm(star, sets).where(linked).select("a", "b"))
@@ -229,9 +238,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
         tagged = shared.join(labels, "id", "left").join(of_hub, "hub", "left")
         tagged = tagged.select("hub", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
         tagged = cut(tagged.withColumn("outside", F.col("label") != F.col("hub_label")), "tagged", rows)
-        mixed = tagged.groupBy("hub").agg(F.count("*").alias("c"), F.count_if("outside").alias("out")).where("out > 0 and c > 2")
-        mixed = cut(mixed.select("hub", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("out") / BLOCK_ROWS).cast("int").alias("groups")), "mixed", rows)
-        left = tagged.join(mixed, "hub").withColumn("place", F.xxhash64("id"))
+        out_n = F.when(F.col("outside"), F.col("n")).otherwise(0)
+        mixed = tagged.groupBy("hub").agg(F.count("*").alias("c"), F.count_if("outside").alias("out"), F.sum("n").alias("items"), F.sum(out_n).alias("out_items")).where("out > 0 and c > 2")
+        parts = lambda c, n: F.ceil(F.greatest(F.col(c) / BLOCK_ROWS, F.col(n) / BLOCK_SHINGLES)).cast("int")
+        mixed = cut(mixed.select("hub", "c", parts("c", "items").alias("blocks"), parts("out", "out_items").alias("groups")), "mixed", rows)
+        left = join_hot(tagged, mixed, "hub", "c").withColumn("place", F.xxhash64("id"))
         block, group = F.pmod("place", "blocks").cast("int"), F.pmod("place", "groups").cast("int")
         asks = left.where("outside").select("hub", "id", "n", "label", group.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
         others = left.select("hub", "id", "n", "label", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), block.alias("j"))
@@ -239,7 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
         asks, others = (d.join(full, "id") for d in (asks, others))
         keys = ["hub", "i", "j"]
         asks, others = (d.toDF(*[f"{c}_{t}" if c in keys else c for c in d.columns]).select(*[F.col(f"{c}_{t}") for c in keys], *[F.col(c).alias(c) for c in ("id", "n", "label", "mark", "items")]) for d, t in ((asks, "x"), (others, "y")))
-        found = asks.groupBy("hub_x", "i_x", "j_x").cogroup(others.groupBy("hub_y", "i_y", "j_y")).applyInPandas(_comparer(share), "a long, b long")
+        found = asks.groupBy("hub_x", "i_x", "j_x").cogroup(others.groupBy("hub_y", "i_y", "j_y")).applyInPandas(_comparer(share, agree), "a long, b long")
         edges = edges.unionByName(cut(found, "found", rows))
 
     labels = components(edges.unionByName(same))
@@ -267,5 +278,5 @@ def deduplicate(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     straight = d.where(~F.col("touched")).select("row")
     looked = d.where("touched").select("row", "id", "h").join(found.withColumnRenamed("doc_id", "id"), "id", "left").where(F.coalesce("kept", F.lit(True)))
     single = looked.where("coalesce(copies, 1) = 1").select("row")
-    first = looked.where("copies > 1").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("k = 1").select("row")
+    first = looked.where("copies > 1").groupBy("id").agg(F.min_by("row", "h").alias("row")).select("row")
     return straight.unionByName(single).unionByName(first).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
