@@ -9,7 +9,8 @@ of the cumulative demand ``d`` trains at the time at which the integral reaches
 No source is sorted in one task: documents fall into hash buckets per source (of 256 rows, or
 sqrt(rows) of them for large sources),
 sums over buckets give each bucket's offset, and windows run within a bucket only.  What is gathered
-of a source is the count of its documents of each size.
+of a source is the count of its documents of each size.  Sources are numbered and added up by ranges, so
+they may be many.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, DateType, DayTimeIntervalType, NumericType, TimestampNTZType, TimestampType
 
-from .common import cut
+from .common import cut, join_hot, running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 20_000
 BUCKET_ROWS = 256
+_NARROW = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType, DayTimeIntervalType)
 #: Weight schedules that sources take in turn: (time, weight) knots.  Their integrals are 5, 2 and 1.
 SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -62,26 +65,24 @@ def word_count(text: str = "text") -> Column:
 
 
 def source_targets(sizes: DataFrame, schedules: Sequence, total_share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, turn, rows, source_size, target) by water-filling.
+    """The columns of ``sizes`` with turn and target, by water-filling.
 
     ``sizes`` has one row per source: source, rows, source_size.  With caps c = most * size and
     weights w, the targets are min(c, w * x) for the x at which they sum to the total: sources
     ordered by c / w are full up to some place, and x follows from the sums on either side of it.
     """
     weights = F.array(*[F.lit(integral(k)) for k in schedules])
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    d = sizes.withColumn("turn", ((F.row_number().over(by_name) - 1) % len(schedules)).cast("int"))
+    by_name = F.col("source").asc_nulls_last()
+    d = running_sums(sizes, [by_name], {}, "place").withColumn("turn", (F.col("place") % len(schedules)).cast("int"))
     d = d.withColumn("w", F.element_at(weights, F.col("turn") + 1)).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    fill = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    onward = fill.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    d = d.withColumn("total", F.sum("source_size").over(whole) * F.lit(float(total_share)))
-    # Were all before this one full, the rest would be shared at this level.
-    d = d.withColumn("x", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward))
-    level = F.max(F.when(F.col("x") * F.col("w") <= F.col("cap"), F.col("x"))).over(whole)  # later ones come out lower
-    d = d.withColumn("target", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap"))))
-    return d.select("source", "turn", "rows", "source_size", "target")
+    d = running_sums(d, [F.col("cap") / F.col("w"), by_name], {"cap": "full_before", "w": "w_before"}, "place")
+    whole = d.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    total, weight = (whole["size"] or 0) * float(total_share), whole["w"] or 0.0
+    # Were all before this one full, the rest would be shared at this level; later ones come out lower.
+    x = (F.lit(total) - F.col("full_before")) / (F.lit(weight) - F.col("w_before"))
+    level = d.withColumn("x", x).where(F.col("x") * F.col("w") <= F.col("cap")).agg(F.max("x")).first()[0]
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("w"))
+    return d.select(*sizes.columns, "turn", target.alias("target"))
 
 
 def _fill(rest: Column, done: Column, spares: Column) -> Column:
@@ -121,33 +122,38 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
         raise ValueError("most is a whole number, and at least the total share")
     names = list(carry or docs.columns)
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    d = docs.select(row, F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("h"), F.xxhash64(F.lit(seed), "text").alias("h2"))
-    bare = cut(d.select("source", "size", "h", "h2"), "sizes")  # the sums below take no second look at the texts
-
-    sizes = bare.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
+    source = F.col("source").cast("string")
+    key = F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("src")  # never null, so that joins are plain
+    d = docs.select(row, key, source.alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("h"), F.xxhash64(F.lit(seed), "text").alias("h2"))
+    # The sums below take no second look at the texts; nor does the last step, if the columns to carry are narrow.
+    if all(isinstance(f.dataType, _NARROW) for f in d.schema["row"].dataType.fields):
+        d = cut(d, "sizes")
+        bare = d.drop("row")
+    else:
+        bare = cut(d.drop("row"), "sizes")
+
+    sizes = cut(bare.groupBy("src", "source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")), "sources")
     targets = source_targets(sizes, schedules, total_share, most)
-    # Few sources are broadcast, after a check; more of them are joined by a shuffle.
+    # Few sources are broadcast, after a check; more of them are joined by a shuffle, the largest apart.
     few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    known = targets.withColumn("buckets", F.least(F.ceil(F.sqrt("rows")), F.ceil(F.col("rows") / BUCKET_ROWS))).withColumn("full", F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12))
-    known = known.withColumn("rest", F.when(F.col("full") < most, F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0))).otherwise(0.0))
+    known = targets.drop("source").withColumn("buckets", F.least(F.ceil(F.sqrt("rows")), F.ceil(F.col("rows") / BUCKET_ROWS))).withColumn("full", F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12))
+    known = cut(known.withColumn("rest", F.when(F.col("full") < most, F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0))).otherwise(0.0)), "targets")
 
-    def of_source(rows: DataFrame, by: DataFrame) -> DataFrame:
-        by = by.withColumnRenamed("source", "s")
-        return rows.join(F.broadcast(by) if few else by, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    def of_source(rows: DataFrame, by: DataFrame, count: str) -> DataFrame:
+        return rows.join(F.broadcast(by), "src") if few else join_hot(rows, by, "src", count)
 
     def in_buckets(rows: DataFrame) -> DataFrame:
-        return of_source(rows, known).withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).withColumn("able", (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
+        return of_source(rows, known, "rows").withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).withColumn("able", (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
 
     able_size = F.when(F.col("able"), F.col("size")).otherwise(0)
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = in_buckets(bare).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.sum(able_size).alias("able_size"))
-    sums = sums.select("source", "bucket", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(to) for c, to in (("bucket_size", "bucket_start"), ("able_size", "able_start"))])
+    along = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = in_buckets(bare).groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"), F.sum(able_size).alias("able_size"))
+    sums = cut(sums.select("src", "bucket", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(to) for c, to in (("bucket_size", "bucket_start"), ("able_size", "able_start"))]), "sums")
 
     def in_order(rows: DataFrame, sums: DataFrame) -> DataFrame:
         """Where a row starts among all of its source, and whether it is in time for the rest."""
-        sums = sums.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
-        rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-        within = Window.partitionBy("source", "bucket").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.join(sums, ["src", "bucket"])
+        within = Window.partitionBy("src", "bucket").orderBy("h", "h2").rowsBetween(Window.unboundedPreceding, -1)
         for size, start in ((F.col("size"), "bucket_start"), (able_size, "able_start")):
             rows = rows.withColumn(start, F.col(start) + F.coalesce(F.sum(size).over(within), F.lit(0)))
         return rows.withColumn("early", F.col("able") & (F.col("able_start") + F.col("size") <= F.col("rest")))
@@ -155,20 +161,20 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
     # What is left then is filled from the longest size that fits downwards, over all of a source.
     spare = F.col("able") & ~F.col("early")
     ran = in_order(in_buckets(bare), sums)
-    left = ran.groupBy("source", "size").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("early"), F.col("size")).otherwise(0)).alias("done"), F.count(F.when(spare, 1)).alias("n"))
-    left = left.groupBy("source").agg(F.max("rest").alias("rest"), F.sum("done").alias("done"), F.collect_list(F.when(F.col("n") > 0, F.struct("size", "n"))).alias("spares"))
-    fill = left.select("source", _fill(F.col("rest"), F.col("done"), F.col("spares")).alias("picks"))
+    left = ran.groupBy("src", "size").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("early"), F.col("size")).otherwise(0)).alias("done"), F.count(F.when(spare, 1)).alias("n"))
+    left = left.groupBy("src").agg(F.max("rest").alias("rest"), F.sum("done").alias("done"), F.sum("n").alias("spare_rows"), F.collect_list(F.when(F.col("n") > 0, F.struct("size", "n"))).alias("spares"))
+    fill = cut(left.select("src", "spare_rows", _fill(F.col("rest"), F.col("done"), F.col("spares")).alias("picks")).where(F.size("picks") > 0), "fill")
     pick = F.get(F.filter("picks", lambda p: p["size"] == F.col("size")), F.lit(0))
-    asked = of_source(ran.where(spare), fill.where(F.size("picks") > 0)).withColumn("pick", pick).where(F.col("pick").isNotNull())
-    asked = asked.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"), F.first("pick").alias("pick"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = of_source(ran.where(spare), fill, "spare_rows").withColumn("pick", pick).where(F.col("pick").isNotNull())
+    asked = asked.groupBy("src", "size", "bucket").agg(F.count("*").alias("n"), F.first("pick").alias("pick"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("src", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     asked = asked.withColumn("before", before).withColumn("n", F.least(F.col("n"), F.col("pick.n") - F.col("before"))).where("n > 0")
     picks = F.collect_list(F.struct("size", "n", (F.col("pick.start") + F.col("before") * F.col("size")).alias("start")))
-    asked = asked.groupBy("source", "bucket").agg(picks.alias("picks")).withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
-    sums = sums.join(asked, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left").drop("s", "b")
+    asked = asked.groupBy("src", "bucket").agg(picks.alias("picks"))
+    sums = cut(sums.join(asked, ["src", "bucket"], "left"), "filled")
 
     d = in_order(in_buckets(d), sums)
-    again = F.row_number().over(Window.partitionBy("source", "bucket", "size", "early").orderBy("h", "h2")) - 1
+    again = F.row_number().over(Window.partitionBy("src", "bucket", "size", "early").orderBy("h", "h2")) - 1
     d = d.withColumn("pick", pick).withColumn("again", again)
     late = spare & F.coalesce(F.col("again") < F.col("pick.n"), F.lit(False))
     d = d.withColumn("extra", F.col("early") | late).withColumn("copies", (F.col("full") + F.col("extra").cast("int")).cast("int"))
