@@ -56,8 +56,8 @@ def format_chats(turns: DataFrame, learn_from: tuple[str, ...] = ("assistant",))
     """(conv_id, formatted, loss_spans, attachments, expanded_tokens) per conversation.
 
     ``turns`` has conv_id, turn, role and text; an array column ``parts`` of PART structs, if there
-    is one, is used instead of a text wherever it isn't null.  Turns are ordered by turn, nulls
-    first; equal ones by role and body.  Null texts and roles are empty.  Rows with a null conv_id
+    is one, is used instead of a text wherever it isn't null; a text alone is one text part.  Turns are
+    ordered by turn, nulls first; equal ones by role, text and body, as they were before escaping.  Null texts and roles are empty.  Rows with a null conv_id
     are one conversation.  ``loss_spans`` are (start, length) in code points, from 1, of the bodies
     of the roles to learn from.  Repeated rows all count.  Other columns aren't looked at.  An empty
     table gives an empty one.
@@ -65,20 +65,16 @@ def format_chats(turns: DataFrame, learn_from: tuple[str, ...] = ("assistant",))
     A conversation is one output string, so its turns meet in one task; nothing else is gathered.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    if "parts" in turns.columns:
-        parts = F.col("parts").cast(f"array<{PART}>")
-        body = F.when(parts.isNull(), escape(text)).otherwise(F.concat_ws("", F.transform(parts, visit)))
-        attached = F.transform(
-            F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p["kind"].isin(*PLACEHOLDERS)),
-            lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")),
-        )
-    else:
-        body, attached = escape(text), F.array().cast("array<struct<kind:string,ref:string,tokens:bigint>>")
+    none = lambda name: F.lit(None).alias(name)
+    alone = F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), *map(none, ("ref", "width", "height", "seconds", "pages")))).cast(f"array<{PART}>")
+    parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), alone) if "parts" in turns.columns else alone
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    d = turns.select("conv_id", "turn", escape(role).alias("role"), role.isin(*learn_from).alias("learn"), body.alias("body"), attached.alias("attached"))
+    d = turns.select("conv_id", "turn", role.alias("said_by"), text.alias("said"), parts.alias("parts"))
+    attached = F.transform(F.filter("parts", lambda p: p["kind"].isin(*PLACEHOLDERS)), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
+    d = d.select("conv_id", "turn", "said_by", "said", escape(F.col("said_by")).alias("role"), F.col("said_by").isin(*learn_from).alias("learn"), F.concat_ws("", F.transform("parts", visit)).alias("body"), attached.alias("attached"))
     head = F.concat(F.lit(TURN), "role", F.lit(TEXT))
-    d = d.select("conv_id", "turn", "role", "learn", "attached", F.concat(head, "body", F.lit(END)).alias("piece"), F.length(head).alias("head"), F.length("body").alias("body_chars"), "body")
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
+    d = d.select("conv_id", "turn", "said_by", "said", "learn", "attached", F.concat(head, "body", F.lit(END)).alias("piece"), F.length(head).alias("head"), F.length("body").alias("body_chars"), "body")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "said_by", "said", "body")
     before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("place", F.row_number().over(order)).withColumn("start", (before + F.col("head") + 1).cast("int"))
     d = d.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece", "learn", "start", "body_chars", "attached"))).alias("turns"))
