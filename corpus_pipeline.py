@@ -6,10 +6,12 @@ all but the last return documents with their columns.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm.common import cut, table
+from tabloom.llm.common import cut, file_order, table
 from tabloom.llm.curriculum_mix import mixture
 from tabloom.llm.min_max_dedup import deduplicate
 from tabloom.llm.simhash_decontam import decontaminate
@@ -37,9 +39,21 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixture(docs)
 
 
+#: Session setting: where the token files of each run get a folder of their own that stays.  Without it they
+#: lie in the run's shared folder, which goes with the process.
+TOKENS_DIR = "spark.tabloom.tokens.dir"
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and a row per document read back from them."""
-    return token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2).drop("shard")
+    """Token files in the order in which the mix trains, and a row per document read back from them.
+
+    The order is that of the rows in the files of the stage before; documents that aren't read straight
+    from files stand by doc_id.
+    """
+    root = spark.conf.get(TOKENS_DIR, None)
+    folder = f"{root.rstrip('/')}/run-{uuid.uuid4().hex[:12]}" if root else None
+    placed, order = file_order(docs, ["doc_id", "text"])
+    return token_digests(placed, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2, folder=folder, order=order).drop("shard")
 
 
 STAGES = [
