@@ -1,9 +1,14 @@
 """WARC records in ZIP-packaged archives, written by range of page id and read without extraction.
 
 An archive is a ZIP file with two stored members: ``archive/data.warc.gz``, a gzip member for each
-record, and ``indexes/index.cdxj``, a line for each record with its offset and length in the first.
-The reader parses the end record, the ZIP64 records where sizes ask for them, and the central
-directory; it then reads the index and each record by byte range.
+record, and ``indexes/index.cdxj``, a CDXJ line for each record (sort key of the URL, time, JSON with the
+record's file, offset and length), in the order of the lines.  The reader parses the end record, the
+ZIP64 records where sizes ask for them, and the central directory; it takes every index and every
+WARC member that it finds there and reads each record by its byte range.  Index lines may also be
+bare JSON; indexes may be gzipped.
+
+Html is shuffled once, by range of page id.  Which digests come more than once is found on narrow rows;
+a tag for each page that revisits another goes along in that shuffle and stands before its page.
 """
 
 from __future__ import annotations
@@ -11,21 +16,27 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_filesystem, cut, put_file, shared_dir
+from .common import arrow_filesystem, cut, join_hot, put_file, shared_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 ARCHIVE_ROWS = 50_000
+PARTITION_BYTES = 256 << 20
+PARTITION_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
+_INDEXES = re.compile(r"indexes/.*\.(?:cdxj?|cdxj?\.gz)")
+_WARCS = re.compile(r"archive/.*\.warc(?:\.gz)?")
 _U32, _U16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -53,16 +64,42 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> dict:
-    """Headers, and the payload of a response, of one record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
+def sort_key(url: str) -> str:
+    """The URL with its host's labels turned round, lower-cased, as CDXJ lines begin with it."""
+    try:
+        parts = urlsplit(url.lower())
+        host, port = parts.hostname or "", parts.port
+    except ValueError:
+        parts, host, port = None, "", None
+    if not host:
+        return url.lower().replace(" ", "%20") or "-"
+    labels = ",".join(reversed(host.removeprefix("www.").split(".")))
+    return f"{labels}{f':{port}' if port else ''}){parts.path or '/'}{f'?{parts.query}' if parts.query else ''}".replace(" ", "%20")
+
+
+def index_line(url: str, digest: str, revisit: bool, offset: int, length: int) -> str:
+    """The CDXJ line of a record."""
+    url = _clean(url)
+    entry = {"url": url, "mime": "warc/revisit" if revisit else "text/html", "status": "200", "digest": f"sha256:{digest}", "length": str(length), "offset": str(offset), "filename": DATA.rpartition("/")[2]}
+    return f"{sort_key(url)} {re.sub(r'[^0-9]', '', DATE)} {json.dumps(entry)}"
+
+
+def parse_headers(data: bytes) -> dict:
+    """The headers of a record."""
+    head = data[: data.index(b"\r\n\r\n")] if b"\r\n\r\n" in data else data
     lines = head.decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ArchiveError("not a WARC record")
-    headers = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
+    return {k: v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if ":" in line)}
+
+
+def parse_record(data: bytes) -> dict:
+    """Headers, and the payload of a response, of one record."""
+    headers = parse_headers(data)
+    rest = data[data.index(b"\r\n\r\n") + 4 :]
     block = rest[: int(headers["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    headers["http"] = dict(line.split(": ", 1) for line in http.decode("latin-1").split("\r\n")[1:])
+    headers["http"] = dict(line.split(": ", 1) for line in http.decode("latin-1").split("\r\n")[1:] if ": " in line)
     headers["payload"] = payload
     return headers
 
@@ -98,13 +135,14 @@ def archive_bytes(records: Iterator[tuple[int | None, bytes]], zip64: bool = Tru
         yield tail
 
     yield from begin(DATA)
-    for page_id, record in records:
+    for _, record in records:
         packed = gzip.compress(record, 6, mtime=0)
-        index.append(json.dumps({"id": page_id, "offset": members[-1][2], "length": len(packed)}))
+        headers = parse_headers(record)
+        index.append(index_line(headers["WARC-Target-URI"], headers["WARC-Payload-Digest"].removeprefix("sha256:"), headers["WARC-Type"] == "revisit", members[-1][2], len(packed)))
         yield body(packed)
     yield from end()
     yield from begin(INDEX)
-    yield body("\n".join(index).encode())
+    yield body("".join(f"{line}\n" for line in sorted(index)).encode())
     yield from end()
     start = at
     for name, place, size, crc in members:
@@ -187,36 +225,77 @@ class Archive:
         n, m = struct.unpack_from("<2H", header, 26)
         return place + 30 + n + m, size
 
-    def records(self) -> Iterator[dict]:
-        """Every record that the index lists, each by its own range."""
-        begin, size = self.stored(INDEX)
+    def _index(self, name: str) -> Iterator[dict]:
+        begin, size = self.stored(name)
         lines = self.span(begin, size)
-        if zlib.crc32(lines) != self.members[INDEX][3]:
+        if zlib.crc32(lines) != self.members[name][3]:
             raise ArchiveError("the index is damaged")
-        begin, size = self.stored(DATA)
-        for line in lines.decode().split("\n") if lines else []:
-            entry = json.loads(line)
-            if entry["offset"] + entry["length"] > size:
+        if lines[:2] == b"\x1f\x8b":
+            lines = gzip.decompress(lines)
+        for line in lines.decode().split("\n"):
+            if "{" in line and not line.startswith("!"):
+                yield json.loads(line[line.index("{") :])
+
+    def records(self) -> Iterator[dict]:
+        """Every record that the indexes list, each by its own range, in the order of the archive."""
+        indexes = [n for n in self.members if _INDEXES.fullmatch(n)]
+        warcs = {n.rpartition("/")[2]: self.stored(n) for n in self.members if _WARCS.fullmatch(n)}
+        if not indexes or not warcs:
+            raise ArchiveError("no index" if warcs else "no WARC member")
+        found = []
+        for entry in (e for n in indexes for e in self._index(n)):
+            name = entry.get("filename") or DATA.rpartition("/")[2]
+            name = name.rpartition("/")[2]
+            if name not in warcs:
+                raise ArchiveError(f"the index names {name}, which isn't there")
+            found.append((name, int(entry["offset"]), int(entry["length"])))
+        for name, offset, length in sorted(found):
+            begin, size = warcs[name]
+            if offset + length > size:
                 raise ArchiveError("the index points outside its member")
-            yield parse_record(gzip.decompress(self.span(begin + entry["offset"], entry["length"])))
+            data = self.span(begin + offset, length)
+            yield parse_record(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+
+
+_MADE = pa.schema([("part", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
 
 def _write_task(folder: str):
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = 0
-
-        def records():
-            nonlocal count
-            for frame in frames:
-                for page_id, url, html, digest, to in zip(frame["page_id"], frame["url"], frame["html"], frame["digest"], frame["refers_to"]):
-                    page_id = None if pd.isna(page_id) else int(page_id)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages come by id; a tag with the page that is revisited comes before the pages of its id and digest."""
+        part, number, tag = TaskContext.get().partitionId(), 0, None
+
+        def pages() -> Iterator[tuple[int | None, bytes, int]]:
+            nonlocal tag
+            for batch in batches:
+                ids, digests, first = (batch.column(c).to_pylist() for c in ("page_id", "digest", "refers_to"))
+                kinds = batch.column("kind").to_pylist()
+                for k, (page_id, digest) in enumerate(zip(ids, digests)):
+                    if kinds[k] == 0:
+                        tag = page_id, digest, first[k]
+                        continue
+                    html = batch.column("html")[k].as_py()
                     payload = html.encode("utf-8", "surrogatepass") if html else b""
-                    count += 1
-                    yield page_id, warc_record(page_id, url, payload, digest, None if pd.isna(to) else int(to))
-
-        part = TaskContext.get().partitionId()
-        size = put_file(f"{folder}/pages-{part:06d}.wacz", archive_bytes(records()))
-        yield pd.DataFrame({"part": [part], "records": [count], "bytes": [size]})
+                    refers = tag[2] if tag is not None and tag[:2] == (page_id, digest) else None
+                    yield page_id, warc_record(page_id, batch.column("url")[k].as_py(), payload, digest, refers), len(payload)
+
+        source = pages()
+        following = next(source, None)
+        while following is not None:
+            count = held = 0
+
+            def archive() -> Iterator[tuple[int | None, bytes]]:
+                nonlocal following, count, held
+                while following is not None and held < ARCHIVE_BYTES and count < ARCHIVE_ROWS:
+                    page_id, record, size = following
+                    count, held = count + 1, held + size
+                    yield page_id, record
+                    following = next(source, None)
+
+            file = f"pages-{part:06d}-{number:04d}.wacz"
+            size = put_file(f"{folder}/{file}", archive_bytes(archive()))
+            yield pa.RecordBatch.from_pylist([{"part": part, "file": file, "records": count, "bytes": size}], _MADE)
+            number += 1
 
     return write
 
@@ -237,19 +316,21 @@ def read_archive(uri: str) -> Iterator[tuple]:
             yield _page(r["WARC-Record-ID"]), int(r["http"]["Content-Length"]), digest, kind, _page(r["WARC-Refers-To"]) if kind == "revisit" else None
 
 
+_READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+
+
 def _read_task(folder: str):
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in frame["part"]:
-                rows = [*read_archive(f"{folder}/pages-{int(part):06d}.wacz")]
-                columns = [*zip(*rows)] or [[]] * 5
-                yield pd.DataFrame({"page_id": pd.array(columns[0], "Int64"), "payload_bytes": pd.array(columns[1], "Int64"), "payload_digest": columns[2], "record_type": columns[3], "refers_to": pd.array(columns[4], "Int64")})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file in (f for b in batches for f in b.column(0).to_pylist()):
+            rows = [*read_archive(f"{folder}/{file}")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ)], schema=_READ)
 
     return read
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
-    """Write ``pages`` (page_id, url, html); returns the folder and (part, records, bytes) per archive.
+    """Write ``pages`` (page_id, url, html); returns the folder and (part, file, records, bytes) per archive.
 
     Of records with equal payloads of at least LEAST_REVISIT bytes, that with the smallest page_id
     is a response and the others revisit it; if rows share that page_id, they are all responses.
@@ -259,20 +340,24 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/archives"
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    first = cut(d.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first")), "first")
-    total = d.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
-    parts = max(spark.sparkContext.defaultParallelism, (total["b"] or 0) // ARCHIVE_BYTES + 1, total["n"] // ARCHIVE_ROWS + 1)
-    # Both sides are plain shuffles on the digest, so that one huge group of copies can be split.
-    tagged = d.join(first, "digest", "left")
-    refers = F.when((F.col("size") >= LEAST_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    tagged = tagged.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    placed = tagged.repartitionByRange(int(parts), F.col("page_id").asc_nulls_first(), "digest").sortWithinPartitions(F.col("page_id").asc_nulls_first(), "digest")
-    return folder, cut(placed.mapInPandas(_write_task(folder), "part long, records long, bytes long"), "manifest")
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    narrow = cut(d.select("page_id", "digest", F.octet_length("html").cast("long").alias("size")), "digests")
+    total = narrow.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
+    # Only digests that are there twice are joined, on narrow rows; small payloads never are.
+    large = narrow.where(F.col("size") >= LEAST_REVISIT)
+    again = cut(large.groupBy("digest").agg(F.count("*").alias("c"), F.min("page_id").alias("first")).where("c > 1 and first is not null"), "again")
+    tags = join_hot(large.select("page_id", "digest"), again, "digest", "c").where("not (page_id <=> first)").select("page_id", "digest", "first").distinct()
+    none = F.lit(None).cast("string")
+    tags = tags.select("page_id", "digest", F.lit(0).alias("kind"), F.col("first").alias("refers_to"), none.alias("url"), none.alias("html"))
+    rows = d.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
+    parts = max(spark.sparkContext.defaultParallelism, (total["b"] or 0) // PARTITION_BYTES + 1, total["n"] // PARTITION_ROWS + 1)
+    by = [F.col("page_id").asc_nulls_first(), F.col("digest")]  # a tag and its pages have one key, so one partition
+    placed = rows.unionByName(tags).repartitionByRange(int(parts), *by).sortWithinPartitions(*by, "kind")
+    return folder, cut(placed.mapInArrow(_write_task(folder), "part int, file string, records long, bytes long"), "manifest")
 
 
 def page_records(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from archives of ``pages``."""
     folder, manifest = write_archives(pages)
-    spread = manifest.where("records > 0").select("part").repartition(max(1, min(10_000, manifest.count())), "part")
-    return spread.mapInPandas(_read_task(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    spread = manifest.select("file").repartition(max(1, min(10_000, manifest.count())), "file")
+    return spread.mapInArrow(_read_task(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
