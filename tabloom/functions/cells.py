@@ -6,6 +6,7 @@ Column forms of the same rules are in ``columns``; tests hold the two against ea
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import math
 import re
 
@@ -96,21 +97,56 @@ def number_text(x: float) -> str:
     return text.removesuffix(".0")
 
 
+def _rounded(x: float, places: int) -> decimal.Decimal:
+    """The exact value of x at so many decimal places, halves away from zero."""
+    return decimal.Decimal(x).quantize(decimal.Decimal(1).scaleb(-places), decimal.ROUND_HALF_UP)
+
+
+def _plain(d: decimal.Decimal) -> str:
+    text = f"{d:f}"
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
+def _exponential(x: float, places: int) -> str:
+    """With so many places behind the first digit, zeros at the end dropped, and an exponent of two digits at least."""
+    power = decimal.Decimal(x).adjusted()
+    d = _rounded(x, places - power)
+    if d.adjusted() > power:
+        power, d = power + 1, _rounded(x, places - power - 1)
+    return f"{_plain(d.scaleb(-power))}E{'+' if power >= 0 else '-'}{abs(power):02d}"
+
+
 def general_text(x: float) -> str:
-    """A number as the General format shows it: eleven characters, else an exponent."""
-    if x == 0 or not math.isfinite(x):
-        return "0" if x == 0 else str(x)
-    power = math.floor(math.log10(abs(x)))
-    if -5 < power < 11:
-        if x == int(x) and power < 11:
-            return str(int(x))
-        places = max(0, 9 - max(power, 0))
-        text = f"{x:.{places}f}".rstrip("0").rstrip(".")
-        if len(text.lstrip("-")) <= 11 and float(text) != 0:
-            return text
-    digits = f"{x:.5E}"
-    mantissa, _, e = digits.partition("E")
-    return f"{mantissa.rstrip('0').rstrip('.')}E{e[0]}{int(e[1:]):02d}"
+    """A number as the General format shows it: eleven characters and a sign, else an exponent.
+
+    Whole numbers keep all their digits.  Below 1 there are nine decimals down to 0.0001; below that, and
+    from 1 up to ten digits, as many as fit; with eleven digits before the point there is no room for any.
+    """
+    with decimal.localcontext() as context:
+        context.prec = 400
+        if not math.isfinite(x):
+            return "NaN" if x != x else "Infinity" if x > 0 else "-Infinity"
+        if x == int(x):
+            if abs(x) < 1e21:
+                return _plain(decimal.Decimal(repr(float(x)))) if x else "0"
+            digits, _, power = repr(float(x)).partition("e")
+            return f"{digits.removesuffix('.0')}e{power}"
+        room, size = 12 if x < 0 else 11, decimal.Decimal(x).adjusted()
+        if -4 <= size <= -1:
+            return _plain(_rounded(x, 9))
+        if size == 10:
+            return _plain(decimal.Decimal(f"{_rounded(x, 10):f}"[:12].rstrip(".")))
+        places = 12 if abs(size) <= 9 else 11
+        whole = _plain(_rounded(x, places))
+        if len(whole) <= room and decimal.Decimal(whole):
+            return whole
+        if 0 <= size <= 9:
+            ten = _rounded(x, 9 - size)
+            if ten.adjusted() > size:  # 9.99... went up to the next power
+                ten = _rounded(x, 8 - size)
+            if ten.adjusted() <= 9 and len(f"{ten:f}") <= room:
+                return _plain(ten)
+        return _exponential(x, 5)
 
 
 _NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
@@ -177,7 +213,22 @@ def iso_text(t: dt.datetime) -> str:
     return f"{t:%Y-%m-%dT%H:%M:%S}" + (f".{t.microsecond // 1000:03d}" if t.microsecond >= 1000 else "") if t.year >= 1000 else t.isoformat(timespec="milliseconds")
 
 
-_LITERALS = re.compile(r'"[^"]*"?|\\.|[_*].|\[(?!h+\]|m+\]|s+\])[^\]]*\]|general', re.IGNORECASE)
+# What a format shows as it is; a quote or bracket that isn't closed goes on to the end.  Elapsed time stays.
+_LITERALS = re.compile(r'"[^"]*"?|\\.?|[_*].?|\[(?!(?:hh?|mm?|ss?)(?:\]|$))[^\]]*\]?|general', re.IGNORECASE | re.DOTALL)
+
+# Built-in number formats by their ids.
+BUILTIN_FORMATS = {
+    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??",
+    14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm",
+    37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)",
+    45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
+}
+_BUILTIN_IDS = {code: k for k, code in BUILTIN_FORMATS.items()}
+
+
+def builtin_format_id(code: str) -> int:
+    """The id of a built-in format with exactly that code; -1 if there is none."""
+    return _BUILTIN_IDS.get(code, -1)
 
 
 def is_date_format(code: str) -> bool:
@@ -236,26 +287,40 @@ def format_range(top: int, left: int, bottom: int, right: int) -> str:
     return a if a == b else f"{a}:{b}"
 
 
-_BAD_NAME = re.compile("[\\\\/?*:\\[\\]\x00-\x1f\x7f￾￿\ud800-\udfff]")
-
-
-def _cut_name(name: str, limit: int) -> str:
-    return limit_text(name, limit).rstrip(" '") if units(name) > limit else name
+_BAD_NAME = re.compile("[\\\\/?*:\\[\\]\x00-\x1f\ufffe\uffff\ud800-\udfff]")
+# What counts as white space at a name's edges.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def clean_sheet_name(name: str, taken: tuple[str, ...] = (), number: int | None = None) -> str:
     """A name that a sheet may have, and that none of ``taken`` has in any case."""
-    out = _cut_name(_BAD_NAME.sub("_", name).strip(" ").strip("'").strip(" "), MAX_SHEET_NAME)
+    used = {t.lower() for t in taken}
+    out = _BAD_NAME.sub("_", name).strip(SPACES + "'")
     if out.lower() == "history":
         out += "_"
-    out = out or f"Sheet{number if number is not None else len(taken) + 1}"
-    used, base, k = {t.lower() for t in taken}, out, 2
+    out = limit_text(out, MAX_SHEET_NAME).strip(SPACES + "'")
+    if not out:
+        k = number if number is not None else len(used) + 1
+        while f"sheet{k}" in used:
+            k += 1
+        out = f"Sheet{k}"
+    base, k = out, 2
     while out.lower() in used:
         tail = f" ({k})"
-        out, k = _cut_name(base, MAX_SHEET_NAME - len(tail)) + tail, k + 1
+        out, k = limit_text(base, MAX_SHEET_NAME - len(tail)).rstrip(SPACES) + tail, k + 1
     return out
 
 
+def escape_text(text: str) -> str:
+    """Markup's text of names and titles: what XML does not allow is dropped."""
+    return re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\ud800-\udfff]", "", text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def preview(text: str, most: int = 60) -> str:
+    """A long text's beginning and its length, for reports."""
+    return text if units(text) <= most else f"{limit_text(text, most - 3)}... ({units(text)} chars)"
+
+
 def valid_sheet_name(name: str) -> bool:
     return bool(name) and clean_sheet_name(name) == name
 

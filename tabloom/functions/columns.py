@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from .cells import DATE_FORMAT_IDS, DAY_MS, LAST_SERIAL_1900, MAX_CELL_CHARS, MAX_COLUMNS, MAX_ROWS, MAX_SHEET_NAME, OFFSET_1904
+from .cells import BUILTIN_FORMATS, DATE_FORMAT_IDS, DAY_MS, LAST_SERIAL_1900, MAX_CELL_CHARS, MAX_COLUMNS, MAX_ROWS, MAX_SHEET_NAME, OFFSET_1904, SPACES
 
 _EPOCH_DAYS = 25_569
 
@@ -52,10 +53,16 @@ def is_date_id(number: Column) -> Column:
 
 def is_date_code(code: Column) -> Column:
     """Whether a number format shows a date or time, outside quotes, escapes, colours and General."""
-    rest = F.regexp_replace(code, r'(?i)"[^"]*"?|\\.|[_*].|\[(?!h+\]|m+\]|s+\])[^\]]*\]|general', "")
+    rest = F.regexp_replace(code, r'(?is)"[^"]*"?|\\.?|[_*].?|\[(?!(?:hh?|mm?|ss?)(?:\]|\z))[^\]]*\]?|general', "")
     return rest.rlike(r"(?i)[ymdhs]|a/p|am/pm")
 
 
+def builtin_format_id(code: Column) -> Column:
+    """The id of a built-in format with exactly that code; -1 if there is none."""
+    known = F.create_map(*[F.lit(x) for k, c in BUILTIN_FORMATS.items() for x in (c, k)])
+    return F.coalesce(F.try_element_at(known, code), F.lit(-1))
+
+
 def column_letters(index: Column) -> Column:
     """A for 0 up to XFD; null beyond."""
     k = index.cast("int")
@@ -141,12 +148,11 @@ def limit_text(text: Column, limit: int = MAX_CELL_CHARS, suffix: str = "") -> C
 
 
 def clean_sheet_name(name: Column, fallback: str = "Sheet1") -> Column:
-    """A name that a sheet may have; uniqueness within a workbook is ``operators.naming``'s."""
-    out = F.regexp_replace(name, r"[\\/?*:\[\]\x00-\x1F\x7F\uFFFE\uFFFF]", "_")
-    out = F.regexp_replace(F.trim(out), r"^'+|'+$", "")
-    out = F.trim(out)
-    out = F.when(utf16_units(out) > MAX_SHEET_NAME, F.regexp_replace(limit_text(out, MAX_SHEET_NAME), r"[ ']+$", "")).otherwise(out)
+    """A name that a sheet may have; names of one workbook are kept apart by ``operators.relations``."""
+    edges = lambda c: F.regexp_replace(c, f"^[{SPACES}']+|[{SPACES}']+\\z", "")
+    out = edges(F.regexp_replace(name, r"[\\/?*:\[\]\x00-\x1F\uFFFE\uFFFF]", "_"))
     out = F.when(F.lower(out) == "history", F.concat(out, F.lit("_"))).otherwise(out)
+    out = F.when(utf16_units(out) > MAX_SHEET_NAME, edges(limit_text(out, MAX_SHEET_NAME))).otherwise(out)
     return F.when(F.coalesce(out, F.lit("")) == "", F.lit(fallback)).otherwise(out)
 
 
@@ -171,19 +177,109 @@ def whole_or_text(value: Column) -> Column:
 
 
 def sniff_kind(content: Column) -> Column:
-    """What a file's first bytes say: zip, xls, xml, html, empty or other (text needs ``sources.sniff``)."""
-    head = F.hex(F.substring(content, 1, 8))
-    text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 256), "ISO-8859-1")))
+    """What a file's first bytes say: zip, empty-zip, encrypted, xls, xml, html, text, empty or unknown.
+
+    The same kinds as ``sources.sniff``.  Text is UTF-16 by its mark, or UTF-8 of which nine tenths are
+    printable, or a one-byte code with hardly a control character in it.
+    """
+    head = F.substring(content, 1, 65_536)
+    four, eight = F.hex(F.substring(content, 1, 4)), F.hex(F.substring(content, 1, 8))
+    marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    body = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(head, 4, 65_536)).otherwise(head)
+    # A code point that is cut at the end of the head is no fault of the text.
+    whole = F.coalesce(*[F.when(F.is_valid_utf8(x.cast("string")), x.cast("string")) for x in (body, *[F.substring(body, 1, 65_533 - k) for k in range(4)])])
+    text = F.when(marked, F.decode(head, "UTF-16")).otherwise(whole)
+    start = F.regexp_replace(text, "^[\ufeff \\t\\r\\n]+", "")
+    latin = F.decode(body, "ISO-8859-1")
+    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    controls = count(latin, r"[\x01-\x08\x0B\x0E-\x1F]")
+    odd = count(text, r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^\t\r\n\f ]]")
+    markup = start.rlike(r"^(?:<\?xml|<[A-Za-z_][\w:.-]*[\s/>])")
     return (
         F.when(F.octet_length(content) == 0, "empty")
-        .when(head.startswith("504B0304"), "zip")
-        .when(head.startswith("D0CF11E0A1B11AE1"), "xls")
-        .when(text.rlike(r"^(<!doctype html|<html)"), "html")
-        .when(text.startswith("<?xml"), "xml")
-        .otherwise("other")
+        .when(four == "504B0304", "zip")
+        .when(four.isin("504B0506", "504B0708"), "empty-zip")
+        .when(eight == "D0CF11E0A1B11AE1", F.when(F.locate("EncryptedPackage".encode("utf-16-le").hex().upper(), F.hex(head)) > 0, "encrypted").otherwise("xls"))
+        .when(text.isNull(), F.when(~F.contains(latin, F.lit("\x00")) & (controls <= F.length(latin) * 0.02), "text").otherwise("unknown"))
+        .when(start.rlike(r"(?i)^(<!doctype html|<html)") | markup & F.substring(start, 1, 2000).rlike(r"(?i)<html[\s>]"), "html")
+        .when(markup, "xml")
+        .when((F.length(text) > 0) & ~F.contains(text, F.lit("\x00")) & (odd <= F.length(text) * 0.1), "text")
+        .otherwise("unknown")
     )
 
 
+#: What a kind that is no workbook is refused with.
+REFUSALS = {"encrypted": "ENCRYPTED", "xls": "LEGACY_XLS"}
+
+
+def refusal_code(kind: Column) -> Column:
+    """The error code that a sniffed kind is refused with; null for zip."""
+    out = F.when(kind == "zip", F.lit(None).cast("string"))
+    for name, code in REFUSALS.items():
+        out = out.when(kind == name, code)
+    return out.otherwise("NOT_XLSX")
+
+
+def escape_text(text: Column) -> Column:
+    """Markup's text of names and titles: what XML does not allow is dropped."""
+    out = F.regexp_replace(text, "[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "")
+    for plain, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(plain), F.lit(name))
+    return out
+
+
+def escape_attribute(text: Column) -> Column:
+    """The same between quotes."""
+    out = escape_text(text)
+    for plain, name in (('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        out = F.replace(out, F.lit(plain), F.lit(name))
+    return out
+
+
+def line_ends(text: Column) -> Column:
+    """CRLF and CR as LF."""
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def preview(text: Column, most: int = 60) -> Column:
+    """A long text's beginning and its length, for reports."""
+    n = utf16_units(text)
+    return F.when(n <= most, text).otherwise(F.concat(limit_text(text, most - 3), F.lit("... ("), n.cast("string"), F.lit(" chars)")))
+
+
+def colour(text: Column) -> Column:
+    """#RRGGBB, RRGGBB or AARRGGBB as FFRRGGBB; null if it is none of them."""
+    digits = F.upper(F.regexp_replace(text, "^#", ""))
+    return F.when(digits.rlike(r"^([0-9A-F]{2})?[0-9A-F]{6}\z"), F.concat(F.lit("FF"), F.right(digits, F.lit(6))))
+
+
+def iso_text(ts: Column) -> Column:
+    """A wall clock time as text, with milliseconds if there are any."""
+    ms = F.date_format(ts, "SSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(ms == "000", "").otherwise(F.concat(F.lit("."), ms)))
+
+
+def document_stamp(ts: Column) -> Column:
+    """A document property's time: to the second, in UTC; null outside the years 1 to 9999."""
+    return F.when(F.year(ts).between(1, 9999), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def boolean_text(value: Column) -> Column:
+    return F.when(value, "TRUE").when(~value, "FALSE")
+
+
+def parse_boolean(text: Column) -> Column:
+    """1 and true are true, anything else is false; null if blank."""
+    return F.when(F.trim(text) != "", F.trim(text).isin("1", "true"))
+
+
+def sheet_range(rows: Column, columns: Column, absolute: bool = False) -> Column:
+    """The range of a sheet's first rows and columns; with dollar signs for a defined name."""
+    if absolute:
+        return F.concat(F.lit("$A$1:$"), column_letters(columns - 1), F.lit("$"), rows.cast("string"))
+    return format_range(F.lit(1), F.lit(0), rows, columns - 1)
+
+
 def same_number(a: Column, b: Column, tolerance: float = 1e-15) -> Column:
     return (a == b) | (F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b)))
 
@@ -194,11 +290,19 @@ def register_functions(spark) -> None:
 
     from . import cells
 
-    def wrap(rule):
-        def run(s):
-            return s.map(lambda v: None if v is None or v != v else rule(v))
+    def general_text(s: pd.Series) -> pd.Series:
+        # Values that come again, as prices do, are spelled once.
+        codes, values = s.factorize()
+        spelled = [cells.general_text(v) for v in values]
+        return pd.Series([None if k < 0 else spelled[k] for k in codes], index=s.index)
+
+    def number_text(s: pd.Series) -> pd.Series:
+        from ..sources.cellxml import number_texts
 
-        return F.pandas_udf(run, StringType())
+        shown = s.notna() & (s.abs() < float("inf"))
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        out[shown] = number_texts(s[shown].to_numpy(float)).to_pylist()
+        return out
 
-    spark.udf.register("general_text", wrap(cells.general_text))
-    spark.udf.register("number_text", wrap(cells.number_text))
+    for name, rule in (("general_text", general_text), ("number_text", number_text)):
+        spark.udf.register(name, F.pandas_udf(rule, StringType()))

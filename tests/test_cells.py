@@ -45,7 +45,16 @@ def test_number_text(x, text):
     assert C.number_text(x) == text and float(text) == x
 
 
-@pytest.mark.parametrize("x,text", [(1234.5, "1234.5"), (1 / 3, "0.333333333"), (12345678901.0, "12345678901"), (123456789012.0, "1.23457E+11"), (0.00001234, "1.234E-05"), (-5, "-5")])
+@pytest.mark.parametrize(
+    "x,text",
+    [
+        (1234.5, "1234.5"), (1 / 3, "0.333333333"), (12345678901.0, "12345678901"), (-5, "-5"), (0.0, "0"), (-0.0, "0"),
+        # Whole numbers keep their digits; small ones are plain while they fit; with eleven digits there is no fraction.
+        (123456789012.0, "123456789012"), (0.00001234, "0.00001234"), (-1e-7, "-0.0000001"), (12345678901.5, "12345678901"), (1e21, "1e+21"),
+        (4.2728917499999985, "4.27289175"), (1.2345678e-7, "1.23457E-07"), (123456789012.5, "1.23457E+11"), (99999.999999999, "100000"),
+        (9999999999.95, "1E+10"), (-1234567.891234, "-1234567.891"), (2.0**-10, "0.000976563"), (1e-10, "1E-10"), (123456789012345680000.0, "123456789012345680000"),
+    ],
+)
 def test_general_text(x, text):
     assert C.general_text(x) == text
 
@@ -67,10 +76,13 @@ def test_sheet_names():
     assert C.clean_sheet_name("a/b:c") == "a_b_c" and C.clean_sheet_name("'x'") == "x" and C.clean_sheet_name("History") == "History_"
     assert C.clean_sheet_name("", ("a",)) == "Sheet2" and C.clean_sheet_name("A", ("a", "a (2)")) == "A (3)" and len(C.clean_sheet_name("x" * 40)) == 31
     assert C.clean_sheet_name("x" * 31, ("x" * 31,)) == "x" * 27 + " (2)" and C.valid_sheet_name("ok") and not C.valid_sheet_name("a*b")
+    assert C.clean_sheet_name("a", ("a", "a", "a (2)")) == "a (3)" and C.clean_sheet_name("x" * 31, tuple(["x" * 31] + ["x" * 27 + f" ({k})" for k in range(2, 10)])) == "x" * 26 + " (10)"
+    assert C.clean_sheet_name(" ' 'a' ' ") == "a" and C.clean_sheet_name("\u00a0b\ufeff") == "b" and C.clean_sheet_name("", ("sheet2", "x"), None) == "Sheet3" and C.clean_sheet_name("a\x7f") == "a\x7f"
+    assert C.clean_sheet_name("", ("Sheet2",)) == "Sheet3"
     assert C.quote_sheet_name("It's") == "'It''s'" and C.quote_sheet_name("Data_1") == "Data_1"
 
 
-@pytest.mark.parametrize("code,date", [("yyyy-mm-dd", True), ("0.00", False), ("[h]:mm", True), ('"day" 0', False), ("General", False), ("[Red]0", False), ("h AM/PM", True), ("0\\d", False), ("_d0", False), ("[$-409]d", True)])
+@pytest.mark.parametrize("code,date", [("yyyy-mm-dd", True), ("0.00", False), ("[h]:mm", True), ('"day" 0', False), ("General", False), ("[Red]0", False), ("h AM/PM", True), ("0\\d", False), ("_d0", False), ("[$-409]d", True), ("[Red", False), ("[hh", True), ('"y', False), ("[hhh]0", False), ("0\\", False), ("[Red]yy", True), ("*d0", False), ("a/p", True)])
 def test_date_formats(code, date):
     assert C.is_date_format(code) is date
 
@@ -92,6 +104,9 @@ def test_columns_agree_with_the_rules(spark):
         assert r["enc"] == C.encode_text(s) and r["space"] == C.needs_space(s) and r["units"] == C.units(s), s
         assert r["cut"] == C.limit_text(s, 15, "~") and r["quoted"] == C.quote_sheet_name(s), s
         assert r["back"] == C.decode_text(C.encode_text(s)), s
+    codes = ["yyyy", "[Red", "[Red]0", "[h]", "[hh", "[hhh]", '"d', "0\\d", "_d", "*y0", "General", "a/p", "[$-409]d;@"]
+    for r in spark.createDataFrame([(c,) for c in codes], "c string").select("c", X.is_date_code(F.col("c")).alias("d")).collect():
+        assert r["d"] == C.is_date_format(r["c"]), r["c"]
     serials = [0.0, 0.5, 1.0, 59.25, 60.0, 61.0, 45351.123456, 2958465.9, 2958466.0, -1.0, float("nan"), 1 - 1e-12]
     d = spark.createDataFrame([(x,) for x in serials], "x double")
     for old in (False, True):
