@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,4 +42,18 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tabloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
+    if not _MADE:
+        atexit.register(_clean)
+    _MADE.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    """What lies in the shared folder goes with the process that put it there."""
+    for spark, path in _MADE:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may have ended: nothing is left to clean with
+            return
