@@ -5,14 +5,19 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import islice
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+
 from ..errors import SheetError
 from ..functions.cells import DATE_FORMAT_IDS, MAX_COLUMNS, column_index, decode_text, from_iso, from_serial, is_date_format, parse_number, units
 from .container import Container, Limits
+from .grid import BOOLEAN, DATE, KINDS, NUMBER, Grid, count_rows, resolve, scan
 from .sniff import SNIFF_BYTES, reject, sniff
-from .xmlparts import Feeder, Handler, decoded, parse, stop
+from .xmlparts import Feeder, Handler, decoded, parse
 
 
 class Cell(NamedTuple):
@@ -157,6 +162,7 @@ class Workbook:
         by_type = {t.rpartition("/")[2]: p for t, p in reversed(rels.values())}
         self.strings_part, styles = by_type.get("sharedStrings"), by_type.get("styles")
         self._strings: list[str] | None = None
+        self._string_array: pa.Array | None = None
         self.dates: list[bool] = []
         if styles and self.container.find(styles):
             formats = _Formats(self.limits.cell_formats)
@@ -219,6 +225,12 @@ class Workbook:
             self._strings = handler.items
         return self._strings
 
+    def string_array(self) -> pa.Array:
+        """The same as an array, for many lookups at once."""
+        if self._string_array is None:
+            self._string_array = pa.array(self.strings(), pa.string())
+        return self._string_array
+
     def warn(self, code: str, sheet: str | None, ref: str | None, **detail) -> None:
         """Once for each sheet and code."""
         if not any(w["code"] == code and w["sheet"] == sheet for w in self.warnings):
@@ -226,16 +238,28 @@ class Workbook:
 
     def rows(self, info: SheetInfo, formulas: bool = False, serials: bool = False, start_row: int = 1, max_rows: int | None = None, max_columns: int = MAX_COLUMNS) -> Iterator[tuple[int, list[tuple[int, Cell, int]]]]:
         """(row number, [(column, cell, format)]) of every row that holds a cell with a value."""
+        given = 0
+        for rows in self.blocks(info, formulas, serials, max_columns):
+            for number, cells in cells_of(rows) if isinstance(rows, Grid) else rows:
+                if number < start_row or not cells:
+                    continue
+                if max_rows is not None and given >= max_rows:
+                    return
+                given += 1
+                yield number, cells
+
+    def blocks(self, info: SheetInfo, formulas: bool = False, serials: bool = False, max_columns: int = MAX_COLUMNS, share: tuple[int, int] = (0, 1)) -> Iterator[Grid | list]:
+        """The sheet's rows in blocks: a Grid where they are plain, else a list of (row number, cells).
+
+        ``share`` (i, k) gives those rows only that end in the i-th of k equal parts of the sheet's bytes; the
+        shares of all i together are the sheet.
+        """
         if info.kind != "worksheet" or not info.part:
             return
-        reader, given = _Rows(self, info, formulas, serials, max_columns), 0
-        for number, cells in reader.read(self.container.stream(info.part)):
-            if number < start_row or not cells:
-                continue
-            if max_rows is not None and given >= max_rows:
-                return
-            given += 1
-            yield number, cells
+        part = self.container.find(info.part)
+        size, (i, k) = self.container.entries[part].size if part else 0, share
+        low, high = size * i // k, size * (i + 1) // k if i + 1 < k else None
+        yield from _Rows(self, info, formulas, serials, max_columns).blocks(self.container.stream(info.part), low, high)
 
     def first_column(self, info: SheetInfo) -> int:
         """The first column that the sheet's dimension declares, or 0."""
@@ -250,77 +274,138 @@ _CELL = re.compile(r'<c(?:\s+r="([A-Z]{1,3})[0-9]{1,7}")?(?:\s+s="([0-9]{1,9})")
 _ROW = re.compile(r'\s*<row((?:\s+[\w:]+="[^"<]*")*)\s*>')
 _EMPTY_ROW = re.compile(r'\s*<row((?:\s+[\w:]+="[^"<]*")*)\s*/>')
 _ATTRIBUTE = re.compile(r'([\w:]+)="([^"]*)"')
-_ENTITY = re.compile(r"&(amp|lt|gt|quot|apos|#[0-9]{1,8}|#x[0-9a-fA-F]{1,7});")
-_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-
-
-def _entity(m: re.Match) -> str:
-    name = m[1]
-    if name in _NAMED:
-        return _NAMED[name]
-    code = int(name[2:], 16) if name[1] == "x" else int(name[1:])
-    return chr(code) if 0 < code < 0xD800 or 0xDFFF < code < 0x110000 else m[0]
+_FIRST_BLOCK, _BLOCK = 1 << 16, 1 << 22
+
+
+def cells_of(grid: Grid) -> Iterator[tuple[int, list[tuple[int, Cell, int]]]]:
+    """A grid's rows one by one."""
+    texts, moments = grid.texts.to_pylist(), pa.array(grid.micros, pa.timestamp("us")).to_pylist()
+    cells = []
+    for column, kind, x, at, t, style in zip(grid.column.tolist(), grid.kind.tolist(), grid.number.tolist(), grid.text_at.tolist(), moments, grid.style.tolist()):
+        value = x if kind == NUMBER else t if kind == DATE else bool(x) if kind == BOOLEAN else texts[at]
+        cells.append((column, Cell(KINDS[kind], value), style))
+    borders = np.searchsorted(grid.row, np.arange(len(grid.numbers) + 1)).tolist()
+    for number, first, last in zip(grid.numbers.tolist(), borders, borders[1:]):
+        yield number, cells[first:last]
+
+
+def _larger(chunks) -> Iterator[bytes]:
+    """The same bytes in pieces that grow to _BLOCK."""
+    held, size, wanted = [], 0, _FIRST_BLOCK
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size >= wanted:
+            yield b"".join(held)
+            held, size, wanted = [], 0, min(_BLOCK, 4 * wanted)
+    if held:
+        yield b"".join(held)
 
 
 class _Rows(Handler):
     """Rows of a sheet.
 
-    Plain rows are read by one expression for a cell; a row that is not of that form goes to the
-    XML parser alone, and a sheet whose rows cannot be told apart that way goes there as a whole.
+    Plain blocks of rows are taken apart as a whole; in other blocks, plain rows are read by one expression
+    for a cell, and a row that is not of that form goes to the XML parser alone.  From a place on at which
+    rows cannot be told apart that way, the sheet goes to the parser.
     """
 
     def __init__(self, book: Workbook, info: SheetInfo, formulas: bool, serials: bool, max_columns: int):
         self.book, self.info, self.formulas, self.serials, self.max_columns = book, info, formulas, serials, max_columns
-        self.number, self.out, self.refs = 0, [], {}
+        self.number, self.out, self.refs, self.given = 0, [], {}, 0
         self.cells, self.in_data, self.in_row = [], 0, False
         self.kind = self.style = None
         self.taking, self.parts, self.v, self.f, self.inline, self.phonetic = "", [], None, None, None, 0
         self.column, self.chars = -1, 0
 
-    # The plain form.
-
     def read(self, chunks) -> Iterator[tuple[int, list]]:
-        texts, given, held = decoded(chunks), 0, ""
-        begun = False
-        for text in texts:
-            held += text
+        """(row number, cells) of every row."""
+        for rows in self.blocks(chunks, 0, None):
+            yield from cells_of(rows) if isinstance(rows, Grid) else rows
+
+    def blocks(self, chunks, low: int, high: int | None) -> Iterator[Grid | list]:
+        """Blocks of the rows that end behind byte ``low`` of the part, and not behind ``high``.
+
+        Rows are told apart by their end tags alone, up to the first place where that may fail (a comment,
+        section or second sheetData element).  Whoever's range that place is in gives all rows behind it.
+        """
+        held, base, begun, odd = b"", 0, False, None
+        stream = _larger(chunks)
+        for chunk in stream:
+            held += chunk
             if not begun:
-                at = held.find("<sheetData>")
+                at, mark = held.find(b"<sheetData>"), held.find(b"<!")
+                if held[:2] in (b"\xff\xfe", b"\xfe\xff") or 0 <= mark and (at < 0 or mark < at) or at < 0 and len(held) > 1 << 20:
+                    odd = 0
+                    break
                 if at < 0:
-                    if len(held) > 1 << 20 or "<!" in held:
-                        break
                     continue
-                if "<!" in held[:at]:
-                    break
-                begun, held = True, held[at + 11 :]
-            if "<!" in held:
-                break
-            *rows, held = held.split("</row>")
-            apart = next((k for k, row in enumerate(rows) if "heetData" in row[:200]), None)
-            for row in rows if apart is None else rows[:apart]:
-                for made in self._plain(row):
-                    given += 1
-                    yield made
-            if apart is not None:
-                break
-            if held.lstrip().startswith("</sheetData>"):
-                # Another sheetData element would go on; that is rare, and the parser knows it.
-                rest = held + "".join(texts)
-                if "<sheetData" not in rest:
-                    self._closed(rest)
-                    return
+                begun, base, held = True, at + 11, held[at + 11 :]
+            end = held.find(b"</sheetData>")
+            body = held if end < 0 else held[:end]
+            marks = [m for m in (body.find(b"<!"), body.find(b"<sheetData")) if m >= 0]
+            if marks:
+                odd, body = base + min(marks), body[: min(marks)]
+            cut = body.rfind(b"</row>") + 6
+            if cut >= 6:
+                yield from self._block(body[:cut], base, low, high)
+            else:
+                cut = 0
+            if odd is not None or end >= 0:
+                held, base = held[max(cut, end) :], base + max(cut, end)
                 break
+            held, base = held[cut:], base + cut
+            if high is not None and base > high:
+                return
             if len(held) > self.book.limits.row_chars:
                 raise SheetError("LIMIT_EXCEEDED", "a row is too long", limit="row_chars")
-        # From the start, without the rows that are out already.
-        again = _Rows(self.book, self.info, self.formulas, self.serials, self.max_columns)
-        for k, made in enumerate(again._parsed(self.book.container.stream(self.info.part))):
-            if k >= given:
-                yield made
-
-    def _closed(self, rest: str) -> None:
-        if not re.search(r"</(?:\w+:)?worksheet\s*>\s*$", rest):
-            raise SheetError("XML_MALFORMED", "the sheet ends early")
+        else:  # the sheet's end is missing, or its beginning: the parser says what is wrong
+            odd = 0 if not begun else base + len(held)
+        if odd is None:
+            odd = self._second(stream, held, base, high)
+        if odd is not None and (odd > low or not low) and (high is None or odd <= high):
+            again = _Rows(self.book, self.info, self.formulas, self.serials, self.max_columns)
+            rows = islice(again._parsed(self.book.container.stream(self.info.part)), self.given, None)
+            while some := [*islice(rows, 1_000)]:
+                yield some
+
+    def _second(self, stream, held: bytes, base: int, high: int | None) -> int | None:
+        """Where a second sheetData element begins, behind the first one's end; None if there is none.  Whoever
+        reads up to the end of the sheet checks that it is one."""
+        while (at := held.find(b"<sheetData")) < 0:
+            if high is not None and base + len(held) > high:
+                return None
+            chunk = next(stream, None)
+            if chunk is None:
+                if not re.search(rb"</(?:\w+:)?worksheet\s*>\s*$", held[-1000:]):
+                    raise SheetError("XML_MALFORMED", "the sheet ends early")
+                return None
+            base, held = base + max(0, len(held) - 1000), held[-1000:] + chunk
+        return base + at
+
+    def _block(self, block: bytes, base: int, low: int, high: int | None) -> Iterator[Grid | list]:
+        """The rows of a block that starts at byte ``base`` and ends with a row."""
+        if base < low:
+            skip = block.rfind(b"</row>", 0, low - base) + 6
+            if skip >= 6:
+                count, self.number = count_rows(block[:skip], self.number)
+                self.given += count
+                block, base = block[skip:], base + skip
+        if high is not None and base + len(block) > high:
+            block = block[: max(0, block.rfind(b"</row>", 0, max(0, high - base)) + 6)] if high > base else b""
+            if not block.endswith(b"</row>"):
+                return
+        if not block:
+            return
+        grid = scan(block, self.number, self.book, self.max_columns, self.serials, self.formulas)
+        if grid is not None:
+            self.number = int(grid.numbers[-1])
+            self.given += len(grid.numbers)
+            yield grid
+            return
+        made = [row for text in block.decode("utf-8", "replace").split("</row>")[:-1] for row in self._plain(text)]
+        self.given += len(made)
+        yield made
 
     def _plain(self, row: str) -> Iterator[tuple[int, list]]:
         while m := _EMPTY_ROW.match(row):
@@ -344,9 +429,7 @@ class _Rows(Handler):
                 column = known[letters] = self._column(letters, column)
             k = int(style) if style else 0
             if kind == "inlineStr":
-                if "\r" in inline:
-                    inline = inline.replace("\r\n", "\n").replace("\r", "\n")
-                text = _ENTITY.sub(_entity, inline) if "&" in inline else inline
+                text = resolve(inline)
                 self._check(text)
                 cells.append((column, Cell("s", decode_text(text) if "_x" in text else text), k))
                 continue
@@ -362,8 +445,7 @@ class _Rows(Handler):
                 elif x is not None:
                     cells.append((column, Cell("s", x), k))
                 continue
-            if "&" in v:
-                v = _ENTITY.sub(_entity, v)
+            v = resolve(v)
             if (cell := self._value(kind, v, style, letters and f"{letters}{self.number}")) is not None:
                 cells.append((column, cell, k))
         yield self.number, self._latest(cells)
@@ -388,6 +470,7 @@ class _Rows(Handler):
         yield from out
 
     def _parsed(self, chunks) -> Iterator[tuple[int, list]]:
+        """Rows from the parser."""
         feeder = Feeder(self, self.book.limits)
         for text in decoded(chunks):
             feeder.feed(text)
@@ -472,8 +555,6 @@ class _Rows(Handler):
             if name == "t" and self.phonetic:
                 return
             self.taking, self.parts = name, []
-        elif name == "is":
-            self.inline = self.inline
         elif name == "rPh":
             self.phonetic += 1
 

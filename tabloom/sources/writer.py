@@ -15,14 +15,24 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from ..errors import SheetError
-from ..functions.cells import ERROR_TEXTS, MAX_CELL_CHARS, MAX_COLUMNS, MAX_ROWS, clean_sheet_name, column_letters, encode_text, escape_attribute, format_range, iso_text, limit_text, needs_space, number_text, parse_range, quote_sheet_name, to_serial, units
+from ..functions.cells import (
+    ERROR_TEXTS, MAX_CELL_CHARS, MAX_COLUMNS, MAX_ROWS, builtin_format_id, clean_sheet_name, column_letters, encode_text, escape_attribute,
+    escape_text, format_range, iso_text, limit_text, needs_space, number_text, parse_range, preview, quote_sheet_name, to_serial, units,
+)
 from .container import PartPacker, ZipOut
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+EXTENDED = "http://schemas.openxmlformats.org/officeDocument/2006"
 DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 MAX_STYLES = 64_000
+MAX_FONT_SIZE, MAX_FONT_NAME, MAX_FORMAT_CODE = 409, 31, 255
+# Line styles of borders, and alignments.
+BORDER_STYLES = ("thin", "medium", "thick", "dashed", "dotted", "double", "hair", "mediumDashed", "dashDot", "mediumDashDot", "dashDotDot", "mediumDashDotDot", "slantDashDot")
+ALIGNMENTS = {"horizontal": ("left", "center", "right"), "vertical": ("top", "center", "bottom")}
+#: Cells from which on a sheet of a known size is written with ZIP64 records.
+ZIP64_CELLS = 40_000_000
 SHARED_ITEMS, SHARED_CHARS, SHARED_LENGTH = 65_536, 16 << 20, 256
 BIG = 2**53
 _FLUSH = 1 << 16
@@ -42,6 +52,30 @@ class Style:
     border: dict = field(default_factory=dict)
     alignment: dict = field(default_factory=dict)
 
+    def check(self) -> None:
+        """Refuses what no spreadsheet accepts, before anything is written."""
+        wrong = lambda what, value: SheetError("WRITER_STATE", f"{what} can't be {preview(repr(value))}", field=what)
+        clean = lambda t, most: isinstance(t, str) and 0 < units(t) <= most and escape_text(t) == t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        font, edges, where = self.font, self.border, self.alignment
+        if not all(isinstance(x, dict) for x in (font, edges, where)):
+            raise wrong("a style", (font, edges, where))
+        for shade in (font.get("color"), self.fill, edges.get("color")):
+            if shade is not None:
+                colour(shade)
+        size = font.get("size", 11)
+        if isinstance(size, bool) or not isinstance(size, int | float) or not 1 <= size <= MAX_FONT_SIZE:
+            raise wrong("font.size", size)
+        if not clean(font.get("name", "Calibri"), MAX_FONT_NAME):
+            raise wrong("font.name", font["name"])
+        for edge in ("left", "right", "top", "bottom"):
+            if edges.get(edge) is not None and edges[edge] not in BORDER_STYLES:
+                raise wrong(f"border.{edge}", edges[edge])
+        for axis, values in ALIGNMENTS.items():
+            if where.get(axis) is not None and where[axis] not in values:
+                raise wrong(f"alignment.{axis}", where[axis])
+        if self.format is not None and not clean(self.format, MAX_FORMAT_CODE):
+            raise wrong("format", self.format)
+
     def key(self) -> str:
         return json.dumps([self.format, self.font, self.fill, self.border, self.alignment], sort_keys=True)
 
@@ -65,6 +99,7 @@ class Styles:
             return 0
         known = self.ids.get(key := style.key())
         if known is None:
+            style.check()
             if len(self.made) >= MAX_STYLES:
                 raise SheetError("WRITER_STATE", f"more than {MAX_STYLES} styles")
             known = self.ids[key] = len(self.made)
@@ -74,7 +109,9 @@ class Styles:
     def xml(self) -> str:
         formats, fonts, fills, borders, cells = {}, {"<font><sz val=\"11\"/><name val=\"Calibri\"/></font>": 0}, {'<fill><patternFill patternType="none"/></fill>': 0, '<fill><patternFill patternType="gray125"/></fill>': 1}, {"<border><left/><right/><top/><bottom/><diagonal/></border>": 0}, []
         for s in self.made:
-            number = formats.setdefault(s.format, 164 + len(formats)) if s.format else 0
+            number = builtin_format_id(s.format) if s.format else 0
+            if number < 0:
+                number = formats.setdefault(s.format, 164 + len(formats))
             font = next(iter(fonts))
             if s.font:
                 flags = "".join(f"<{t}/>" for t, k in (("b", "bold"), ("i", "italic"), ("strike", "strike")) if s.font.get(k))
@@ -206,13 +243,34 @@ class Sheet:
     merges: list[str] = field(default_factory=list)
     auto_filter: bool = False
 
+    def check(self) -> None:
+        """Refuses what can't be written, before anything is."""
+        if self.hidden not in ("visible", "hidden", "veryHidden"):
+            raise SheetError("WRITER_STATE", f"{self.hidden!r} is no state of a sheet")
+        if self.freeze is not None and (min(self.freeze) < 0 or not sum(self.freeze) or self.freeze[0] >= MAX_ROWS or self.freeze[1] >= MAX_COLUMNS):
+            raise SheetError("WRITER_STATE", f"{self.freeze} rows and columns can't be frozen")
+        for k, w in self.widths.items():
+            if not 0 <= k < MAX_COLUMNS or not 0 <= w < float("inf"):
+                raise SheetError("WRITER_STATE", f"column {k} can't be {w} wide")
+        self.boxes()
+
+    def boxes(self) -> list[tuple[int, int, int, int]]:
+        """The merged ranges, which share no cell."""
+        boxes = []
+        for text in self.merges:
+            box = parse_range(text)
+            if not box or box[:2] == box[2:]:
+                raise SheetError("WRITER_STATE", f"{text!r} is no range to merge")
+            boxes.append(box)
+        if overlapping(boxes):
+            raise SheetError("WRITER_STATE", "merged ranges overlap")
+        return boxes
+
     def head(self, first: bool) -> str:
         view = ' tabSelected="1"' if first else ""
         pane = ""
         if self.freeze:
             rows, columns = self.freeze
-            if rows < 0 or columns < 0 or not rows + columns:
-                raise SheetError("WRITER_STATE", "nothing is frozen")
             corner = f"{column_letters(columns)}{rows + 1}"
             where = "bottomRight" if rows and columns else "bottomLeft" if rows else "topRight"
             pane = f"<pane{f' xSplit="{columns}"' if columns else ''}{f' ySplit="{rows}"' if rows else ''} topLeftCell=\"{corner}\" activePane=\"{where}\" state=\"frozen\"/>"
@@ -220,14 +278,7 @@ class Sheet:
         return f'{DECLARATION}<worksheet xmlns="{MAIN}" xmlns:r="{OFFICE}"><sheetViews><sheetView{view} workbookViewId="0">{pane}</sheetView></sheetViews>' + (f"<cols>{columns}</cols>" if columns else "") + "<sheetData>"
 
     def tail(self, rows: int, columns: int) -> str:
-        boxes = []
-        for text in self.merges:
-            box = parse_range(text)
-            if not box or box[:2] == box[2:]:
-                raise SheetError("WRITER_STATE", f"{text!r} is no range to merge")
-            boxes.append(box)
-        if overlapping(boxes):
-            raise SheetError("WRITER_STATE", "merged ranges overlap")
+        boxes = self.boxes()
         out = "</sheetData>"
         if self.auto_filter and rows and columns:
             out += f'<autoFilter ref="{format_range(1, 0, rows, columns - 1)}"/>'
@@ -258,10 +309,18 @@ class WorkbookWriter:
         self.styles, self.shared = Styles(), Shared(self.options.strings)
         self.cells = CellWriter(self.options, self.styles, self.shared)
         self.sheets: list[tuple[Sheet, int, int]] = []
+        self.failed: SheetError | None = None
+
+    def fail(self, error: Exception) -> SheetError:
+        """The first failure stays: nothing more is written after it."""
+        if self.failed is None:
+            self.failed = error if isinstance(error, SheetError) else SheetError("IO_ERROR", str(error))
+        return self.failed
 
     def _open(self, sheet: Sheet) -> tuple[Sheet, bool]:
-        if sheet.hidden not in ("visible", "hidden", "veryHidden"):
-            raise SheetError("WRITER_STATE", f"{sheet.hidden!r} is no state of a sheet")
+        if self.failed:
+            raise self.failed
+        sheet.check()
         taken = tuple(s.name for s, _, _ in self.sheets)
         sheet.name = clean_sheet_name(sheet.name, taken, len(taken) + 1)
         return sheet, sheet.hidden == "visible" and all(s.hidden != "visible" for s, _, _ in self.sheets)
@@ -271,9 +330,12 @@ class WorkbookWriter:
         sheet, first = self._open(Sheet(sheet) if isinstance(sheet, str) else sheet)
         part, held, size, n, width = self.zip.begin(f"xl/worksheets/sheet{len(self.sheets) + 1}.xml", self.options.level), [sheet.head(first)], 0, 0, 0
         for n, row in enumerate(rows, 1):
-            if n > MAX_ROWS:
-                raise SheetError("ROW_OUT_OF_RANGE", "a sheet has no more rows")
-            text = self.cells.row(row, n, styles(n - 1) if callable(styles) else styles)
+            try:
+                if n > MAX_ROWS:
+                    raise SheetError("ROW_OUT_OF_RANGE", "a sheet has no more rows")
+                text = self.cells.row(row, n, styles(n - 1) if callable(styles) else styles)
+            except SheetError as e:
+                raise self.fail(e) from None
             width, size = max(width, len(row)), size + len(text)
             held.append(text)
             if size > _FLUSH:
@@ -285,6 +347,21 @@ class WorkbookWriter:
         self.sheets.append((sheet, n, width))
         return {"name": sheet.name, "rows": n, "columns": width}
 
+    def add_xml(self, sheet: Sheet | str, pieces: Iterable[tuple[bytes, int]], width: int) -> dict:
+        """A sheet from the XML of its rows, in pieces with their counts of rows."""
+        sheet, first = self._open(Sheet(sheet) if isinstance(sheet, str) else sheet)
+        part, n = self.zip.begin(f"xl/worksheets/sheet{len(self.sheets) + 1}.xml", self.options.level), 0
+        part.add(sheet.head(first).encode())
+        for text, rows in pieces:
+            n += rows
+            if n > MAX_ROWS:
+                raise SheetError("ROW_OUT_OF_RANGE", "a sheet has no more rows")
+            part.add(text)
+        part.add(sheet.tail(n, width).encode())
+        self.zip.end(part.flush(True))
+        self.sheets.append((sheet, n, width))
+        return {"name": sheet.name, "rows": n, "columns": width}
+
     def add_segments(self, sheet: Sheet | str, segments: Iterable[tuple[object, Iterable[bytes]]], rows: int, width: int) -> dict:
         """A sheet from row segments that are packed already: (Packed, its bytes) each."""
         from .container import combine_crc
@@ -310,6 +387,8 @@ class WorkbookWriter:
         return {"name": sheet.name, "rows": rows, "columns": width}
 
     def close(self) -> dict:
+        if self.failed:
+            raise self.failed
         if not self.sheets or all(s.hidden != "visible" for s, _, _ in self.sheets):
             raise SheetError("WRITER_STATE", "a workbook needs a visible sheet")
         n, put = len(self.sheets), lambda name, text: self.zip.whole(name, text.encode(), self.options.level)
@@ -332,8 +411,11 @@ class WorkbookWriter:
         rels = lambda items, kind: f'{DECLARATION}<Relationships xmlns="{PACKAGE}/relationships">' + "".join(f'<Relationship Id="rId{k + 1}" Type="{t if "://" in t else f"{kind}/{t}"}" Target="{p}"/>' for k, (t, p) in enumerate(items)) + "</Relationships>"
         put("xl/_rels/workbook.xml.rels", rels(relations, OFFICE))
         put("docProps/core.xml", f'{DECLARATION}<cp:coreProperties xmlns:cp="{PACKAGE}/metadata/core-properties" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><dcterms:created xsi:type="dcterms:W3CDTF">{self.stamp:%Y-%m-%dT%H:%M:%SZ}</dcterms:created></cp:coreProperties>')
-        put("_rels/.rels", rels([("officeDocument", "xl/workbook.xml"), (f"{PACKAGE}/relationships/metadata/core-properties", "docProps/core.xml")], OFFICE))
+        titles = "".join(f"<vt:lpstr>{escape_text(s.name)}</vt:lpstr>" for s, _, _ in self.sheets)
+        pairs = f'<HeadingPairs><vt:vector size="2" baseType="variant"><vt:variant><vt:lpstr>Worksheets</vt:lpstr></vt:variant><vt:variant><vt:i4>{n}</vt:i4></vt:variant></vt:vector></HeadingPairs>'
+        put("docProps/app.xml", f'{DECLARATION}<Properties xmlns="{EXTENDED}/extended-properties" xmlns:vt="{EXTENDED}/docPropsVTypes"><Application>tabloom</Application>{pairs}<TitlesOfParts><vt:vector size="{n}" baseType="lpstr">{titles}</vt:vector></TitlesOfParts></Properties>')
+        put("_rels/.rels", rels([("officeDocument", "xl/workbook.xml"), (f"{PACKAGE}/relationships/metadata/core-properties", "docProps/core.xml"), ("extended-properties", "docProps/app.xml")], OFFICE))
         over = "".join(f'<Override PartName="/{p}" ContentType="{base}.{k}+xml"/>' for p, k in kinds)
-        put("[Content_Types].xml", f'{DECLARATION}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{over}<Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>')
+        put("[Content_Types].xml", f'{DECLARATION}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{over}<Override PartName="/docProps/app.xml" ContentType="application/vnd.openxmlformats-officedocument.extended-properties+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>')
         size = self.zip.close()
         return {"bytes": size, "sheets": [{"name": s.name, "rows": r, "columns": w} for s, r, w in self.sheets], "truncated": self.cells.truncated, "strings": {"count": self.shared.count, "unique": len(self.shared.ids), "frozen": self.shared.frozen and self.options.strings == "auto"}}
