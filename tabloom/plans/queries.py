@@ -197,10 +197,14 @@ def excel_iso_parse(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format(X.timestamp_from_iso(text), "yyyy-MM-dd HH:mm:ss").alias("t"))
 
 
-@query("SELECT * FROM (VALUES ('yyyy-mm-dd', true), ('0.00', false), ('[h]:mm', true), ('\"day\" 0', false), ('General', false), ('[Red]0', false), ('h AM/PM', true), ('0\\d', false)) t(code, is_date)")
+#: Codes of which only those at odd places are dates.
+_CODES = ["0.00", "yyyy-mm-dd", '"day" 0', "[h]:mm", "General", "h AM/PM", "[Red]0", "[mm]", "0\\d", "[$-409]d", "[Red", "d[Red", '"s', "a/p", "_d0*y", "[hh"]
+
+
+@query("SELECT p_partkey, p_partkey % 16 % 2 = 1 AS is_date FROM part")
 def excel_date_formats(spark, sf):
-    codes = ["yyyy-mm-dd", "0.00", "[h]:mm", '"day" 0', "General", "[Red]0", "h AM/PM", "0\\d"]
-    return spark.createDataFrame([(c,) for c in codes], "code string").select("code", X.is_date_code(F.col("code")).alias("is_date"))
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("p_partkey") % len(_CODES) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", X.is_date_code(code).alias("is_date"))
 
 
 @query("""SELECT CAST(i AS INTEGER) AS i, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN chr(CAST(65 + (i - 26) // 26 AS INTEGER)) || chr(CAST(65 + (i - 26) % 26 AS INTEGER))
@@ -249,15 +253,39 @@ def excel_parse_number(spark, sf):
     return spark.createDataFrame([(t,) for t in texts], "text string").select("text", X.parse_number(F.col("text")).alias("number"))
 
 
-@query()
+@query("""WITH v AS (SELECT p_partkey, p_retailprice / CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 700000 WHEN 3 THEN -0.003 ELSE 1e9 END AS x FROM part), e AS (SELECT *, CAST(floor(log10(abs(x))) AS INTEGER) AS e FROM v), f AS (
+        SELECT *, regexp_replace(regexp_replace(CASE WHEN e < -6 THEN '' WHEN e < 0 THEN printf('%.9f', x) WHEN e = 0 THEN printf('%.9f', x) WHEN e = 1 THEN printf('%.8f', x) WHEN e = 2 THEN printf('%.7f', x) WHEN e = 3 THEN printf('%.6f', x)
+            WHEN e = 4 THEN printf('%.5f', x) WHEN e = 5 THEN printf('%.4f', x) WHEN e = 6 THEN printf('%.3f', x) ELSE '' END, '0+$', ''), '[.]$', '') AS short,
+            printf('%.5e', x) AS long FROM e)
+    SELECT p_partkey, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) WHEN e >= -4 THEN short ELSE regexp_replace(regexp_replace(regexp_extract(long, '^[^e]+'), '0+$', ''), '[.]$', '') || 'E' || regexp_extract(long, 'e(.+)$', 1) END AS general,
+        CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE CAST(p_retailprice AS VARCHAR) END AS number FROM f JOIN part USING (p_partkey)""")
 def excel_general_number(spark, sf):
     X.register_functions(spark)
-    return table(spark, sf, "part").select("p_partkey", F.expr("general_text(p_retailprice)").alias("general"), F.expr("number_text(p_retailprice)").alias("number"))
+    part = F.when(F.col("p_partkey") % 5 == 0, 1.0)
+    for k, by in ((1, 7.0), (2, 700_000.0), (3, -0.003)):
+        part = part.when(F.col("p_partkey") % 5 == k, by)
+    d = table(spark, sf, "part").withColumn("x", F.col("p_retailprice") / part.otherwise(1e9))
+    return d.select("p_partkey", F.expr("general_text(x)").alias("general"), F.expr("number_text(p_retailprice)").alias("number"))
+
 
+#: What stands before a page's text, by its number; the kinds that follow are written out in the SQL.
+_HEADS = ["", "504B0304", "504B0506", "D0CF11E0A1B11AE1", "EFBBBF", "FFFE", "00010203FF", "3C3F786D6C3E", "3C613E", "636166E92C78", "D0CF11E0A1B11AE1" + "EncryptedPackage".encode("utf-16-le").hex()]
 
-@query("SELECT page_id, CASE WHEN lower(html) LIKE '<!doctype html%' OR lower(html) LIKE '<html%' THEN 'html' WHEN html LIKE '<?xml%' THEN 'xml' WHEN html = '' THEN 'empty' ELSE 'other' END AS kind FROM pages")
+
+@query("""SELECT page_id, CASE page_id % 11 WHEN 1 THEN 'zip' WHEN 2 THEN 'empty-zip' WHEN 3 THEN 'xls' WHEN 6 THEN 'unknown' WHEN 10 THEN 'encrypted' WHEN 5 THEN 'utf-16'
+    WHEN 0 THEN CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN regexp_matches(html, '^\\s*(<!doctype html|<html)', 'i') THEN 'html' ELSE 'other' END
+    WHEN 4 THEN CASE WHEN html IS NULL OR html = '' THEN 'unknown' WHEN regexp_matches(html, '^\\s*(<!doctype html|<html)', 'i') THEN 'html' ELSE 'other' END
+    WHEN 7 THEN CASE WHEN regexp_matches(left('<?xml>' || coalesce(html, ''), 2000), '<html[\\s>]', 'i') THEN 'html' ELSE 'xml' END
+    WHEN 8 THEN CASE WHEN regexp_matches(left('<a>' || coalesce(html, ''), 2000), '<html[\\s>]', 'i') THEN 'html' ELSE 'xml' END
+    ELSE 'text' END AS kind FROM pages""")
 def sniff_formats(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.sniff_kind(F.encode("html", "UTF-8")).alias("kind"))
+    """Pages as they are, and behind the first bytes of other kinds of files."""
+    head = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in _HEADS]), (F.col("page_id") % len(_HEADS) + 1).cast("int"))
+    content = F.concat(head, F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    wide = F.concat(head, F.encode(F.coalesce("html", F.lit("")), "UTF-16LE"))
+    kind = X.sniff_kind(F.when(F.col("page_id") % len(_HEADS) == 5, wide).otherwise(content))
+    # UTF-16 text may be of any kind of text; what counts is that it is read at all.
+    return table(spark, sf, "pages").select("page_id", F.when((F.col("page_id") % len(_HEADS) == 5) & kind.isin("html", "xml", "text", "unknown"), "utf-16").otherwise(kind).alias("kind"))
 
 
 # Relations
@@ -280,16 +308,10 @@ def _rectangles(orders: DataFrame) -> DataFrame:
     return orders.select(k.alias("id"), (F.col("o_custkey") % 50).alias("sheet"), (k * 7 % 500).alias("top"), (k * 13 % 90).alias("left"), (k * 7 % 500 + k % 9).alias("bottom"), (k * 13 % 90 + k % 5).alias("right"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey % 50 AS sheet, o_orderkey * 7 % 500 AS top, o_orderkey * 13 % 90 AS "left", o_orderkey * 7 % 500 + o_orderkey % 9 AS bottom, o_orderkey * 13 % 90 + o_orderkey % 5 AS "right" FROM orders WHERE o_orderstatus = 'F')
-    SELECT a.sheet, a.id AS a, b.id AS b FROM r a JOIN r b ON a.sheet = b.sheet AND a.id < b.id AND a.top <= b.bottom AND a.bottom >= b.top AND a."left" <= b."right" AND a."right" >= b."left\"""")
-def merge_overlaps(spark, sf):
-    return R.overlapping_ranges(_rectangles(table(spark, sf, "orders").where("o_orderstatus = 'F'")))
-
-
 @query("""WITH r AS (SELECT o_orderkey AS id, o_custkey % 50 AS sheet, o_orderkey * 7 % 500 AS top, o_orderkey * 13 % 90 AS "left", o_orderkey * 7 % 500 + o_orderkey % 9 AS bottom, o_orderkey * 13 % 90 + o_orderkey % 5 AS "right" FROM orders)
     SELECT a.sheet, a.id AS a, b.id AS b FROM r a JOIN r b ON a.sheet = b.sheet AND a.id < b.id AND a.top <= b.bottom AND a.bottom >= b.top AND a."left" <= b."right" AND a."right" >= b."left\"""")
-def merge_overlaps_whole(spark, sf):
-    """As merge_overlaps, with the orders of every status."""
+def merge_overlaps(spark, sf):
+    """The rectangles of all orders, whatever their status."""
     return R.overlapping_ranges(_rectangles(table(spark, sf, "orders")))
 
 
@@ -325,9 +347,10 @@ def audit_transitions(spark, sf):
     return R.transitions(o.where("o_orderkey % 3 <> 0"), now, "o_orderkey", "o_orderstatus")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def audit_resume(spark, sf):
-    done = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Who is left to do: customers without an urgent order, of which there are some."""
+    done = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return R.resume(table(spark, sf, "customer").select("c_custkey"), done, "c_custkey")
 
 
@@ -361,7 +384,11 @@ def manifest_upsert(spark, sf):
     return R.latest_by_key(old, old.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(-1.0)), "c_custkey")
 
 
-@query("SELECT workbook, position, CASE WHEN k = 1 THEN name ELSE left(name, 27) || ' (' || k || ')' END AS name FROM (SELECT c_nationkey AS workbook, c_custkey AS position, c_mktsegment AS name, row_number() OVER (PARTITION BY c_nationkey, lower(c_mktsegment) ORDER BY c_custkey) AS k FROM customer)")
+@query("""SELECT workbook, position, CASE WHEN k = 1 THEN name ELSE left(name, 31 - length(' (' || k || ')')) || ' (' || k || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY workbook, lower(name) ORDER BY position) AS k
+    FROM (SELECT c_nationkey AS workbook, c_custkey AS position, left(c_mktsegment || repeat('x', CAST(c_custkey % 2 * 30 AS INTEGER)), 31) AS name FROM customer))""")
 def unique_sheet_names(spark, sf):
-    d = table(spark, sf, "customer").select(F.col("c_nationkey").alias("workbook"), F.col("c_custkey").alias("position"), F.col("c_mktsegment").alias("name"))
-    return R.unique_sheet_names(d)
+    name = F.concat("c_mktsegment", F.repeat(F.lit("x"), (F.col("c_custkey") % 2 * 30).cast("int")))
+    return R.unique_sheet_names(table(spark, sf, "customer").select(F.col("c_nationkey").alias("workbook"), F.col("c_custkey").alias("position"), name.alias("name")))
+
+
+from . import rule_queries, sheet_queries  # noqa: E402, F401  (they add theirs)

@@ -152,7 +152,7 @@ def open_source(path: str | bytes):
 def limits_of(options: dict) -> Limits:
     base = Limits()
     pick = {"inflated_bytes": "maxInflatedBytes", "shared_chars": "maxSharedStringChars", "entries": "maxEntries", "depth": "maxXmlDepth", "text": "maxTextLength", "row_chars": "maxRowChars", "columns": "maxColumns"}
-    return Limits(**{k: _number(options, name, getattr(base, k)) for k, name in pick.items()})
+    return Limits(**{k: _number(options, name.lower(), getattr(base, k)) for k, name in pick.items()})
 
 
 def cell_text(cell: Cell) -> str:

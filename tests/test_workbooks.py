@@ -355,14 +355,14 @@ def test_overlaps_of_the_whole_table(spark):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus").collect()
     boxes = [(k, c % 50, k * 7 % 500, k * 13 % 90, k * 7 % 500 + k % 9, k * 13 % 90 + k % 5) for k, c, _ in orders]
     want = {(a[1], a[0], b[0]) for a in boxes for b in boxes if a[1] == b[1] and a[0] < b[0] and a[2] <= b[4] and a[4] >= b[2] and a[3] <= b[5] and a[5] >= b[3]}
-    got = [tuple(r) for r in QUERIES["merge_overlaps_whole"](spark, sf).collect()]
+    got = [tuple(r) for r in QUERIES["merge_overlaps"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     open_orders = {k for k, _, status in orders if status != "F"}
     assert any(a in open_orders or b in open_orders for _, a, b in got)
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
-    assert {tuple(r) for r in connection.execute(SQL["merge_overlaps_whole"]).fetchall()} == want
+    assert {tuple(r) for r in connection.execute(SQL["merge_overlaps"]).fetchall()} == want
 
 
 @pytest.mark.parametrize("name", ["xlsx_roundtrip_nation", "xlsx_head", "excel_ranges", "typed_diff_report", "merge_overlaps", "xlsx_sheet_catalogue", "stratified_sample"])
