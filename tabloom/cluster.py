@@ -8,6 +8,9 @@ import tempfile
 import uuid
 import zipfile
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
@@ -57,3 +60,14 @@ def _clean() -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session may have ended: nothing is left to clean with
             return
+
+
+@contextmanager
+def cancellable(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """What runs inside can be stopped from another thread by the function that this gives; tasks are interrupted."""
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, "cancellable", interruptOnCancel=True)
+    try:
+        yield lambda: context.cancelJobGroup(group)
+    finally:
+        context._jsc.clearJobGroup()

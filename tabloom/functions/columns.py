@@ -264,6 +264,35 @@ def document_stamp(ts: Column) -> Column:
     return F.when(F.year(ts).between(1, 9999), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
+def typed_json(kind: Column, s: Column, n: Column, b: Column, ts: Column, err: Column) -> Column:
+    """A cell as the JSON of a typed dump: texts, numbers, booleans and null as they are, and objects of one key for
+    dates, dates with a time, times of the marker day and errors."""
+    day, clock = F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "HH:mm:ss.SSS")
+    one = lambda key, value: F.concat(F.lit(f'{{"{key}":"'), value, F.lit('"}'))
+    text = F.regexp_replace(F.to_json(F.array(s)), r"(?s)^\[|\]\z", "")
+    number = F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("long").cast("string")).otherwise(F.regexp_replace(F.to_json(F.array(n)), r"^\[|\]\z", ""))
+    return (
+        F.when(kind == "s", text)
+        .when(kind == "n", number)
+        .when(kind == "b", b.cast("string"))
+        .when(kind == "e", one("$error", err))
+        .when(kind == "d", F.when(day == "1899-12-30", one("$time", clock)).when(clock == "00:00:00.000", one("$date", day)).otherwise(one("$datetime", F.concat(day, F.lit("T"), clock))))
+        .otherwise("null")
+    )
+
+
+def typed_moment(text: Column) -> Column:
+    """The wall clock time of a typed dump's date, date with a time, or time; null for any other value."""
+    inner = lambda key: F.get_json_object(text, f"$['${key}']")
+    return F.coalesce(*[timestamp_from_iso(inner(k)) for k in ("datetime", "date", "time")])
+
+
+def in_clock_gap(ts: Column, zone: str) -> Column:
+    """Whether ``zone`` has no such wall clock time, as clocks were put forward."""
+    wall = ts.cast("timestamp_ntz").cast("timestamp")
+    return F.from_utc_timestamp(F.to_utc_timestamp(wall, zone), zone) != wall
+
+
 def boolean_text(value: Column) -> Column:
     return F.when(value, "TRUE").when(~value, "FALSE")
 

@@ -109,6 +109,27 @@ def excel_references(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref"), back["row"].alias("row"), back["column"].alias("column"))
 
 
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"$datetime":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '"}' WHEN 1 THEN '{"$date":"' || strftime(ts, '%Y-%m-%d') || '"}' WHEN 2 THEN '{"$time":"' || strftime(ts, '%H:%M:%S.%g') || '"}'
+    WHEN 3 THEN '"' || event_type || '"' ELSE '{"$error":"#N/A"}' END AS json, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%g') WHEN 1 THEN strftime(ts, '%Y-%m-%d 00:00:00.000') WHEN 2 THEN strftime(ts, '1899-12-30 %H:%M:%S.%g') END AS back
+    FROM (SELECT event_id, event_type, CASE WHEN hour(t) + minute(t) + second(t) + millisecond(t) = 0 THEN t + INTERVAL 1 SECOND ELSE t END AS ts FROM (SELECT *, date_trunc('milliseconds', ts) AS t FROM events))""")
+def typed_dumps(spark, sf):
+    """Cells as a typed dump has them, and times read back from it."""
+    k, t = F.col("event_id") % 5, F.date_trunc("millisecond", "ts")
+    ts = F.when(F.date_trunc("day", t) == t, t + F.expr("INTERVAL 1 SECOND")).otherwise(t).cast("timestamp_ntz")
+    clock = ts - F.date_trunc("day", ts).cast("timestamp_ntz") + F.lit("1899-12-30").cast("timestamp_ntz")
+    ts = F.when(k == 1, F.date_trunc("day", ts).cast("timestamp_ntz")).when(k == 2, clock).otherwise(ts)
+    kind = F.when(k < 3, "d").when(k == 3, "s").otherwise("e")
+    text = X.typed_json(kind, F.col("event_type"), F.lit(None).cast("double"), F.lit(None).cast("boolean"), ts, F.lit("#N/A"))
+    return table(spark, sf, "events").select("event_id", text.alias("json")).withColumn("back", F.date_format(X.typed_moment(F.col("json")), "yyyy-MM-dd HH:mm:ss.SSS"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 24 = 2 AS gap FROM orders")
+def wall_clock_gaps(spark, sf):
+    """Times of a night on which clocks went forward at two."""
+    ts = F.timestamp_seconds(F.lit(1_710_028_800) + F.col("o_orderkey") % 24 * 3600 + 60)
+    return table(spark, sf, "orders").select("o_orderkey", X.in_clock_gap(ts, "America/New_York").alias("gap"))
+
+
 # Relations
 
 

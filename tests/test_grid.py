@@ -301,3 +301,17 @@ def test_tar_members_and_ranges(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"0123456789")
     ranges = spark.createDataFrame([(f"{tmp_path}/f", 2, 3), (f"{tmp_path}/f", 0, 1)], "path string, offset long, length long")
     assert sorted(bytes(r["content"]) for r in W.fetch_ranges(ranges).collect()) == [b"0", b"234"]
+
+
+def test_reads_can_be_cancelled(spark):
+    import threading
+    import time
+
+    from tabloom.cluster import cancellable
+
+    slow = spark.range(4, numPartitions=4).mapInPandas(lambda frames: (time.sleep(60) or f for f in frames), "id long")
+    with cancellable(spark) as cancel, pytest.raises(Exception, match="(?i)cancel"):
+        threading.Timer(2, cancel).start()
+        began = time.time()
+        slow.collect()
+    assert time.time() - began < 40 and spark.range(3).count() == 3
