@@ -245,7 +245,7 @@ def infer(book: Workbook, info, bound: Bound, options: dict, kinds: dict[str, se
             for c, cell, _ in cells:
                 add(c, "s" if cell.formula is not None else cell.kind)
         return
-    for rows in book.blocks(info, share=share, **common):
+    for rows in book.blocks(info, share=share, kinds_only=True, **common):
         if isinstance(rows, Grid):
             late = rows.numbers[rows.row] >= bound.first_row
             for key in np.unique(rows.column[late] * 8 + rows.kind[late]).tolist():

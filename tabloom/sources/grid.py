@@ -121,8 +121,9 @@ def dates_from_serials(x: np.ndarray, d1904: bool) -> tuple[np.ndarray, np.ndarr
     return (ms - EPOCH_DAYS * DAY_MS) * 1000, fine
 
 
-def scan(block: bytes, before: int, book, max_columns: int, serials: bool, formulas: bool) -> Grid | None:
-    """The block's rows; None if it isn't plain.  ``before`` is the number of the row before it."""
+def scan(block: bytes, before: int, book, max_columns: int, serials: bool, formulas: bool, kinds_only: bool = False) -> Grid | None:
+    """The block's rows; None if it isn't plain.  ``before`` is the number of the row before it.  With
+    ``kinds_only`` no text is taken out."""
     if len(block) > book.limits.row_chars:
         return None
     buf = np.frombuffer(block + b" " * 8, np.uint8)
@@ -148,7 +149,7 @@ def scan(block: bytes, before: int, book, max_columns: int, serials: bool, formu
     apart = np.searchsorted(quotes, gt[opening]) - np.searchsorted(quotes, lt[opening])
     if (apart % 2).any():
         return None  # a > within quotes
-    singles = np.flatnonzero(buf == ord("'"))
+    singles = np.flatnonzero(buf == ord("'")) if b"'" in block else ()
     if len(singles) and (np.searchsorted(singles, gt[opening]) != np.searchsorted(singles, lt[opening])).any():
         return None
 
@@ -233,6 +234,9 @@ def scan(block: bytes, before: int, book, max_columns: int, serials: bool, formu
 
     texts: list[pa.Array] = []
     held = 0
+    if kinds_only:
+        out[(kind == _STRING) | (kind == _INLINE) | (kind == _SHARED)], out[kind == _ERROR] = TEXT, ERROR
+        kind = np.where((kind == _NUMBER) | (kind == _BOOLEAN) | (kind == _ISO), kind, -1)
     try:
         if len(mine := np.flatnonzero((kind == _STRING) | (kind == _INLINE) | (kind == _ERROR))):
             found = pa.array(slices(mine), pa.binary()).cast(pa.string())

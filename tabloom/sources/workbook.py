@@ -248,8 +248,9 @@ class Workbook:
                 given += 1
                 yield number, cells
 
-    def blocks(self, info: SheetInfo, formulas: bool = False, serials: bool = False, max_columns: int = MAX_COLUMNS, share: tuple[int, int] = (0, 1)) -> Iterator[Grid | list]:
+    def blocks(self, info: SheetInfo, formulas: bool = False, serials: bool = False, max_columns: int = MAX_COLUMNS, share: tuple[int, int] = (0, 1), kinds_only: bool = False) -> Iterator[Grid | list]:
         """The sheet's rows in blocks: a Grid where they are plain, else a list of (row number, cells).
+        ``kinds_only`` leaves the texts out of grids.
 
         ``share`` (i, k) gives those rows only that end in the i-th of k equal parts of the sheet's bytes; the
         shares of all i together are the sheet.
@@ -259,7 +260,7 @@ class Workbook:
         part = self.container.find(info.part)
         size, (i, k) = self.container.entries[part].size if part else 0, share
         low, high = size * i // k, size * (i + 1) // k if i + 1 < k else None
-        yield from _Rows(self, info, formulas, serials, max_columns).blocks(self.container.stream(info.part), low, high)
+        yield from _Rows(self, info, formulas, serials, max_columns, kinds_only).blocks(self.container.stream(info.part), low, high)
 
     def first_column(self, info: SheetInfo) -> int:
         """The first column that the sheet's dimension declares, or 0."""
@@ -289,6 +290,18 @@ def cells_of(grid: Grid) -> Iterator[tuple[int, list[tuple[int, Cell, int]]]]:
         yield number, cells[first:last]
 
 
+def _rows_end(block: bytes, upto: int) -> int:
+    """Where the last row ends that ends within the first ``upto`` bytes; 0 if none does."""
+    at = block.rfind(b"</row>", 0, upto)
+    return at + 6 if at >= 0 else 0
+
+
+def _odd_place(block: bytes) -> int:
+    """Where a comment, a section or another sheetData element begins; -1 if there is none."""
+    marks = [m for m in (block.find(b"<!"), block.find(b"<sheetData"), block.find(b"</sheetData>")) if m >= 0]
+    return min(marks, default=-1)
+
+
 def _larger(chunks) -> Iterator[bytes]:
     """The same bytes in pieces that grow to _BLOCK."""
     held, size, wanted = [], 0, _FIRST_BLOCK
@@ -310,8 +323,8 @@ class _Rows(Handler):
     rows cannot be told apart that way, the sheet goes to the parser.
     """
 
-    def __init__(self, book: Workbook, info: SheetInfo, formulas: bool, serials: bool, max_columns: int):
-        self.book, self.info, self.formulas, self.serials, self.max_columns = book, info, formulas, serials, max_columns
+    def __init__(self, book: Workbook, info: SheetInfo, formulas: bool, serials: bool, max_columns: int, kinds_only: bool = False):
+        self.book, self.info, self.formulas, self.serials, self.max_columns, self.kinds_only = book, info, formulas, serials, max_columns, kinds_only
         self.number, self.out, self.refs, self.given = 0, [], {}, 0
         self.cells, self.in_data, self.in_row = [], 0, False
         self.kind = self.style = None
@@ -341,16 +354,15 @@ class _Rows(Handler):
                 if at < 0:
                     continue
                 begun, base, held = True, at + 11, held[at + 11 :]
-            end = held.find(b"</sheetData>")
-            body = held if end < 0 else held[:end]
-            marks = [m for m in (body.find(b"<!"), body.find(b"<sheetData")) if m >= 0]
-            if marks:
-                odd, body = base + min(marks), body[: min(marks)]
-            cut = body.rfind(b"</row>") + 6
-            if cut >= 6:
-                yield from self._block(body[:cut], base, low, high)
-            else:
-                cut = 0
+            cut = _rows_end(held, len(held))
+            end = held.find(b"</sheetData>", cut)
+            made = self._block(held[:cut], base, low, high) if cut else []
+            if isinstance(made, int):  # rows can't be told apart from there on
+                odd = base + made
+                made = self._block(held[: _rows_end(held, made)], base, low, high)
+            elif end >= 0 and (mark := held.find(b"<!", cut, end)) >= 0:
+                odd = base + mark
+            yield from made
             if odd is not None or end >= 0:
                 held, base = held[max(cut, end) :], base + max(cut, end)
                 break
@@ -383,29 +395,31 @@ class _Rows(Handler):
             base, held = base + max(0, len(held) - 1000), held[-1000:] + chunk
         return base + at
 
-    def _block(self, block: bytes, base: int, low: int, high: int | None) -> Iterator[Grid | list]:
-        """The rows of a block that starts at byte ``base`` and ends with a row."""
-        if base < low:
-            skip = block.rfind(b"</row>", 0, low - base) + 6
-            if skip >= 6:
-                count, self.number = count_rows(block[:skip], self.number)
-                self.given += count
-                block, base = block[skip:], base + skip
+    def _block(self, block: bytes, base: int, low: int, high: int | None) -> list | int:
+        """The rows of a block that starts at byte ``base`` and ends with a row, as a list of at most one Grid or list;
+        or else the place in it from which on rows can't be told apart by their end tags."""
+        number, given, skip = self.number, self.given, _rows_end(block, max(0, low - base))
+        if skip:
+            if (mark := _odd_place(block[:skip])) >= 0:
+                return mark
+            count, self.number = count_rows(block[:skip], self.number)
+            self.given += count
+            block, base = block[skip:], base + skip
         if high is not None and base + len(block) > high:
-            block = block[: max(0, block.rfind(b"</row>", 0, max(0, high - base)) + 6)] if high > base else b""
-            if not block.endswith(b"</row>"):
-                return
+            block = block[: _rows_end(block, max(0, high - base))]
         if not block:
-            return
-        grid = scan(block, self.number, self.book, self.max_columns, self.serials, self.formulas)
+            return []
+        grid = scan(block, self.number, self.book, self.max_columns, self.serials, self.formulas, self.kinds_only)
         if grid is not None:
             self.number = int(grid.numbers[-1])
             self.given += len(grid.numbers)
-            yield grid
-            return
+            return [grid]
+        if (mark := _odd_place(block)) >= 0:
+            self.number, self.given = number, given
+            return skip + mark
         made = [row for text in block.decode("utf-8", "replace").split("</row>")[:-1] for row in self._plain(text)]
         self.given += len(made)
-        yield made
+        return [made]
 
     def _plain(self, row: str) -> Iterator[tuple[int, list]]:
         while m := _EMPTY_ROW.match(row):
