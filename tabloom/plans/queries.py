@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as X
 from ..operators import relations as R
+from ..sources.datasource import filesystem
 from ..sources.writer import Options, Sheet
 from ..streaming.events import follow, tumbling_counts
 from .workbooks import as_cells, load, round_trip, save, scratch, sheet_catalogue, write_workbook
@@ -111,7 +112,8 @@ def xlsx_header_names(spark, sf):
     from .workbooks import workbook_bytes
 
     path = f"{scratch(spark)}/book.xlsx"
-    with open(path, "wb") as f:
+    store, inner = filesystem(path)
+    with store.open_output_stream(inner) as f:
         f.write(workbook_bytes({"s": [["Name", "Name", None, "Amount", "Name"], [1, 2, 3, 4, 5]]}))
     return spark.createDataFrame([(n,) for n in load(spark, path).columns], "name string")
 
@@ -165,9 +167,8 @@ def events_stream_tumbling(spark, sf):
 
 
 def _made(folder: str) -> bool:
-    import os
-
-    os.makedirs(folder, exist_ok=True)
+    store, inner = filesystem(folder)
+    store.create_dir(inner, recursive=True)
     return True
 
 
