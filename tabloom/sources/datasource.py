@@ -11,6 +11,7 @@ tasks; no file is opened before a task does.  Rows go out as Arrow batches of bo
   the first rows of each, and a value that doesn't fit the type inferred from them is an error
   (``TYPE_MISMATCH``), never null
 - ``startRow``, ``maxRows``, ``maxColumns``, ``columns`` (JSON list), ``defval``, ``blankRows``
+- ``misfits``: ``null`` (the default) or ``error``, for values that a schema that is given has no room for
 - ``namesBefore``: name the columns left of the header row's first one too (``__EMPTY``, ``__EMPTY_1``, ...)
 - ``errors``: ``text``, ``null`` or ``object``; ``formulas``: ``value`` or ``text``
 - ``dates``: ``local`` (the default; wall clock times), ``utc`` (instants, as if cells were in UTC) or ``serial``
@@ -29,6 +30,7 @@ a sheet's rows each, into a folder; they are read back in parallel.  Other optio
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import glob
 import json
 import os
@@ -45,7 +47,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual,
     InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 from ..errors import SheetError
 from ..functions.cells import MAX_COLUMNS, MAX_ROWS, column_letters, format_ref, general_text, iso_text, number_text
@@ -92,7 +94,8 @@ def sized_files(path: str) -> list[tuple[str, int]]:
     scheme = f"{path.partition('://')[0]}://" if "://" in path and not path.startswith("file:") else ""
     info = store.get_file_info(inner)
     if info.type == fs.FileType.Directory:
-        wanted = lambda f: f.base_name.lower().endswith((".xlsx", ".xlsm")) and not f.base_name.startswith((".", "_", "~"))
+        hidden = lambda f: any(p.startswith((".", "_", "~")) for p in f.path[len(info.path.rstrip("/")) :].split("/"))
+        wanted = lambda f: f.base_name.lower().endswith((".xlsx", ".xlsm")) and not hidden(f)
         return sorted((scheme + f.path, f.size) for f in store.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File and wanted(f))
     if not scheme and info.type == fs.FileType.NotFound and (found := sorted(glob.glob(inner))):
         return [(f, os.path.getsize(f)) for f in found]
@@ -334,7 +337,7 @@ class XlsxReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         o, arrow = self.options, to_arrow_schema(self.schema)
-        one_by_one = shares_of(1, o | {"splitbytes": "1"}) == 1 and (_number(o, "maxrows", None) is not None or _flag(o, "blankrows"))
+        one_by_one = _number(o, "maxrows", None) is not None or _flag(o, "blankrows")
         start = max(self.low, _number(o, "startrow", 1))
         if self.mode == "cells":
             of_rows, of_grid, first = self._cells, self._grid_cells, start
@@ -438,10 +441,12 @@ class Records:
         default = o.get("defval")
         self.empty = [None if default is None else _typed(Cell("s", default), t) for _, t in self.wanted]
         self.inferred, self.arrow, self.where = reader.inferred, arrow, f"{path}: {info.name}"
+        self.strict = reader.inferred or o.get("misfits") == "error"
         self.no_errors, self.blank = o.get("errors") == "null", _flag(o, "blankrows")
 
     def misfit(self, number: int, column: int, kind: DataType) -> SheetError:
-        return SheetError("TYPE_MISMATCH", f"{self.where}!{format_ref(number, column)} doesn't fit the inferred {kind.typeName()}; give a schema, a larger sampleRows or inferSchema=false")
+        how = "the inferred" if self.inferred else "a column of type"
+        return SheetError("TYPE_MISMATCH", f"{self.where}!{format_ref(number, column)} doesn't fit {how} {kind.typeName()}; give another schema, a larger sampleRows or inferSchema=false")
 
     def rows(self, rows, first, path, info) -> Iterator[tuple]:
         spots = {c: (k, t, _PLAIN.get(t.typeName())) for k, (c, t) in enumerate(self.wanted) if c is not None}
@@ -463,6 +468,8 @@ class Records:
                         raise self.misfit(number, c, kind)
                     else:
                         out[k] = _typed(cell, kind)
+                        if out[k] is None and self.strict:
+                            raise self.misfit(number, c, kind)
             yield (*out, *self.extra)
 
     def grid(self, grid: Grid, first, path, info, arrow) -> Iterator[pa.RecordBatch]:
@@ -517,8 +524,10 @@ class Records:
         if fits.all():
             return out
         rest, values = cells[~fits], out.to_pylist()
-        for cell, k in zip(grid_cells(grid, rest), rows[~fits].tolist()):
+        for at, cell, k in zip(rest.tolist(), grid_cells(grid, rest), rows[~fits].tolist()):
             values[k] = _typed(cell, kind)
+            if values[k] is None and self.strict:
+                raise self.misfit(int(grid.numbers[grid.row[at]]), int(grid.column[at]), kind)
         return pa.array(values, field)
 
 
@@ -576,6 +585,8 @@ def _typed(cell: Cell, kind):
         return v if cell.kind == "b" else None
     if isinstance(kind, StructType):
         return dict(zip(CELL.names, _struct(cell)))
+    if isinstance(kind, DecimalType):
+        return _decimal(cell, kind)
     if cell.kind not in ("n", "b"):
         try:
             v = float(v) if cell.kind == "s" else None
@@ -588,6 +599,18 @@ def _typed(cell: Cell, kind):
     return float(v) if name in ("float", "double") else None
 
 
+def _decimal(cell: Cell, kind: DecimalType) -> decimal.Decimal | None:
+    """A number or a number's text as a decimal, rounded to the column's places; null if it is too large."""
+    if cell.kind not in ("n", "s"):
+        return None
+    try:
+        d = decimal.Decimal(repr(cell.value) if cell.kind == "n" else cell.value.strip())
+        d = d.quantize(decimal.Decimal(1).scaleb(-kind.scale), decimal.ROUND_HALF_UP, decimal.Context(prec=kind.precision))
+    except decimal.InvalidOperation:
+        return None
+    return d if d.is_finite() else None
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held = []
     for row in rows:

@@ -315,3 +315,19 @@ def test_reads_can_be_cancelled(spark):
         began = time.time()
         slow.collect()
     assert time.time() - began < 40 and spark.range(3).count() == 3
+
+
+def test_decimals_and_misfits(spark):
+    folder = scratch(spark)
+    d = spark.sql("select cast(1.25 as decimal(10,2)) as a, cast('12345678901234567890.5' as decimal(30,1)) as b, cast(null as decimal(5,1)) as c, 'x' as t")
+    save(d, f"{folder}/t.xlsx")
+    assert load(spark, f"{folder}/t.xlsx", d.schema).collect() == d.collect()
+    other = "a double, t double"
+    assert tuple(load(spark, f"{folder}/t.xlsx", other).first()) == (1.25, None)
+    with pytest.raises(Exception) as caught:
+        load(spark, f"{folder}/t.xlsx", other, misfits="error").collect()
+    assert error_code(caught.value) == "TYPE_MISMATCH"
+    os.makedirs(f"{folder}/.t.xlsx-123/ready")
+    with open(f"{folder}/.t.xlsx-123/ready/part.xlsx", "wb") as f:
+        f.write(b"not yet there")
+    assert load(spark, folder, d.schema).count() == 1
