@@ -458,3 +458,59 @@ def xlsx_headers_told(spark, sf):
     """Names given by the caller, from the first column on, and rows to leave out before."""
     rows = [["a", "b"], ["c", "d"], *[[r[0], r[1]] for r in nations(spark, sf)]]
     return load(spark, put(spark, workbook_bytes({"s": rows})), headers=json.dumps(["k", "name"]), headerRow="2")
+
+
+@query("""SELECT * FROM (VALUES ('append', 'WRITER_STATE'), ('array', 'WRITER_STATE'), ('map', 'WRITER_STATE'), ('overlong', 'CELL_TOO_LONG'), ('no sheet', 'WRITER_STATE'), ('all hidden', 'WRITER_STATE'), ('merges', 'WRITER_STATE'), ('freeze', 'WRITER_STATE'), ('colour', 'WRITER_STATE'),
+    ('font size', 'WRITER_STATE'), ('border', 'WRITER_STATE'), ('format', 'WRITER_STATE'), ('error cell', 'WRITER_STATE'), ('columns', 'ROW_OUT_OF_RANGE'), ('bytes', 'LIMIT_EXCEEDED')) t(name, code)""")
+def xlsx_writer_refusals(spark, sf):
+    """What is not written, and what that is called."""
+    from ..sources.writer import ErrorValue
+
+    small, path = table(spark, sf, "region"), f"{scratch(spark)}/book.xlsx"
+    save(small, path)
+
+    def made(sheet=None, rows=(), style=None):
+        def run():
+            writer = WorkbookWriter(lambda data: None)
+            if sheet is not None:
+                writer.add(sheet, rows, style)
+            writer.close()
+
+        return run
+
+    acts = {
+        "append": lambda: small.write.format("tabloom.xlsx").mode("append").save(path), "array": lambda: save(small.select(F.array("r_name").alias("a")), path), "map": lambda: save(small.select(F.create_map("r_name", "r_name").alias("m")), path),
+        "overlong": lambda: save(small.select(F.repeat("r_name", F.lit(9_000)).alias("t")), path, overlong="error"), "no sheet": made(), "all hidden": made(Sheet("a", hidden="hidden")), "merges": made(Sheet("a", merges=["A1:B2", "B2:C3"])),
+        "freeze": made(Sheet("a", freeze=(0, 0))), "colour": made("a", [[1]], Style(fill="red")), "font size": made("a", [[1]], Style(font={"size": 500})), "border": made("a", [[1]], Style(border={"top": "wavy"})), "format": made("a", [[1]], Style(format="")),
+        "error cell": made("a", [[ErrorValue("nothing")]]), "columns": made("a", [[1] * 16_385]), "bytes": lambda: workbook_bytes({"a": [["x" * 1_000]]}, most=100),
+    }
+    out = []
+    for name, act in acts.items():
+        try:
+            act()
+            out.append((name, None))
+        except Exception as e:
+            if error_code(e) is None:
+                raise
+            out.append((name, error_code(e)))
+    return spark.createDataFrame(out, "name string, code string")
+
+
+@query("SELECT 2 AS writes, 1 AS kinds, '2026-01-01T00:00:00Z' AS created")
+def xlsx_same_bytes(spark, sf):
+    """The same rows written twice are the same bytes, with a set time in the document's properties."""
+    rows = [[r[0], r[1]] for r in nations(spark, sf)]
+    books = [workbook_bytes({"s": rows}) for _ in range(2)]
+    core = package_parts(spark, put(spark, books[0]), ["docProps/core.xml"]).select(F.regexp_extract("part0", r">([0-9TZ:-]+)</dcterms:created>", 1)).first()[0]
+    return spark.createDataFrame([(len(books), len(set(books)), core)], "writes int, kinds int, created string")
+
+
+@query("SELECT count(*) AS \"references\", count(DISTINCT n_regionkey) AS unique_count, false AS frozen FROM nation")
+def xlsx_shared_string_table(spark, sf):
+    """What the writer says of its table of shared strings."""
+    out: list[bytes] = []
+    writer = WorkbookWriter(out.append, Options(strings="shared"))
+    writer.add("s", [[f"region {r[2]}"] for r in nations(spark, sf)])
+    told = writer.close()["strings"]
+    return spark.createDataFrame([(told["count"], told["unique"], told["frozen"])], "references long, unique_count long, frozen boolean")
+
