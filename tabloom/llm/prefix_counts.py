@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from .bpe_ids import byte_alphabet
 from .common import TwoGenerations, cut
 
-MEMO_CHUNKS = 96 << 20
-MEMO_PIECES = 32 << 20
+MEMO_CHUNKS = 192 << 20
+MEMO_PIECES = 64 << 20
 MEMO_PAIRS = 600_000  # pairs of tokens, which are short
 _CONTRACTED = {"'re", "'ve", "'ll"}
 
