@@ -20,8 +20,8 @@ import regex
 
 from .common import TwoGenerations
 
-MEMO_CHUNKS = 144 << 20
-MEMO_PIECES = 48 << 20
+MEMO_CHUNKS = 256 << 20
+MEMO_PIECES = 96 << 20
 
 
 def byte_alphabet() -> dict[int, str]:

@@ -195,7 +195,7 @@ def read_blocks(source: io.RawIOBase, footer: dict, table: Table, first: int = 0
     return decode_blocks(payloads, [b[2] for b in wanted], table)
 
 
-def read_documents(source: io.RawIOBase, table: Table, first: int = 0, last: int | None = None, step: int = 16) -> Iterator[tuple[int | None, np.ndarray]]:
+def read_documents(source: io.RawIOBase, table: Table, first: int = 0, last: int | None = None, step: int = 64) -> Iterator[tuple[int | None, np.ndarray]]:
     """(name, ids) of the shard's documents first..last, decoded from the checkpoint before the first of them."""
     footer = read_footer(source)
     if footer["table"] != table.crc:

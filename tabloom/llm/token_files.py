@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .bpe_ids import encoder
-from .common import arrow_filesystem, cut, put_file, shared_dir
+from .common import arrow_filesystem, cut, discard, put_file, shared_dir
 from .rans import Table, quantise, read_documents, read_table, shard_bytes, table_bytes
 
 SHARD_IDS = 4_000_000
-SPAN_IDS = 1_000_000
+SPAN_IDS = 2_000_000
 SHARDS_A_PARTITION = 4
 TABLE, MANIFEST = "frequencies.rtab", "manifest"
 _SPANS = "part int, shard int, file string, first long, last long, documents long, tokens long, bytes long"
@@ -184,6 +184,7 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, end_id: int = 2,
     offsets = spans.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(Window.orderBy("part")).alias("offset"))
     within = before(Window.partitionBy("part").orderBy("shard", "first"))
     spans.withColumn("start", within).join(offsets, "part").withColumn("start", F.col("start") + F.col("offset")).drop("offset").write.parquet(f"{folder}/{MANIFEST}")
+    discard(coded, spans)
     return folder
 
 
