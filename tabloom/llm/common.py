@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import sys
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -68,15 +68,32 @@ def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE + 1))
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.files__ = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames made by ``cut`` from which everything has been computed that will be."""
+    for df in frames:
+        _delete(df.sparkSession, df.files__)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets frames that nobody refers to any more go, and the shuffle files of their jobs with them."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _cleanup() -> None:
     for spark, path in _MADE:
         try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended: nothing is left to clean with
             return
 
@@ -112,7 +129,7 @@ class TwoGenerations(dict):
     as they are met, so only rare ones are computed again.  Keys longer than LONGEST aren't kept.
     """
 
-    ENTRY = 130  # bytes of a dictionary's slot and of the memory manager's rounding
+    ENTRY = 220  # bytes of two objects, a dictionary's slot and the memory manager's rounding, at most
     LONGEST = 200
 
     def __init__(self, compute, limit: int):
@@ -128,7 +145,7 @@ class TwoGenerations(dict):
         if self.used >= self.limit:
             self.old, self.used = dict(self), 0
             self.clear()
-        self.used += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+        self.used += len(key) + len(value) + self.ENTRY
         self[key] = value
         return value
 

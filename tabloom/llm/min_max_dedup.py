@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, join_hot
+from .common import cut, discard, join_hot
 
 PERMUTATIONS = 64
 ROWS = 4
@@ -158,10 +158,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), "least", 2 * seen["n"])
         large = join_hot(both, least, "u", "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large, "large", seen["n"])
+        discard(now, least)
         # Small star: the smaller neighbours of a vertex, and itself, move to the smallest of them.
         least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least", seen["n"])
         small = join_hot(large, least, "u", "c").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = cut(small.where("u <> v").distinct(), "small", seen["n"])
+        discard(large, least)
     return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
@@ -212,12 +214,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, agree: int
     # Buckets of two or more.  A vertex may stand for two sets if rows share a doc_id.
     every = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     counts = cut(every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    member = cut(join_hot(every, counts, "bucket", "c"), "member")
-    central = cut(member.groupBy("id").agg(F.sum("c").alias("weight")), "central")
-    weighed = member.join(central, "id").select("bucket", F.struct("weight", (-F.col("id")).alias("less"), "n").alias("h"))
+    every = cut(join_hot(every, counts, "bucket", "c"), "member")
+    discard(counts)
+    central = cut(every.groupBy("id").agg(F.sum("c").alias("weight")), "central")
+    weighed = every.join(central, "id").select("bucket", F.struct("weight", (-F.col("id")).alias("less"), "n").alias("h"))
     top = weighed.groupBy("bucket").agg(F.max("h").alias("h"), F.count("*").alias("members"))
     hubs = cut(top.select("bucket", (-F.col("h.less")).alias("hub"), F.col("h.n").alias("hub_n"), "members"), "hubs")
-    member = cut(join_hot(member, hubs, "bucket", "members").drop("members"), "hubbed")
+    member = cut(join_hot(every, hubs, "bucket", "members").drop("members"), "hubbed")
+    discard(every, central, hubs)
     star = member.where((F.col("id") != F.col("hub")) & _fits("n", "hub_n", share)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
     star = cut(star.distinct(), "star")
 
@@ -228,11 +232,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, agree: int
 
     linked = F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * share
     labels = components(_confirm(star, sets).where(linked).select("a", "b"))
+    discard(star)
     edges = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
 
     # Hubs with three or more members in a bucket, some of them outside the hub's component.
     shared = cut(member.where("c > 2").select("hub", "id", "n").distinct(), "shared")
-    rows = shared.count()
+    rows, used = shared.count(), [classes, member, sets, shared]
     if rows:
         of_hub = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
         tagged = shared.join(labels, "id", "left").join(of_hub, "hub", "left")
@@ -251,9 +256,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, agree: int
         keys = ["hub", "i", "j"]
         asks, others = (d.toDF(*[f"{c}_{t}" if c in keys else c for c in d.columns]).select(*[F.col(f"{c}_{t}") for c in keys], *[F.col(c).alias(c) for c in ("id", "n", "label", "mark", "items")]) for d, t in ((asks, "x"), (others, "y")))
         found = asks.groupBy("hub_x", "i_x", "j_x").cogroup(others.groupBy("hub_y", "i_y", "j_y")).applyInPandas(_comparer(share, agree), "a long, b long")
-        edges = edges.unionByName(cut(found, "found", rows))
+        found = cut(found, "found", rows)
+        edges = edges.unionByName(found)
+        used += [tagged, mixed, found]
 
     labels = components(edges.unionByName(same))
+    discard(*used)
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", F.col("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

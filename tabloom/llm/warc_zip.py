@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_filesystem, cut, join_hot, put_file, shared_dir
+from .common import arrow_filesystem, cut, discard, join_hot, put_file, shared_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_REVISIT = 100
@@ -353,7 +353,9 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
     parts = max(spark.sparkContext.defaultParallelism, (total["b"] or 0) // PARTITION_BYTES + 1, total["n"] // PARTITION_ROWS + 1)
     by = [F.col("page_id").asc_nulls_first(), F.col("digest")]  # a tag and its pages have one key, so one partition
     placed = rows.unionByName(tags).repartitionByRange(int(parts), *by).sortWithinPartitions(*by, "kind")
-    return folder, cut(placed.mapInArrow(_write_task(folder), "part int, file string, records long, bytes long"), "manifest")
+    manifest = cut(placed.mapInArrow(_write_task(folder), "part int, file string, records long, bytes long"), "manifest")
+    discard(narrow, again)
+    return folder, manifest
 
 
 def page_records(pages: DataFrame) -> DataFrame:
