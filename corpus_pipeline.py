@@ -6,18 +6,22 @@ all but the last return documents with their columns.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm.common import cut, file_order, table
+from tabloom.llm.common import cut, file_order, release, table
 from tabloom.llm.curriculum_mix import mixture
 from tabloom.llm.min_max_dedup import deduplicate
 from tabloom.llm.simhash_decontam import decontaminate
 from tabloom.llm.site_quality import keep_good
 from tabloom.llm.token_files import token_digests
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -56,12 +60,22 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_digests(placed, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2, folder=folder, order=order).drop("shard")
 
 
+def _fresh(stage: Stage) -> Stage:
+    """The stage, begun when what the one before needed on disk to shuffle is gone."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("near-dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("mixing", mixing),
-    ("token output", token_output),
+    ("quality classifier", _fresh(quality)),
+    ("near-dedup", _fresh(near_dedup)),
+    ("benchmark decontamination", _fresh(decontamination)),
+    ("mixing", _fresh(mixing)),
+    ("token output", _fresh(token_output)),
 ]
 
 #: SQL can express neither the classifier nor the hash order of the mix.
