@@ -5,6 +5,9 @@ characters always begins a pre-token.  Texts whose white space is single spaces
 are therefore cut at their spaces, and each chunk's ids come from a bounded memo or else from the
 library's BPE model; any other text goes to the library whole.  The ids are the library's own
 either way (tests compare them with it).
+
+Texts are cut many at a time: a group's distinct chunks are found by array operations, each is looked up
+once, and its bytes are dealt out to where it stands.
 """
 
 from __future__ import annotations
@@ -14,14 +17,68 @@ import json
 import os
 import sys
 from array import array
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import TwoGenerations
 
-MEMO_CHUNKS = 256 << 20
-MEMO_PIECES = 96 << 20
+MEMO_CHUNKS = 192 << 20
+MEMO_PIECES = 64 << 20
+GROUP_BYTES = 16 << 20
+LONG_BYTES = 64 << 20
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_NOT_PLAIN = rf"[{_SPACES}]|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to about GROUP_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+def chunkwise(texts: pa.Array, special: Sequence[str], first: Callable[[str], bytes], chunks: Mapping[str, bytes], other: Callable[[str], bytes]) -> pa.Array:
+    """For each text the bytes of its first chunk and those of all others, which stand behind a space each.
+
+    Null texts are empty.  Texts with other white space than single spaces and line ends, or with a special
+    string, and very long ones, are ``other``'s as a whole.
+    """
+    texts = texts.cast(pa.string()).fill_null("")
+    odd = pc.or_(pc.match_substring_regex(texts, _NOT_PLAIN), pc.greater(pc.binary_length(texts), LONG_BYTES))
+    for s in special:
+        odd = pc.or_(odd, pc.match_substring(texts, s))
+    odd = odd.to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    offsets = lists.offsets.to_numpy()
+    words = lists.flatten().dictionary_encode()
+    at = words.indices.to_numpy().astype(np.int64)
+    begins = offsets[:-1] - offsets[0]
+    later = np.ones(len(at), bool)
+    later[begins] = False
+    used = np.bincount(at[later], minlength=len(words.dictionary)) > 0
+    names = words.dictionary.to_pylist()
+    values = [chunks[w] if u else b"" for w, u in zip(names, used.tolist())]
+    heads, which = np.unique(at[begins], return_inverse=True)
+    at[begins] = len(values) + which
+    values += [first(names[k]) for k in heads.tolist()]
+    table = pa.array(values, pa.binary())
+    spread = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), table.take(pa.array(at)))
+    plain = pc.binary_join(spread, b"")
+    if not odd.any():
+        return plain
+    rest = pa.array([other(t.as_py()) for t in texts.filter(pa.array(odd))], pa.binary())
+    place = np.where(odd, len(plain) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
+    return pa.concat_arrays([plain, rest]).take(pa.array(place))
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -74,9 +131,19 @@ class ChunkEncoder:
             return self._word(chunk)
         stem = chunk[:-1]
         if stem.isalpha() and chunk[-1] in ".,!?;:":
-            return self.pieces[" " + stem] + self.pieces[chunk[-1]]
+            return (self.chunks.known(stem) or self._word(stem)) + self.pieces[chunk[-1]]
         return b"".join([self.pieces[p] for p in self.split(" " + chunk)])
 
+    def first(self, chunk: str) -> bytes:
+        """The ids of a chunk that begins a text."""
+        return b"".join([self.pieces[p] for p in self.split(chunk)])
+
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """``encode`` of many texts."""
+        if not self.plain:
+            return pa.array([self.encode(t.as_py()) for t in texts], pa.binary())
+        return chunkwise(texts, self.special, self.first, self.chunks, self.encode)
+
     def encode(self, text: str | None) -> bytes:
         """All ids of the text, as the library gives them without added special tokens."""
         if not text:
@@ -85,7 +152,7 @@ class ChunkEncoder:
         if not self.plain or len(text.split()) != spaces + text.count("\n") + 1 or any(s in text for s in self.special):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         first, _, rest = text.partition(" ")
-        out = b"".join([self.pieces[p] for p in self.split(first)])
+        out = self.first(first)
         return out + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if rest or spaces else out
 
 

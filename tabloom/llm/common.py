@@ -136,6 +136,11 @@ class TwoGenerations(dict):
         super().__init__()
         self.compute, self.limit, self.used, self.old = compute, limit // 2, 0, {}
 
+    def known(self, key):
+        """The value, if it has been made and kept; else None."""
+        value = self.get(key)
+        return self.old.get(key) if value is None else value
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

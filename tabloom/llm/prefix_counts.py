@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe_ids import byte_alphabet
+from .bpe_ids import byte_alphabet, chunkwise, grouped
 from .common import TwoGenerations, cut
 
 MEMO_CHUNKS = 192 << 20
@@ -154,7 +154,7 @@ class PrefixCounter:
             return self._piece(" " + chunk)
         stem = chunk[:-1]
         if stem.isalpha() and chunk[-1] in ".,!?;:":
-            return self.pieces[" " + stem] + self.pieces[chunk[-1]]
+            return (self.chunks.known(stem) or self._piece(" " + stem)) + self.pieces[chunk[-1]]
         return self._general(" " + chunk)
 
     def _unit(self, unit: str) -> bytes:
@@ -186,6 +186,10 @@ class PrefixCounter:
         head = self._general(first)
         return head + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if space else head
 
+    def tables(self, texts: pa.Array) -> pa.Array:
+        """``table`` of many texts."""
+        return chunkwise(texts, self.special, self._general, self.chunks, self.table)
+
     def table(self, text: str | None) -> bytes:
         """The count differences of all prefixes of the text, one signed byte a code point."""
         if not text:
@@ -225,11 +229,10 @@ def longest_within(table: bytes, budget: int) -> int:
 def _table_task(path: str, pattern: str):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         programme = counter(path, pattern)
-        for batch in batches:
+        for batch in grouped(batches):
             texts = batch.column(1)
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            tables = pa.array([programme.table(t.as_py()) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tables], ["doc_id", "n_bytes", "prefix_steps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, programme.tables(texts)], ["doc_id", "n_bytes", "prefix_steps"])
 
     return build
 

@@ -18,16 +18,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .bpe_ids import encoder
+from .bpe_ids import encoder, grouped
 from .common import arrow_filesystem, cut, discard, put_file, shared_dir
 from .rans import Table, quantise, read_documents, read_table, shard_bytes, table_bytes
 
 SHARD_IDS = 4_000_000
 SPAN_IDS = 2_000_000
 SHARDS_A_PARTITION = 4
+SPANS_A_TASK = 4
 TABLE, MANIFEST = "frequencies.rtab", "manifest"
 _SPANS = "part int, shard int, file string, first long, last long, documents long, tokens long, bytes long"
 
@@ -36,18 +38,14 @@ def _encode_task(path: str, pattern: str, end_id: int, vocabulary: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counts, schema = encoder(path, pattern), np.zeros(vocabulary, np.int64), None
         last, row = np.array([end_id], coder.dtype).tobytes(), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids, n = [], []
-            for text in batch.column("text"):
-                ids.append(coder.encode(text.as_py()) + last)
-                n.append(len(ids[-1]) // coder.dtype.itemsize)
-                counts += np.bincount(np.frombuffer(ids[-1], coder.dtype), minlength=vocabulary) if n[-1] > vocabulary // 4 else 0
-            short = [x for x, k in zip(ids, n) if k <= vocabulary // 4]
-            counts += np.bincount(np.frombuffer(b"".join(short), coder.dtype), minlength=vocabulary)
+        for batch in grouped(batches):
+            ids = pc.binary_join_element_wise(coder.encode_all(batch.column("text")), last, b"")
+            flat = np.frombuffer(ids.buffers()[2], coder.dtype, sum(n := [k // coder.dtype.itemsize for k in pc.binary_length(ids).to_pylist()]))
+            counts += np.bincount(flat, minlength=vocabulary)
             rows = pa.array(range(row, row + len(ids)), pa.int64())
             row += len(ids)
             kept = batch.drop_columns(["text"])
-            made = {"row": rows, "ids": pa.array(ids, pa.binary()), "n": pa.array(n, pa.int64()), "histogram": pa.nulls(len(ids), pa.binary())}
+            made = {"row": rows, "ids": ids, "n": pa.array(n, pa.int64()), "histogram": pa.nulls(len(ids), pa.binary())}
             out = pa.RecordBatch.from_arrays([*kept.columns, *made.values()], [*kept.schema.names, *made])
             schema = out.schema
             yield out
@@ -190,7 +188,9 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, end_id: int = 2,
 
 def _spread(spark: SparkSession, folder: str) -> DataFrame:
     spans = spark.read.schema("file string, first long, last long, start long").parquet(f"{folder}/{MANIFEST}")
-    return spans.repartition(max(1, min(100_000, spans.count())), "file", "first")
+    # A few spans a task, but enough tasks for all cores and for a lost one to cost little.
+    count = spans.count()
+    return spans.repartition(max(1, min(count, 100_000, max(2 * spark.sparkContext.defaultParallelism, count // SPANS_A_TASK))), "file", "first")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
