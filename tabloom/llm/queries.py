@@ -129,6 +129,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
         ) WHERE rank <= 20""",
+    "op8_min_max_dedup": r"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM w WHERE len(w) > 0
+        ), n AS MATERIALIZED (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY ALL
+        ), p AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), e AS MATERIALIZED (
+            SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+        ), both_ways AS MATERIALIZED (
+            SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+        ), r AS (
+            SELECT doc_id AS id, doc_id AS reached FROM n UNION SELECT r.id, y FROM r JOIN both_ways ON x = reached
+        ), c AS (
+            SELECT id, min(reached) AS component FROM r GROUP BY ALL
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = doc_id""",
     "op9_warc_zip": """
         WITH p AS (
             SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
