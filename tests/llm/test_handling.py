@@ -605,3 +605,20 @@ def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
         assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in again)
     finally:
         spark.conf.unset(corpus_pipeline.TOKENS_DIR)
+
+
+# Chunks of many texts at once
+
+
+def test_many_texts_at_once():
+    import pyarrow as pa
+
+    from test_operators import oddities
+
+    texts = [None, "", *oddities(), "a b c " * 50 + "end", "one", "x\ny z", "tail ", "　x", "x\x85y", *[words(k, 40) for k in range(30)]]
+    e, c = encoder(PATH, PATTERN), counter(PATH, PATTERN)
+    for k in (0, 7):
+        column = pa.array(texts, pa.string()).slice(k)
+        assert e.encode_all(column).to_pylist() == [e.encode(t) for t in texts[k:]]
+        assert c.tables(column).to_pylist() == [c.table(t) for t in texts[k:]]
+    assert e.encode_all(pa.array([], pa.string())).to_pylist() == [] == c.tables(pa.array([None], pa.string()).slice(1)).to_pylist()
