@@ -93,7 +93,8 @@ def each_file(spark: SparkSession, path: str, schema: str, work, shared: bool =
     register(spark)
     ship(spark)
     parts = [(n, f, k, m) for n, (f, size) in enumerate(sized_files(path)) for m in [shares_of(size, options or {}) if shared else 1] for k in range(m)]
-    files = spark.createDataFrame(parts, "n int, path string, share int, shares int").repartition(max(1, min(len(parts), 10_000)), "n", "share")
+    tasks = max(1, min(len(parts), 10_000))
+    files = spark.createDataFrame([(at % tasks, *p) for at, p in enumerate(parts)], "task int, n int, path string, share int, shares int").repartitionById(tasks, "task")
     arrow = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -295,15 +295,15 @@ def scan(block: bytes, before: int, book, max_columns: int, serials: bool, formu
     return Grid(numbers, row, column, out, number, micros, text_at, joined, style)
 
 
-_ROW_TAG = re.compile(rb"<row(?=[\s/>])[^>]*>")
-_ROW_NUMBER = re.compile(rb'\sr="([0-9]{1,7})"')
+_ROW_NUMBER = re.compile(rb'<row\s(?:[^>]*\s)?r="([0-9]{1,7})"')
 
 
 def count_rows(block: bytes, before: int) -> tuple[int, int]:
-    """How many rows the block has, and the last one's number."""
-    tags = _ROW_TAG.findall(block)
-    for back, tag in enumerate(reversed(tags)):
-        m = _ROW_NUMBER.search(tag)
+    """How many rows the block has, and the last one's number.  Nothing else in it begins like a row."""
+    count, at, back = block.count(b"<row"), len(block), 0
+    while (at := block.rfind(b"<row", 0, at)) >= 0:
+        m = _ROW_NUMBER.match(block, at)
         if m and 0 < int(m[1]) <= MAX_ROWS:
-            return len(tags), int(m[1]) + back
-    return len(tags), before + len(tags)
+            return count, int(m[1]) + back
+        back += 1
+    return count, before + count

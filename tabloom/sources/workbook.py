@@ -298,7 +298,12 @@ def _rows_end(block: bytes, upto: int) -> int:
 
 def _odd_place(block: bytes) -> int:
     """Where a comment, a section or another sheetData element begins; -1 if there is none."""
-    marks = [m for m in (block.find(b"<!"), block.find(b"<sheetData"), block.find(b"</sheetData>")) if m >= 0]
+    at = block.find(b"!")  # one byte is looked for far faster than two
+    while at >= 0 and block[at - 1 : at] != b"<":
+        at = block.find(b"!", at + 1)
+    marks = [at - 1] if at > 0 else []
+    if b"sheetData" in block:
+        marks += [m for m in (block.find(b"<sheetData"), block.find(b"</sheetData>")) if m >= 0]
     return min(marks, default=-1)
 
 
