@@ -798,6 +798,10 @@ class XlsxStreamReader(DataSourceStreamReader):
 
     def __init__(self, options: dict, schema: StructType, inferred: bool = False):
         self.options, self.schema, self.inferred = options, schema, inferred
+        self.held: list[list[str]] = []  # lists that have been read; they never change
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": []}  # tasks have no use for them
 
     def _log(self):
         store, inner = filesystem(self.options.get("logpath") or f"{self.options['path'].rstrip('/')}/{LOG}")
@@ -809,11 +813,10 @@ class XlsxStreamReader(DataSourceStreamReader):
 
         store, inner = self._log()
         names = sorted(f.path for f in store.get_file_info(fs.FileSelector(inner)) if f.base_name.endswith(".json"))
-        out = []
-        for name in names:
+        for name in names[len(self.held) :]:
             with store.open_input_stream(name) as f:
-                out.append(json.loads(f.read()))
-        return out
+                self.held.append(json.loads(f.read()))
+        return self.held
 
     def initialOffset(self) -> dict:
         return {"lists": 0}
@@ -832,7 +835,8 @@ class XlsxStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[SheetPartition]:
         files = {f for some in self._lists()[start["lists"] : end["lists"]] for f in some}
-        return [SheetPartition(f, k, n) for f in sorted(files) for n in [shares_of(dict(sized_files(f))[f], self.options)] for k in range(n)]
+        sizes = dict(sized_files(self.options["path"]))
+        return [SheetPartition(f, k, n) for f in sorted(files) for n in [shares_of(sizes.get(f, 0), self.options)] for k in range(n)]
 
     def read(self, partition: SheetPartition) -> Iterator[pa.RecordBatch]:
         return XlsxReader(self.options, self.schema, self.inferred).read(partition)
