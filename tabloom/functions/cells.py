@@ -48,7 +48,8 @@ def encode_text(text: str) -> str:
 
 def escape_attribute(text: str) -> str:
     text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\ud800-\udfff]", "", text)
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("\t", "&#9;").replace("\n", "&#10;").replace("\r", "&#13;")
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("\t", "&#9;").replace("\n",
+        "&#10;").replace("\r", "&#13;")
 
 
 def needs_space(text: str) -> bool:

@@ -42,7 +42,8 @@ def timestamp_from_iso(text: Column) -> Column:
     text = F.trim(text)
     day, clock, rest = (F.regexp_extract(text, pattern, k) for k in (1, 2, 3))
     ms = F.floor(F.concat(F.lit("0."), rest, F.lit("0")).cast("double") * 1000 + 0.5)
-    base = F.concat(F.when(day == "", "1899-12-30").otherwise(day), F.lit(" "), F.when(clock == "", "00:00:00").when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock))
+    base = F.concat(F.when(day == "", "1899-12-30").otherwise(day), F.lit(" "),
+        F.when(clock == "", "00:00:00").when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock))
     good = text.rlike(pattern) & ((day != "") | (clock != ""))
     return F.when(good, F.try_to_timestamp(base, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ms / 1000))
 
@@ -98,7 +99,8 @@ def parse_range(text: Column) -> Column:
     """struct(top, left, bottom, right) with corners in order; null if it is no range."""
     a, b = parse_ref(F.substring_index(text, ":", 1)), parse_ref(F.substring_index(text, ":", -1))
     good = a.isNotNull() & b.isNotNull() & (F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit(""))) <= 1)
-    return F.when(good, F.struct(F.least(a["row"], b["row"]).alias("top"), F.least(a["column"], b["column"]).alias("left"), F.greatest(a["row"], b["row"]).alias("bottom"), F.greatest(a["column"], b["column"]).alias("right")))
+    return F.when(good, F.struct(F.least(a["row"], b["row"]).alias("top"), F.least(a["column"], b["column"]).alias("left"),
+        F.greatest(a["row"], b["row"]).alias("bottom"), F.greatest(a["column"], b["column"]).alias("right")))
 
 
 def format_range(top: Column, left: Column, bottom: Column, right: Column) -> Column:
@@ -276,7 +278,8 @@ def typed_json(kind: Column, s: Column, n: Column, b: Column, ts: Column, err: C
         .when(kind == "n", number)
         .when(kind == "b", b.cast("string"))
         .when(kind == "e", one("$error", err))
-        .when(kind == "d", F.when(day == "1899-12-30", one("$time", clock)).when(clock == "00:00:00.000", one("$date", day)).otherwise(one("$datetime", F.concat(day, F.lit("T"), clock))))
+        .when(kind == "d", F.when(day == "1899-12-30", one("$time", clock)).when(clock == "00:00:00.000",
+            one("$date", day)).otherwise(one("$datetime", F.concat(day, F.lit("T"), clock))))
         .otherwise("null")
     )
 

@@ -47,7 +47,8 @@ def cell_difference(e: str = "e", a: str = "a", policies: tuple[str, ...] = ())
         .when(both("n"), "number")
         .when(both("b"), F.when(x(e, "b") == x(a, "b"), F.lit(None)).otherwise("boolean"))
         .when(both("e"), F.when(x(e, "err") == x(a, "err"), F.lit(None)).otherwise("error-code"))
-        .when(both("d"), F.when(x(e, "ts") == x(a, "ts"), F.lit(None)).when(F.abs(F.unix_micros(x(e, "ts").cast("timestamp")) - F.unix_micros(x(a, "ts").cast("timestamp"))) <= 1000, "date-rounding").when(F.to_date(x(e, "ts")) == F.to_date(x(a, "ts")), "date-time").otherwise("date"))
+        .when(both("d"), F.when(x(e, "ts") == x(a, "ts"), F.lit(None)).when(F.abs(F.unix_micros(x(e, "ts").cast("timestamp")) - F.unix_micros(x(a,
+            "ts").cast("timestamp"))) <= 1000, "date-rounding").when(F.to_date(x(e, "ts")) == F.to_date(x(a, "ts")), "date-time").otherwise("date"))
         .when(both("s") & ((es == as_) | allowed), F.lit(None))
         .when(both("s") & (F.trim(es) == F.trim(as_)), "text-space")
         .when(both("s") & (F.regexp_replace(es, "\r\n?", "\n") == F.regexp_replace(as_, "\r\n?", "\n")), "text-line-ends")
@@ -94,7 +95,8 @@ def match_summary(compared: DataFrame, by: list[str], most: int = 2) -> DataFram
     """(by, cells, matches, percent, top): the share of matching cells, and the categories that are there most."""
     counts = compared.groupBy(*by, "category").agg(F.count("*").alias("n"))
     named = F.filter(F.collect_list(F.struct((-F.col("n")).alias("less"), "category")), lambda x: x["category"].isNotNull())
-    out = counts.groupBy(*by).agg(F.sum("n").alias("cells"), F.coalesce(F.sum(F.when(F.col("category").isNull(), F.col("n"))), F.lit(0)).alias("matches"), F.slice(F.array_sort(named), 1, most).alias("top"))
+    out = counts.groupBy(*by).agg(F.sum("n").alias("cells"),
+        F.coalesce(F.sum(F.when(F.col("category").isNull(), F.col("n"))), F.lit(0)).alias("matches"), F.slice(F.array_sort(named), 1, most).alias("top"))
     text = F.array_join(F.transform("top", lambda x: F.concat(x["category"], F.lit(" "), (-x["less"]).cast("string"))), ", ")
     return out.select(*by, "cells", "matches", F.round(F.col("matches") * 100 / F.col("cells")).cast("int").alias("percent"), text.alias("top"))
 
@@ -124,7 +126,8 @@ def known_divergence(theirs: str, ours: str) -> Column:
         .when((o("kind") == "n") & (t("kind") == "d") & (F.year(t("ts")) > 9999), "past-9999")
         .when((o("kind") == "e") & (blank | (t("s") == "")), "error-as-default")
         .when((t("s") == "") & (o("kind").isNull() | (o("kind") == "blank")), "text-cell-without-text")
-        .when(both("s") & ((F.regexp_replace(o("s"), "\r\n?", "\n") == F.replace(t("s"), F.lit("\r"), F.lit("\n"))) | (F.replace(o("s"), F.lit("\r"), F.lit("")) == t("s"))), "line-ends")
+        .when(both("s") & ((F.regexp_replace(o("s"), "\r\n?", "\n") == F.replace(t("s"), F.lit("\r"), F.lit("\n"))) | (F.replace(o("s"), F.lit("\r"),
+            F.lit("")) == t("s"))), "line-ends")
         .when((t("kind") == "d") & (o("kind") == "n") & ((o("n") == 60) | (o("n") < 0)), "no-such-date")
         .when((t("kind") == "n") & (o("kind") == "d") & (t("n") >= 60) & (t("n") < 61), "serial-60")
         .when(blank & (o("kind") == "s") & F.lower(o("s")).rlike(r"^(-?inf|nan|-?\d(\.\d+)?e\+30[89])$"), "no-number")
@@ -273,7 +276,8 @@ def head_map(cells: DataFrame, rows: int) -> DataFrame:
 def beyond_header(cells: DataFrame, header_end: int, header_row: int = 1) -> DataFrame:
     """(sheet, cells, columns, first_column, last_column, first_ref) of values right of the header."""
     over = cells.where((F.col("col_index") > header_end) & (F.col("row_index") > header_row))
-    return over.groupBy("sheet").agg(F.count("*").alias("cells"), F.count_distinct("col_index").alias("columns"), F.min("col_index").alias("first_column"), F.max("col_index").alias("last_column"), F.min_by("ref", F.struct("row_index", "col_index")).alias("first_ref"))
+    return over.groupBy("sheet").agg(F.count("*").alias("cells"), F.count_distinct("col_index").alias("columns"),
+        F.min("col_index").alias("first_column"), F.max("col_index").alias("last_column"), F.min_by("ref", F.struct("row_index", "col_index")).alias("first_ref"))
 
 
 def sheet_extent(cells: DataFrame) -> DataFrame:
@@ -342,7 +346,8 @@ def markdown(d: DataFrame, columns: list[str]) -> DataFrame:
 def audit_summary(runs: DataFrame, key: str, file: str, examples: int = 5, sums: tuple[str, ...] = ()) -> DataFrame:
     """(key, runs, sums, examples): counts and sums with the first few files of each key by name."""
     order = Window.partitionBy(key).orderBy(file)
-    kept = runs.withColumn("k__", F.row_number().over(order)).where(F.col("k__") <= examples).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(file)), ",").alias("examples"))
+    kept = runs.withColumn("k__",
+        F.row_number().over(order)).where(F.col("k__") <= examples).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(file)), ",").alias("examples"))
     return runs.groupBy(key).agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in sums]).join(kept, key)
 
 
@@ -421,5 +426,6 @@ def integrity(files: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """(key, problem): files whose size or digest is not the manifest's, or that one side lacks."""
     have = files.select(key, F.sha2("content", 256).alias("have"), F.octet_length("content").alias("size"))
     joined = manifest.select(key, "sha256", "bytes").join(have, key, "full_outer")
-    problem = F.when(F.col("sha256").isNull(), "not listed").when(F.col("have").isNull(), "missing").when(F.col("size") != F.col("bytes"), "size").when(F.col("have") != F.col("sha256"), "digest")
+    problem = F.when(F.col("sha256").isNull(), "not listed").when(F.col("have").isNull(), "missing").when(F.col("size") != F.col("bytes"),
+        "size").when(F.col("have") != F.col("sha256"), "digest")
     return joined.select(key, problem.alias("problem")).where(F.col("problem").isNotNull())

@@ -31,7 +31,8 @@ def package(parts: dict[str, str | bytes], level: int = 6) -> bytes:
     return b"".join(out)
 
 
-def book(rows: str, head: str = "", styles: str = "", strings: str = "", sheets: str = "", relations: str = "", more: dict | None = None, target: str = "worksheets/sheet1.xml", kind: str = SHEET_TYPE) -> bytes:
+def book(rows: str, head: str = "", styles: str = "", strings: str = "", sheets: str = "", relations: str = "", more: dict | None = None,
+    target: str = "worksheets/sheet1.xml", kind: str = SHEET_TYPE) -> bytes:
     """A workbook of one sheet, Data, whose rows are markup."""
     extra = [("styles", "styles.xml")] * bool(styles) + [("sharedStrings", "sharedStrings.xml")] * bool(strings)
     rels = f'<Relationship Id="rId1" Type="{OFFICE}/worksheet" Target="{target}"/>{relations}' + "".join(f'<Relationship Id="x{k}" Type="{OFFICE}/{t}" Target="{p}"/>' for k, (t, p) in enumerate(extra))
@@ -73,14 +74,20 @@ def nations(spark, sf) -> list:
 # Places
 
 
-@query("SELECT 'A' || (n_nationkey + 5) AS ref, CAST(n_nationkey AS DOUBLE) AS n, NULL AS s FROM nation UNION ALL SELECT 'B' || (n_nationkey + 5), NULL, n_name FROM nation")
+@query("""
+    SELECT 'A' || (n_nationkey + 5) AS ref, CAST(n_nationkey AS DOUBLE) AS n, NULL AS s FROM nation UNION ALL SELECT 'B' || (n_nationkey +
+    5), NULL, n_name FROM nation
+""")
 def xlsx_places_inferred(spark, sf):
     """Cells without references, in rows of which only the first has a number."""
     rows = "".join(f'<row{" r=\"5\"" if not r[0] else ""}>{number(r[0])}{text(r[1])}</row>' for r in nations(spark, sf))
     return load(spark, put(spark, book(rows)), mode="cells").select("ref", "n", "s")
 
 
-@query("SELECT CAST(n_nationkey * 2 + 1 AS INTEGER) AS row_index, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 4 ELSE 2 END AS INTEGER) AS cells, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS filled FROM nation")
+@query("""
+    SELECT CAST(n_nationkey * 2 + 1 AS INTEGER) AS row_index, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 4 ELSE 2 END AS INTEGER) AS cells,
+    CAST(CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS filled FROM nation
+""")
 def xlsx_dense_rows(spark, sf):
     """Holes are null, blank cells at the ends of rows and blank rows are nothing."""
     rows = "".join(f'<row r="{2 * r[0] + 1}">{text(r[1], f"B{2 * r[0] + 1}")}{number(1, f"D{2 * r[0] + 1}") if r[0] % 3 == 0 else f"<c r=\"D{2 * r[0] + 1}\" s=\"0\"/>"}</row><row r="{2 * r[0] + 2}"><c r="A{2 * r[0] + 2}"/></row>' for r in nations(spark, sf))
@@ -141,7 +148,8 @@ def xlsx_columns_before(spark, sf):
 def xlsx_late_columns(spark, sf):
     """A folder whose files have different columns: all of them, null where a file lacks one."""
     folder = scratch(spark)
-    save(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), f"{folder}/in/a.xlsx") if _folder(f"{folder}/in") else None
+    save(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")),
+        f"{folder}/in/a.xlsx") if _folder(f"{folder}/in") else None
     save(table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("late")), f"{folder}/in/b.xlsx")
     return load(spark, f"{folder}/in")
 
@@ -152,7 +160,10 @@ def _folder(path: str) -> bool:
     return True
 
 
-@query("SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CASE WHEN p_partkey > (SELECT max(p_partkey) - 100 FROM part) THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS value FROM part")
+@query("""
+    SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CASE WHEN p_partkey > (SELECT max(p_partkey) - 100 FROM part) THEN p_brand ELSE
+    CAST(p_size AS VARCHAR) END AS value FROM part
+""")
 def xlsx_late_types(spark, sf):
     """A column of numbers whose last rows are texts keeps them all."""
     parts = table(spark, sf, "part").orderBy("p_partkey").collect()
@@ -184,7 +195,10 @@ def xlsx_rows_by_file(spark, sf):
 # Values
 
 
-@query("SELECT CAST(n_nationkey AS DOUBLE) AS k, CASE n_nationkey % 3 WHEN 0 THEN '#N/A' WHEN 1 THEN '#REF!' ELSE 'fine' END AS v, CASE WHEN n_nationkey % 3 < 2 THEN 'e' ELSE 's' END AS kind FROM nation")
+@query("""
+    SELECT CAST(n_nationkey AS DOUBLE) AS k, CASE n_nationkey % 3 WHEN 0 THEN '#N/A' WHEN 1 THEN '#REF!' ELSE 'fine' END AS v, CASE WHEN
+    n_nationkey % 3 < 2 THEN 'e' ELSE 's' END AS kind FROM nation
+""")
 def xlsx_error_cells(spark, sf):
     """Errors as text, and as cells that say what they are."""
     cell = lambda k: f"<c t=\"e\"><v>{('#N/A', '#REF!')[k % 3]}</v></c>" if k % 3 < 2 else text("fine")
@@ -261,13 +275,18 @@ def xlsx_sheet_in_any_case(spark, sf):
     return load(spark, path, sheet="NATION")
 
 
-@query("SELECT 'Data' AS name, 'worksheet' AS kind, 'visible' AS state, 25 AS cells UNION ALL SELECT 'Chart', 'chartsheet', 'visible', 0 UNION ALL SELECT 'Away', 'worksheet', 'veryHidden', 1")
+@query("""
+    SELECT 'Data' AS name, 'worksheet' AS kind, 'visible' AS state, 25 AS cells UNION ALL SELECT 'Chart', 'chartsheet', 'visible', 0 UNION
+    ALL SELECT 'Away', 'worksheet', 'veryHidden', 1
+""")
 def xlsx_kinds_of_sheets(spark, sf):
     """A chart sheet has no cells; a hidden one has, and says that it is."""
     rows = "".join(f"<row>{number(r[0])}</row>" for r in nations(spark, sf))
-    more = {"xl/chartsheets/sheet1.xml": f"<chartsheet {MAIN}/>", "xl/worksheets/sheet3.xml": f"<worksheet {MAIN}><sheetData><row>{number(1)}</row></sheetData></worksheet>"}
+    more = {"xl/chartsheets/sheet1.xml": f"<chartsheet {MAIN}/>",
+        "xl/worksheets/sheet3.xml": f"<worksheet {MAIN}><sheetData><row>{number(1)}</row></sheetData></worksheet>"}
     relations = f'<Relationship Id="rId2" Type="{OFFICE}/chartsheet" Target="chartsheets/sheet1.xml"/>'
-    path = put(spark, book(rows, sheets='<sheet name="Chart" sheetId="2" r:id="rId2"/><sheet name="Away" sheetId="3" state="veryHidden" r:id="gone"/>', relations=relations, more=more))
+    path = put(spark, book(rows,
+        sheets='<sheet name="Chart" sheetId="2" r:id="rId2"/><sheet name="Away" sheetId="3" state="veryHidden" r:id="gone"/>', relations=relations, more=more))
     cells = load(spark, path, mode="cells").groupBy("sheet").agg(F.count("*").alias("n"))
     sheets = sheet_catalogue(spark, path)
     return sheets.join(cells, sheets["name"] == cells["sheet"], "left").select("name", "kind", "state", F.coalesce("n", F.lit(0)).cast("int").alias("cells"))
@@ -292,9 +311,12 @@ def xlsx_refused_files(spark, sf):
     """What is no workbook, or none that can be read, by the code of the error."""
     ole, fine, folder = bytes.fromhex("D0CF11E0A1B11AE1"), book(f"<row>{text(nations(spark, sf)[0][1])}</row>"), scratch(spark)
     files = {
-        "csv": b"a,b\n1,2\n", "empty": b"", "legacy": ole + bytes(600), "encrypted": ole + bytes(100) + "EncryptedPackage".encode("utf-16-le"), "zip": package({"a.txt": "x"}),
-        "ods": package({"mimetype": "application/vnd.oasis.opendocument.spreadsheet"}, 0), "docx": book("", kind="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"),
-        "xlsb": book("", kind="application/vnd.ms-excel.sheet.binary.macroEnabled.main"), "truncated": fine[: len(fine) // 2], "fine": fine, "twice": package({"a.xml": "x", "b.xml": "y"}).replace(b"b.xml", b"a.xml"),
+        "csv": b"a,b\n1,2\n", "empty": b"", "legacy": ole + bytes(600), "encrypted": ole + bytes(100) + "EncryptedPackage".encode("utf-16-le"),
+            "zip": package({"a.txt": "x"}),
+        "ods": package({"mimetype": "application/vnd.oasis.opendocument.spreadsheet"}, 0),
+            "docx": book("", kind="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"),
+        "xlsb": book("", kind="application/vnd.ms-excel.sheet.binary.macroEnabled.main"), "truncated": fine[: len(fine) // 2], "fine": fine,
+            "twice": package({"a.xml": "x", "b.xml": "y"}).replace(b"b.xml", b"a.xml"),
         "doctype": package({"[Content_Types].xml": "<!DOCTYPE x><Types/>"}),
     }
     for name, data in files.items():
@@ -312,8 +334,12 @@ def _code(read) -> str | None:
     return None
 
 
-@query("""SELECT * FROM (VALUES ('columns', 'LIMIT_EXCEEDED'), ('text', 'LIMIT_EXCEEDED'), ('strings', 'LIMIT_EXCEEDED'), ('entries', 'LIMIT_EXCEEDED'), ('depth', 'LIMIT_EXCEEDED'), ('row', 'LIMIT_EXCEEDED'), ('inflated', 'ZIP_BOMB'), ('past the grid', 'ROW_OUT_OF_RANGE'),
-    ('no such sheet', 'SHEET_NOT_FOUND'), ('no such file', 'IO_ERROR'), ('records', 'LIMIT_EXCEEDED'), ('checksum', 'ZIP_CRC_MISMATCH'), ('cut short', 'XML_MALFORMED'), ('sampled', 'TYPE_MISMATCH')) t(name, code)""")
+@query("""
+    SELECT * FROM (VALUES ('columns', 'LIMIT_EXCEEDED'), ('text', 'LIMIT_EXCEEDED'), ('strings', 'LIMIT_EXCEEDED'), ('entries',
+    'LIMIT_EXCEEDED'), ('depth', 'LIMIT_EXCEEDED'), ('row', 'LIMIT_EXCEEDED'), ('inflated', 'ZIP_BOMB'), ('past the grid',
+    'ROW_OUT_OF_RANGE'), ('no such sheet', 'SHEET_NOT_FOUND'), ('no such file', 'IO_ERROR'), ('records', 'LIMIT_EXCEEDED'), ('checksum',
+    'ZIP_CRC_MISMATCH'), ('cut short', 'XML_MALFORMED'), ('sampled', 'TYPE_MISMATCH')) t(name, code)
+""")
 def xlsx_limits(spark, sf):
     """Limits of a read, and what passing them is called."""
     names = [r[1] for r in nations(spark, sf)]
@@ -328,8 +354,10 @@ def xlsx_limits(spark, sf):
     cut = put(spark, package_cut(f"<row>{text('a')}</row>"))
     cells = lambda path, **k: (lambda: load(spark, path, mode="cells", **k))
     reads = {
-        "columns": cells(plain, maxColumns="10"), "text": cells(plain, maxTextLength="3"), "strings": cells(shared, maxSharedStringChars="50"), "entries": cells(plain, maxEntries="2"), "depth": cells(deep), "row": cells(plain, maxRowChars="20"),
-        "inflated": cells(plain, maxInflatedBytes="600"), "past the grid": cells(past), "no such sheet": cells(plain, sheet="Nothing"), "no such file": cells(f"{plain}.gone"), "records": lambda: records(spark, plain, most_cells=20).frame,
+        "columns": cells(plain, maxColumns="10"), "text": cells(plain, maxTextLength="3"), "strings": cells(shared, maxSharedStringChars="50"),
+            "entries": cells(plain, maxEntries="2"), "depth": cells(deep), "row": cells(plain, maxRowChars="20"),
+        "inflated": cells(plain, maxInflatedBytes="600"), "past the grid": cells(past), "no such sheet": cells(plain, sheet="Nothing"),
+            "no such file": cells(f"{plain}.gone"), "records": lambda: records(spark, plain, most_cells=20).frame,
         "checksum": cells(put(spark, spoiled)), "cut short": cells(cut), "sampled": lambda: load(spark, mixed, sampleRows="3"),
     }
     return spark.createDataFrame([(n, _code(read)) for n, read in reads.items()], "name string, code string")
@@ -340,7 +368,10 @@ def package_cut(rows: str) -> bytes:
     return book("", more={"xl/worksheets/sheet1.xml": f"<worksheet {MAIN}><sheetData>{rows}"})
 
 
-@query("SELECT * FROM (VALUES ('[Content_Types].xml'), ('_rels/.rels'), ('docProps/app.xml'), ('docProps/core.xml'), ('xl/_rels/workbook.xml.rels'), ('xl/styles.xml'), ('xl/workbook.xml'), ('xl/worksheets/sheet1.xml')) t(name)")
+@query("""
+    SELECT * FROM (VALUES ('[Content_Types].xml'), ('_rels/.rels'), ('docProps/app.xml'), ('docProps/core.xml'),
+    ('xl/_rels/workbook.xml.rels'), ('xl/styles.xml'), ('xl/workbook.xml'), ('xl/worksheets/sheet1.xml')) t(name)
+""")
 def xlsx_package_entries(spark, sf):
     """The entries of a package that is written without packing: as large as their contents, with no two in one place."""
     path = put(spark, workbook_bytes({"s": [[r[0], r[1]] for r in nations(spark, sf)]}, Options(level=0)))
@@ -365,7 +396,8 @@ def xlsx_styles_kept_once(spark, sf):
     writer.add("s", [[r[1]] for r in rows], styles=lambda k: Style(fill=f"#0000{rows[k][2]:02d}"))
     writer.close()
     path = put(spark, b"".join(out))
-    styles = package_parts(spark, path, ["xl/styles.xml"]).select(F.regexp_extract("part0", r"<cellXfs count=\"(\d+)\"", 1).cast("long").alias("formats"), F.regexp_count("part0", F.lit('patternType="solid"')).cast("long").alias("fills"))
+    styles = package_parts(spark, path, ["xl/styles.xml"]).select(F.regexp_extract("part0", r"<cellXfs count=\"(\d+)\"",
+        1).cast("long").alias("formats"), F.regexp_count("part0", F.lit('patternType="solid"')).cast("long").alias("fills"))
     cells = load(spark, path, mode="cells").where("xf > 0").count()
     return styles.withColumn("cells", F.lit(cells).cast("long"))
 
@@ -375,10 +407,13 @@ def xlsx_sheet_looks(spark, sf):
     """Merged ranges, a frozen row, a filter over all that was written."""
     rows, out = table(spark, sf, "region").orderBy("r_regionkey").collect(), []
     writer = WorkbookWriter(out.append)
-    writer.add(Sheet("s", freeze=(1, 0), merges=[f"C{k + 2}:D{k + 2}" for k in range(len(rows))], auto_filter=True, widths={0: 20.0}), [["key", "name"], *[[r[0], r[1]] for r in rows]])
+    writer.add(Sheet("s", freeze=(1, 0), merges=[f"C{k + 2}:D{k + 2}" for k in range(len(rows))], auto_filter=True, widths={0: 20.0}),
+        [["key", "name"], *[[r[0], r[1]] for r in rows]])
     writer.close()
     d = package_parts(spark, put(spark, b"".join(out)), ["xl/worksheets/sheet1.xml"])
-    return d.select(F.regexp_extract("part0", r'<mergeCells count="(\d+)"', 1).cast("long").alias("merges"), F.regexp_extract("part0", 'topLeftCell="([A-Z0-9]+)"', 1).alias("pane"), F.regexp_extract("part0", r'<autoFilter ref="A1:B(\d+)"', 1).cast("long").alias("rows"))
+    return d.select(F.regexp_extract("part0", r'<mergeCells count="(\d+)"', 1).cast("long").alias("merges"),
+        F.regexp_extract("part0", 'topLeftCell="([A-Z0-9]+)"', 1).alias("pane"),
+        F.regexp_extract("part0", r'<autoFilter ref="A1:B(\d+)"', 1).cast("long").alias("rows"))
 
 
 # What a caller is told
@@ -391,7 +426,10 @@ def xlsx_write_report(spark, sf):
     return spark.createDataFrame([tuple(done[c] for c in ("rows", "columns", "files", "truncated"))], "rows long, columns int, files int, truncated long")
 
 
-@query("""SELECT most, least(most, n) AS "rows", most < n AS truncated, 'n_nationkey,n_name,n_regionkey' AS headers FROM (VALUES (10), (24), (25), (30)) t(most), (SELECT count(*) AS n FROM nation)""")
+@query("""
+    SELECT most, least(most, n) AS "rows", most < n AS truncated, 'n_nationkey,n_name,n_regionkey' AS headers FROM (VALUES (10), (24), (25),
+    (30)) t(most), (SELECT count(*) AS n FROM nation)
+""")
 def xlsx_records_cut_off(spark, sf):
     """Whether a limit of rows left any out."""
     path, out = f"{scratch(spark)}/book.xlsx", []
@@ -402,7 +440,10 @@ def xlsx_records_cut_off(spark, sf):
     return spark.createDataFrame(out, "most int, rows long, truncated boolean, headers string")
 
 
-@query("SELECT 'DATA_BEYOND_HEADER' AS code, 'Data' AS sheet, 'C2' AS ref, count(*) AS cells, '[2]' AS columns FROM nation UNION ALL SELECT 'SST_INDEX_OUT_OF_RANGE', 'Data', 'B2', 0, '[]'")
+@query("""
+    SELECT 'DATA_BEYOND_HEADER' AS code, 'Data' AS sheet, 'C2' AS ref, count(*) AS cells, '[2]' AS columns FROM nation UNION ALL SELECT
+    'SST_INDEX_OUT_OF_RANGE', 'Data', 'B2', 0, '[]'
+""")
 def xlsx_warnings(spark, sf):
     """Each warning once for a sheet, with the first place it is about."""
     rows = "".join(f'<row r="{r[0] + 2}">{number(r[0], f"A{r[0] + 2}")}<c r="B{r[0] + 2}" t="s"><v>99</v></c>{number(1, f"C{r[0] + 2}")}</row>' for r in nations(spark, sf))
@@ -410,10 +451,14 @@ def xlsx_warnings(spark, sf):
     return read_warnings(spark, path).select("code", "sheet", "ref", "cells", F.to_json("columns").alias("columns"))
 
 
-@query("SELECT 'nation' AS sheet, CAST(n_nationkey + 1 AS INTEGER) AS row_index, n_name AS s FROM nation UNION ALL SELECT 'region', CAST(r_regionkey + 1 AS INTEGER), r_name FROM region")
+@query("""
+    SELECT 'nation' AS sheet, CAST(n_nationkey + 1 AS INTEGER) AS row_index, n_name AS s FROM nation UNION ALL SELECT 'region',
+    CAST(r_regionkey + 1 AS INTEGER), r_name FROM region
+""")
 def xlsx_cells_of_bytes(spark, sf):
     """Workbooks that are a column of bytes."""
-    path = put(spark, workbook_bytes({"nation": [[r[1]] for r in nations(spark, sf)], "region": [[r[1]] for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]}))
+    path = put(spark, workbook_bytes({"nation": [[r[1]] for r in nations(spark, sf)],
+        "region": [[r[1]] for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]}))
     return cells_of_bytes(spark.read.format("binaryFile").load(path)).select("sheet", "row_index", "s")
 
 
@@ -460,8 +505,12 @@ def xlsx_headers_told(spark, sf):
     return load(spark, put(spark, workbook_bytes({"s": rows})), headers=json.dumps(["k", "name"]), headerRow="2")
 
 
-@query("""SELECT * FROM (VALUES ('append', 'WRITER_STATE'), ('array', 'WRITER_STATE'), ('map', 'WRITER_STATE'), ('overlong', 'CELL_TOO_LONG'), ('no sheet', 'WRITER_STATE'), ('all hidden', 'WRITER_STATE'), ('merges', 'WRITER_STATE'), ('freeze', 'WRITER_STATE'), ('colour', 'WRITER_STATE'),
-    ('font size', 'WRITER_STATE'), ('border', 'WRITER_STATE'), ('format', 'WRITER_STATE'), ('error cell', 'WRITER_STATE'), ('columns', 'ROW_OUT_OF_RANGE'), ('bytes', 'LIMIT_EXCEEDED')) t(name, code)""")
+@query("""
+    SELECT * FROM (VALUES ('append', 'WRITER_STATE'), ('array', 'WRITER_STATE'), ('map', 'WRITER_STATE'), ('overlong', 'CELL_TOO_LONG'),
+    ('no sheet', 'WRITER_STATE'), ('all hidden', 'WRITER_STATE'), ('merges', 'WRITER_STATE'), ('freeze', 'WRITER_STATE'), ('colour',
+    'WRITER_STATE'), ('font size', 'WRITER_STATE'), ('border', 'WRITER_STATE'), ('format', 'WRITER_STATE'), ('error cell', 'WRITER_STATE'),
+    ('columns', 'ROW_OUT_OF_RANGE'), ('bytes', 'LIMIT_EXCEEDED')) t(name, code)
+""")
 def xlsx_writer_refusals(spark, sf):
     """What is not written, and what that is called."""
     from ..sources.writer import ErrorValue
@@ -479,9 +528,14 @@ def xlsx_writer_refusals(spark, sf):
         return run
 
     acts = {
-        "append": lambda: small.write.format("tabloom.xlsx").mode("append").save(path), "array": lambda: save(small.select(F.array("r_name").alias("a")), path), "map": lambda: save(small.select(F.create_map("r_name", "r_name").alias("m")), path),
-        "overlong": lambda: save(small.select(F.repeat("r_name", F.lit(9_000)).alias("t")), path, overlong="error"), "no sheet": made(), "all hidden": made(Sheet("a", hidden="hidden")), "merges": made(Sheet("a", merges=["A1:B2", "B2:C3"])),
-        "freeze": made(Sheet("a", freeze=(0, 0))), "colour": made("a", [[1]], Style(fill="red")), "font size": made("a", [[1]], Style(font={"size": 500})), "border": made("a", [[1]], Style(border={"top": "wavy"})), "format": made("a", [[1]], Style(format="")),
+        "append": lambda: small.write.format("tabloom.xlsx").mode("append").save(path),
+            "array": lambda: save(small.select(F.array("r_name").alias("a")), path),
+            "map": lambda: save(small.select(F.create_map("r_name", "r_name").alias("m")), path),
+        "overlong": lambda: save(small.select(F.repeat("r_name", F.lit(9_000)).alias("t")), path, overlong="error"), "no sheet": made(),
+            "all hidden": made(Sheet("a", hidden="hidden")), "merges": made(Sheet("a", merges=["A1:B2", "B2:C3"])),
+        "freeze": made(Sheet("a", freeze=(0, 0))), "colour": made("a", [[1]], Style(fill="red")),
+            "font size": made("a", [[1]], Style(font={"size": 500})), "border": made("a", [[1]], Style(border={"top": "wavy"})),
+            "format": made("a", [[1]], Style(format="")),
         "error cell": made("a", [[ErrorValue("nothing")]]), "columns": made("a", [[1] * 16_385]), "bytes": lambda: workbook_bytes({"a": [["x" * 1_000]]}, most=100),
     }
     out = []

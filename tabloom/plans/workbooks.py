@@ -17,7 +17,7 @@ from ..cluster import shared_folder, ship
 from ..errors import SheetError
 from ..functions.cells import format_ref
 from ..sources.container import Container, Limits
-from ..sources.datasource import CELLS, XlsxReader, bind, chosen_sheets, filesystem, find_files, inferred_schema, limits_of, look, open_source, register, shares_of, sized_files, told_epoch
+from ..sources.datasource import CELLS, XlsxReader, bind, chosen_sheets, filesystem, inferred_schema, limits_of, look, open_source, register, shares_of, sized_files, told_epoch
 from ..sources.grid import Grid
 from ..sources.workbook import Workbook
 from ..sources.writer import Options, Sheet, WorkbookWriter
@@ -36,7 +36,8 @@ def scratch(spark: SparkSession) -> str:
 
 def as_cells(schema: StructType) -> StructType:
     """The schema that a frame has after a workbook: timestamps are wall clock times."""
-    return StructType([StructField(f.name, TimestampNTZType() if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date") else f.dataType) for f in schema.fields])
+    return StructType([StructField(f.name, TimestampNTZType() if f.dataType.typeName() in ("timestamp", "timestamp_ntz",
+        "date") else f.dataType) for f in schema.fields])
 
 
 def write_workbook(path: str, sheets: dict[str, DataFrame], options: Options | None = None, looks: dict[str, Sheet] | None = None) -> dict:
@@ -82,7 +83,8 @@ def workbook_bytes(sheets: dict[str, list[list]], options: Options | None = None
     return out.getvalue()
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
 def each_file(spark: SparkSession, path: str, schema: str, work, shared: bool = False, options: dict | None = None) -> DataFrame:
@@ -94,7 +96,8 @@ def each_file(spark: SparkSession, path: str, schema: str, work, shared: bool =
     ship(spark)
     parts = [(n, f, k, m) for n, (f, size) in enumerate(sized_files(path)) for m in [shares_of(size, options or {}) if shared else 1] for k in range(m)]
     tasks = max(1, min(len(parts), 10_000))
-    files = spark.createDataFrame([(at % tasks, *p) for at, p in enumerate(parts)], "task int, n int, path string, share int, shares int").repartitionById(tasks, "task")
+    files = spark.createDataFrame([(at % tasks, *p) for at, p in enumerate(parts)],
+        "task int, n int, path string, share int, shares int").repartitionById(tasks, "task")
     arrow = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +225,16 @@ def read_warnings(spark: SparkSession, path: str, **options) -> DataFrame:
                         yield f["path"], info.name, w["code"], *(at or (None, None)), 0, []
 
     found = each_file(spark, path, _WARNINGS, work, shared=True, options=o)
-    once = found.groupBy("path", "sheet", "code").agg(F.min(F.struct("row", "col")).alias("at"), F.sum("cells").alias("cells"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("columns")))).alias("columns"))
+    once = found.groupBy("path", "sheet", "code").agg(F.min(F.struct("row", "col")).alias("at"), F.sum("cells").alias("cells"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("columns")))).alias("columns"))
     from ..functions.columns import format_ref as ref
 
     return once.select("path", "sheet", "code", ref(F.col("at.row"), F.col("at.col")).alias("ref"), "cells", "columns")
 
 
+FEW_SHARES = 100
+
+
 def infer_schema(spark: SparkSession, path: str, **options) -> StructType:
     """The schema of the records at a path: all files' columns in order of first sight, typed by all their cells.
 
@@ -242,10 +249,15 @@ def infer_schema(spark: SparkSession, path: str, **options) -> StructType:
         yield from [(f["n"], k, name, sorted(held)) for k, (name, held) in enumerate(kinds.items())]
 
     found = each_file(spark, path, "n int, place int, name string, kinds array<string>", work, shared=not plain, options=o)
-    merged = found.groupBy("name").agg(F.min(F.struct("n", "place")).alias("at"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"))
-    if not find_files(path):
+    if not (files := sized_files(path)):
         raise SheetError("IO_ERROR", f"{path}: no workbooks")
-    return inferred_schema({r["name"]: set(r["kinds"]) for r in merged.orderBy("at").collect()}, o)
+    if sum(shares_of(size, o) for _, size in files) > FEW_SHARES:  # else a row a share and column is little enough
+        found = found.groupBy("name").agg(F.min(F.struct("n", "place")).alias("at"),
+            F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds")).select("at.n", "at.place", "name", "kinds")
+    kinds: dict[str, set] = {}
+    for r in sorted(found.collect(), key=lambda r: (r["n"], r["place"])):
+        kinds.setdefault(r["name"], set()).update(r["kinds"])
+    return inferred_schema(kinds, o)
 
 
 def _flag_of(options: dict, name: str) -> bool:

@@ -245,7 +245,8 @@ class ZipOut:
         for raw, place, method, made in self.done:
             extra = struct.pack("<2H3Q", 1, 24, made.size, made.packed, place) if self.zip64 else b""
             sizes = (full, full) if self.zip64 else (made.packed, made.size)
-            self._put(struct.pack("<4s6H3I5H2I", b"PK\x01\x02", 45, 45 if self.zip64 else 20, 0x808, method, *self.stamp, made.crc, *sizes, len(raw), len(extra), 0, 0, 0, 0, full if self.zip64 else place) + raw + extra)
+            self._put(struct.pack("<4s6H3I5H2I", b"PK\x01\x02", 45, 45 if self.zip64 else 20, 0x808, method, *self.stamp, made.crc, *sizes, len(raw),
+                len(extra), 0, 0, 0, 0, full if self.zip64 else place) + raw + extra)
         size, n = self.at - start, len(self.done)
         if self.zip64:
             at = self.at

@@ -59,8 +59,11 @@ from .writer import ZIP64_CELLS, CellWriter, Options, Sheet, Shared, Styles, Wor
 
 BATCH_ROWS = 10_000
 SPLIT_BYTES = 4 << 20
-CELL = StructType([StructField("kind", StringType()), StructField("s", StringType()), StructField("n", DoubleType()), StructField("b", BooleanType()), StructField("ts", TimestampNTZType()), StructField("err", StringType()), StructField("formula", StringType())])
-CELLS = StructType([StructField("path", StringType()), StructField("sheet_index", IntegerType()), StructField("sheet", StringType()), StructField("row_index", IntegerType()), StructField("col_index", IntegerType()), StructField("ref", StringType()), *CELL.fields, StructField("xf", IntegerType())])
+CELL = StructType([StructField("kind", StringType()), StructField("s", StringType()), StructField("n", DoubleType()), StructField("b", BooleanType()),
+    StructField("ts", TimestampNTZType()), StructField("err", StringType()), StructField("formula", StringType())])
+CELLS = StructType([StructField("path", StringType()), StructField("sheet_index", IntegerType()), StructField("sheet", StringType()),
+    StructField("row_index", IntegerType()), StructField("col_index", IntegerType()), StructField("ref", StringType()), *CELL.fields,
+    StructField("xf", IntegerType())])
 
 
 def _flag(options: dict, name: str, default: bool = False) -> bool:
@@ -154,7 +157,8 @@ def open_source(path: str | bytes):
 
 def limits_of(options: dict) -> Limits:
     base = Limits()
-    pick = {"inflated_bytes": "maxInflatedBytes", "shared_chars": "maxSharedStringChars", "entries": "maxEntries", "depth": "maxXmlDepth", "text": "maxTextLength", "row_chars": "maxRowChars", "columns": "maxColumns"}
+    pick = {"inflated_bytes": "maxInflatedBytes", "shared_chars": "maxSharedStringChars", "entries": "maxEntries", "depth": "maxXmlDepth",
+        "text": "maxTextLength", "row_chars": "maxRowChars", "columns": "maxColumns"}
     return Limits(**{k: _number(options, name.lower(), getattr(base, k)) for k, name in pick.items()})
 
 
@@ -260,7 +264,8 @@ def infer(book: Workbook, info, bound: Bound, options: dict, kinds: dict[str, se
 
 def _reading(options: dict) -> dict:
     """How cells are read, as ``Workbook.rows`` and ``blocks`` are told."""
-    return {"formulas": options.get("formulas") == "text" or options.get("mode") == "cells", "serials": options.get("dates") == "serial", "max_columns": _number(options, "maxcolumns", MAX_COLUMNS)}
+    return {"formulas": options.get("formulas") == "text" or options.get("mode") == "cells", "serials": options.get("dates") == "serial",
+        "max_columns": _number(options, "maxcolumns", MAX_COLUMNS)}
 
 
 def agreed(kinds: set, options: dict | None = None) -> DataType:
@@ -395,7 +400,8 @@ class XlsxReader(DataSourceReader):
         if not n:
             return
         refs = pc.binary_join_element_wise(_letters().take(pa.array(grid.column)), pa.array(numbers).cast(pa.string()), "")
-        columns = [pa.repeat(path, n), pa.repeat(info.index, n), pa.repeat(info.name, n), pa.array(numbers), pa.array(grid.column), refs, *grid_structs(grid), pa.array(grid.style)]
+        columns = [pa.repeat(path, n), pa.repeat(info.index, n), pa.repeat(info.name, n), pa.array(numbers), pa.array(grid.column), refs,
+            *grid_structs(grid), pa.array(grid.style)]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def _grid_arrays(self, grid, first, path, info, arrow) -> Iterator[pa.RecordBatch]:
@@ -446,7 +452,8 @@ class Records:
 
     def misfit(self, number: int, column: int, kind: DataType) -> SheetError:
         how = "the inferred" if self.inferred else "a column of type"
-        return SheetError("TYPE_MISMATCH", f"{self.where}!{format_ref(number, column)} doesn't fit {how} {kind.typeName()}; give another schema, a larger sampleRows or inferSchema=false")
+        return SheetError("TYPE_MISMATCH",
+            f"{self.where}!{format_ref(number, column)} doesn't fit {how} {kind.typeName()}; give another schema, a larger sampleRows or inferSchema=false")
 
     def rows(self, rows, first, path, info) -> Iterator[tuple]:
         spots = {c: (k, t, _PLAIN.get(t.typeName())) for k, (c, t) in enumerate(self.wanted) if c is not None}
@@ -658,7 +665,8 @@ class XlsxWriter(DataSourceArrowWriter):
 
     def _options(self) -> Options:
         o = self.options
-        return Options(d1904=_flag(o, "date1904"), level=_number(o, "compressionlevel", 1), overlong=o.get("overlong", "truncate"), suffix=o.get("suffix", ""), zip64=_flag(o, "zip64"))
+        return Options(d1904=_flag(o, "date1904"), level=_number(o, "compressionlevel", 1), overlong=o.get("overlong", "truncate"),
+            suffix=o.get("suffix", ""), zip64=_flag(o, "zip64"))
 
     def _sheet(self) -> Sheet:
         o = self.options
@@ -763,7 +771,8 @@ class XlsxWriter(DataSourceArrowWriter):
             store, report = filesystem(self.options["reportpath"])
             files = sum(m.packed for m in parts) if self.options.get("layout") == "folder" else 1
             with store.open_output_stream(report) as out:
-                out.write(json.dumps({"rows": sum(m.rows for m in parts), "columns": len(self.schema), "files": files, "truncated": sum(m.truncated for m in parts)}).encode())
+                out.write(json.dumps({"rows": sum(m.rows for m in parts), "columns": len(self.schema), "files": files,
+                    "truncated": sum(m.truncated for m in parts)}).encode())
 
     def abort(self, messages: list[Segment]) -> None:
         from pyarrow import fs

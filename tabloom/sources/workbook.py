@@ -193,7 +193,8 @@ class Workbook:
         at = f"{folder}/_rels/{name}.rels" if folder else f"_rels/{name}.rels"
         if self.container.find(at) is None:
             return {}
-        return {a.get("Id", ""): (a.get("Type", ""), a.get("Target", "") if a.get("TargetMode") == "External" else _target(part, a.get("Target", ""))) for _, a, _ in self._collect(at, {"Relationship"})}
+        return {a.get("Id", ""): (a.get("Type", ""), a.get("Target", "") if a.get("TargetMode") == "External" else _target(part, a.get("Target",
+            ""))) for _, a, _ in self._collect(at, {"Relationship"})}
 
     def _main(self) -> str:
         told = [p for t, p in self._rels("").values() if t.endswith("/officeDocument")] if self.container.find("_rels/.rels") else []
@@ -236,7 +237,8 @@ class Workbook:
         if not any(w["code"] == code and w["sheet"] == sheet for w in self.warnings):
             self.warnings.append({"code": code, "sheet": sheet, "ref": ref} | detail)
 
-    def rows(self, info: SheetInfo, formulas: bool = False, serials: bool = False, start_row: int = 1, max_rows: int | None = None, max_columns: int = MAX_COLUMNS) -> Iterator[tuple[int, list[tuple[int, Cell, int]]]]:
+    def rows(self, info: SheetInfo, formulas: bool = False, serials: bool = False, start_row: int = 1, max_rows: int | None = None,
+        max_columns: int = MAX_COLUMNS) -> Iterator[tuple[int, list[tuple[int, Cell, int]]]]:
         """(row number, [(column, cell, format)]) of every row that holds a cell with a value."""
         given = 0
         for rows in self.blocks(info, formulas, serials, max_columns):
@@ -248,7 +250,8 @@ class Workbook:
                 given += 1
                 yield number, cells
 
-    def blocks(self, info: SheetInfo, formulas: bool = False, serials: bool = False, max_columns: int = MAX_COLUMNS, share: tuple[int, int] = (0, 1), kinds_only: bool = False) -> Iterator[Grid | list]:
+    def blocks(self, info: SheetInfo, formulas: bool = False, serials: bool = False, max_columns: int = MAX_COLUMNS, share: tuple[int, int] = (0, 1),
+        kinds_only: bool = False) -> Iterator[Grid | list]:
         """The sheet's rows in blocks: a Grid where they are plain, else a list of (row number, cells).
         ``kinds_only`` leaves the texts out of grids.
 

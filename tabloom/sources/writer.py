@@ -29,7 +29,8 @@ DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 MAX_STYLES = 64_000
 MAX_FONT_SIZE, MAX_FONT_NAME, MAX_FORMAT_CODE = 409, 31, 255
 # Line styles of borders, and alignments.
-BORDER_STYLES = ("thin", "medium", "thick", "dashed", "dotted", "double", "hair", "mediumDashed", "dashDot", "mediumDashDot", "dashDotDot", "mediumDashDotDot", "slantDashDot")
+BORDER_STYLES = ("thin", "medium", "thick", "dashed", "dotted", "double", "hair", "mediumDashed", "dashDot", "mediumDashDot", "dashDotDot",
+    "mediumDashDotDot", "slantDashDot")
 ALIGNMENTS = {"horizontal": ("left", "center", "right"), "vertical": ("top", "center", "bottom")}
 #: Cells from which on a sheet of a known size is written with ZIP64 records.
 ZIP64_CELLS = 40_000_000
@@ -55,7 +56,8 @@ class Style:
     def check(self) -> None:
         """Refuses what no spreadsheet accepts, before anything is written."""
         wrong = lambda what, value: SheetError("WRITER_STATE", f"{what} can't be {preview(repr(value))}", field=what)
-        clean = lambda t, most: isinstance(t, str) and 0 < units(t) <= most and escape_text(t) == t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        clean = lambda t, most: isinstance(t, str) and 0 < units(t) <= most and escape_text(t) == t.replace("&", "&amp;").replace("<",
+            "&lt;").replace(">", "&gt;")
         font, edges, where = self.font, self.border, self.alignment
         if not all(isinstance(x, dict) for x in (font, edges, where)):
             raise wrong("a style", (font, edges, where))
@@ -124,7 +126,8 @@ class Styles:
                 edge = lambda e: f'<{e} style="{escape_attribute(s.border[e])}"><color auto="1"/></{e}>' if s.border.get(e) else f"<{e}/>"  # noqa: E731, B023
                 border = f"<border>{''.join(map(edge, ('left', 'right', 'top', 'bottom')))}<diagonal/></border>"
             ids = [known.setdefault(x, len(known)) for known, x in ((fonts, font), (fills, fill), (borders, border))]
-            flags = "".join(f' {a}="1"' for a, on in (("applyNumberFormat", number), ("applyFont", ids[0]), ("applyFill", ids[1]), ("applyBorder", ids[2]), ("applyAlignment", s.alignment)) if on)
+            flags = "".join(f' {a}="1"' for a, on in (("applyNumberFormat", number), ("applyFont", ids[0]), ("applyFill", ids[1]), ("applyBorder",
+                ids[2]), ("applyAlignment", s.alignment)) if on)
             inner = "".join(f' {k}="{escape_attribute(str(int(v) if isinstance(v, bool) else v))}"' for k, v in s.alignment.items())
             cells.append(f'<xf numFmtId="{number}" fontId="{ids[0]}" fillId="{ids[1]}" borderId="{ids[2]}" xfId="0"{flags}' + (f"><alignment{inner}/></xf>" if inner else "/>"))
         codes = "".join(f'<numFmt numFmtId="{k}" formatCode="{escape_attribute(c)}"/>' for c, k in formats.items())
@@ -407,15 +410,21 @@ class WorkbookWriter:
         listed = "".join(f'<sheet name="{escape_attribute(s.name)}" sheetId="{k + 1}"{state(s)} r:id="rId{k + 1}"/>' for k, (s, _, _) in enumerate(self.sheets))
         names = "".join(f'<definedName name="_xlnm._FilterDatabase" localSheetId="{k}" hidden="1">{encode_text(quote_sheet_name(s.name))}!$A$1:${column_letters(w - 1)}${r}</definedName>' for k, (s, r, w) in enumerate(self.sheets) if s.auto_filter and r and w)
         active = next(k for k, (s, _, _) in enumerate(self.sheets) if s.hidden == "visible")
-        put("xl/workbook.xml", f'{DECLARATION}<workbook xmlns="{MAIN}" xmlns:r="{OFFICE}"><workbookPr{" date1904=\"1\"" if self.options.d1904 else ""}/><bookViews><workbookView activeTab="{active}"/></bookViews><sheets>{listed}</sheets>' + (f"<definedNames>{names}</definedNames>" if names else "") + "</workbook>")
+        put("xl/workbook.xml",
+            f'{DECLARATION}<workbook xmlns="{MAIN}" xmlns:r="{OFFICE}"><workbookPr{" date1904=\"1\"" if self.options.d1904 else ""}/><bookViews><workbookView activeTab="{active}"/></bookViews><sheets>{listed}</sheets>' + (f"<definedNames>{names}</definedNames>" if names else "") + "</workbook>")
         rels = lambda items, kind: f'{DECLARATION}<Relationships xmlns="{PACKAGE}/relationships">' + "".join(f'<Relationship Id="rId{k + 1}" Type="{t if "://" in t else f"{kind}/{t}"}" Target="{p}"/>' for k, (t, p) in enumerate(items)) + "</Relationships>"
         put("xl/_rels/workbook.xml.rels", rels(relations, OFFICE))
-        put("docProps/core.xml", f'{DECLARATION}<cp:coreProperties xmlns:cp="{PACKAGE}/metadata/core-properties" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><dcterms:created xsi:type="dcterms:W3CDTF">{self.stamp:%Y-%m-%dT%H:%M:%SZ}</dcterms:created></cp:coreProperties>')
+        put("docProps/core.xml",
+            f'{DECLARATION}<cp:coreProperties xmlns:cp="{PACKAGE}/metadata/core-properties" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><dcterms:created xsi:type="dcterms:W3CDTF">{self.stamp:%Y-%m-%dT%H:%M:%SZ}</dcterms:created></cp:coreProperties>')
         titles = "".join(f"<vt:lpstr>{escape_text(s.name)}</vt:lpstr>" for s, _, _ in self.sheets)
         pairs = f'<HeadingPairs><vt:vector size="2" baseType="variant"><vt:variant><vt:lpstr>Worksheets</vt:lpstr></vt:variant><vt:variant><vt:i4>{n}</vt:i4></vt:variant></vt:vector></HeadingPairs>'
-        put("docProps/app.xml", f'{DECLARATION}<Properties xmlns="{EXTENDED}/extended-properties" xmlns:vt="{EXTENDED}/docPropsVTypes"><Application>tabloom</Application>{pairs}<TitlesOfParts><vt:vector size="{n}" baseType="lpstr">{titles}</vt:vector></TitlesOfParts></Properties>')
-        put("_rels/.rels", rels([("officeDocument", "xl/workbook.xml"), (f"{PACKAGE}/relationships/metadata/core-properties", "docProps/core.xml"), ("extended-properties", "docProps/app.xml")], OFFICE))
+        put("docProps/app.xml",
+            f'{DECLARATION}<Properties xmlns="{EXTENDED}/extended-properties" xmlns:vt="{EXTENDED}/docPropsVTypes"><Application>tabloom</Application>{pairs}<TitlesOfParts><vt:vector size="{n}" baseType="lpstr">{titles}</vt:vector></TitlesOfParts></Properties>')
+        put("_rels/.rels", rels([("officeDocument", "xl/workbook.xml"), (f"{PACKAGE}/relationships/metadata/core-properties", "docProps/core.xml"),
+            ("extended-properties", "docProps/app.xml")], OFFICE))
         over = "".join(f'<Override PartName="/{p}" ContentType="{base}.{k}+xml"/>' for p, k in kinds)
-        put("[Content_Types].xml", f'{DECLARATION}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{over}<Override PartName="/docProps/app.xml" ContentType="application/vnd.openxmlformats-officedocument.extended-properties+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>')
+        put("[Content_Types].xml",
+            f'{DECLARATION}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{over}<Override PartName="/docProps/app.xml" ContentType="application/vnd.openxmlformats-officedocument.extended-properties+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>')
         size = self.zip.close()
-        return {"bytes": size, "sheets": [{"name": s.name, "rows": r, "columns": w} for s, r, w in self.sheets], "truncated": self.cells.truncated, "strings": {"count": self.shared.count, "unique": len(self.shared.ids), "frozen": self.shared.frozen and self.options.strings == "auto"}}
+        return {"bytes": size, "sheets": [{"name": s.name, "rows": r, "columns": w} for s, r, w in self.sheets], "truncated": self.cells.truncated,
+            "strings": {"count": self.shared.count, "unique": len(self.shared.ids), "frozen": self.shared.frozen and self.options.strings == "auto"}}
