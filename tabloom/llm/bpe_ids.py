@@ -99,7 +99,8 @@ class ChunkEncoder:
         self.model = self.whole.model
         spec = json.loads(open(path, encoding="utf-8").read())
         first = spec.get("pre_tokenizer") or {}
-        self.plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+        self.plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex",
+            True) and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 0x10000 else "<u4")
         self.split = regex.compile(pattern).findall

@@ -70,10 +70,13 @@ def format_chats(turns: DataFrame, learn_from: tuple[str, ...] = ("assistant",))
     parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), alone) if "parts" in turns.columns else alone
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     d = turns.select("conv_id", "turn", role.alias("said_by"), text.alias("said"), parts.alias("parts"))
-    attached = F.transform(F.filter("parts", lambda p: p["kind"].isin(*PLACEHOLDERS)), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
-    d = d.select("conv_id", "turn", "said_by", "said", escape(F.col("said_by")).alias("role"), F.col("said_by").isin(*learn_from).alias("learn"), F.concat_ws("", F.transform("parts", visit)).alias("body"), attached.alias("attached"))
+    attached = F.transform(F.filter("parts", lambda p: p["kind"].isin(*PLACEHOLDERS)),
+        lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
+    d = d.select("conv_id", "turn", "said_by", "said", escape(F.col("said_by")).alias("role"), F.col("said_by").isin(*learn_from).alias("learn"),
+        F.concat_ws("", F.transform("parts", visit)).alias("body"), attached.alias("attached"))
     head = F.concat(F.lit(TURN), "role", F.lit(TEXT))
-    d = d.select("conv_id", "turn", "said_by", "said", "learn", "attached", F.concat(head, "body", F.lit(END)).alias("piece"), F.length(head).alias("head"), F.length("body").alias("body_chars"), "body")
+    d = d.select("conv_id", "turn", "said_by", "said", "learn", "attached", F.concat(head, "body", F.lit(END)).alias("piece"),
+        F.length(head).alias("head"), F.length("body").alias("body_chars"), "body")
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "said_by", "said", "body")
     before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("place", F.row_number().over(order)).withColumn("start", (before + F.col("head") + 1).cast("int"))
@@ -87,7 +90,8 @@ def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation as an array of (role, text), unescaped."""
     pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p: p != "")
     inner = lambda p: F.substring_index(p, END, 1)
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(inner(p), TEXT, 1)).alias("role"), unescape(F.substring_index(inner(p), TEXT, -1)).alias("text")))
+    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(inner(p), TEXT, 1)).alias("role"), unescape(F.substring_index(inner(p),
+        TEXT, -1)).alias("text")))
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:

@@ -93,12 +93,14 @@ def _fill(rest: Column, done: Column, spares: Column) -> Column:
     def step(made: Column, spare: Column) -> Column:
         n = F.least(spare["n"], F.floor((rest - made["done"]) / spare["size"]))
         one = F.struct(spare["size"].alias("size"), n.cast("long").alias("n"), made["done"].alias("start"))
-        return F.when(n > 0, F.struct((made["done"] + n * spare["size"]).cast("long").alias("done"), F.concat(made["picks"], F.array(one)).alias("picks"))).otherwise(made)
+        return F.when(n > 0, F.struct((made["done"] + n * spare["size"]).cast("long").alias("done"),
+            F.concat(made["picks"], F.array(one)).alias("picks"))).otherwise(made)
 
     return F.aggregate(F.reverse(F.array_sort(spares)), none, step, lambda made: made["picks"])
 
 
-def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share: float = 1.5, most: float = 2.0, seed: int = 42, carry: Sequence[str] | None = None) -> DataFrame:
+def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share: float = 1.5, most: float = 2.0, seed: int = 42,
+    carry: Sequence[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with a new column, the struct ``mix``: its part in the mixture.  A column of
     that name is replaced.  Columns not in ``carry``, if that is given, stay behind.
 
@@ -124,7 +126,8 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     source = F.col("source").cast("string")
     key = F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("src")  # never null, so that joins are plain
-    d = docs.select(row, key, source.alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("h"), F.xxhash64(F.lit(seed), "text").alias("h2"))
+    d = docs.select(row, key, source.alias("source"), word_count().alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("h"),
+        F.xxhash64(F.lit(seed), "text").alias("h2"))
     # The sums below take no second look at the texts; nor does the last step, if the columns to carry are narrow.
     if all(isinstance(f.dataType, _NARROW) for f in d.schema["row"].dataType.fields):
         d = cut(d, "sizes")
@@ -136,19 +139,23 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
     targets = source_targets(sizes, schedules, total_share, most)
     # Few sources are broadcast, after a check; more of them are joined by a shuffle, the largest apart.
     few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    known = targets.drop("source").withColumn("buckets", F.least(F.ceil(F.sqrt("rows")), F.ceil(F.col("rows") / BUCKET_ROWS))).withColumn("full", F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12))
-    known = cut(known.withColumn("rest", F.when(F.col("full") < most, F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0))).otherwise(0.0)), "targets")
+    known = targets.drop("source").withColumn("buckets", F.least(F.ceil(F.sqrt("rows")), F.ceil(F.col("rows") / BUCKET_ROWS))).withColumn("full",
+        F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12))
+    known = cut(known.withColumn("rest", F.when(F.col("full") < most, F.greatest(F.col("target") - F.col("full") * F.col("source_size"),
+        F.lit(0.0))).otherwise(0.0)), "targets")
 
     def of_source(rows: DataFrame, by: DataFrame, count: str) -> DataFrame:
         return rows.join(F.broadcast(by), "src") if few else join_hot(rows, by, "src", count)
 
     def in_buckets(rows: DataFrame) -> DataFrame:
-        return of_source(rows, known, "rows").withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).withColumn("able", (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
+        return of_source(rows, known, "rows").withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).withColumn("able",
+            (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
 
     able_size = F.when(F.col("able"), F.col("size")).otherwise(0)
     along = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = in_buckets(bare).groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"), F.sum(able_size).alias("able_size"))
-    sums = cut(sums.select("src", "bucket", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(to) for c, to in (("bucket_size", "bucket_start"), ("able_size", "able_start"))]), "sums")
+    sums = cut(sums.select("src", "bucket", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(to) for c, to in (("bucket_size", "bucket_start"),
+        ("able_size", "able_start"))]), "sums")
 
     def in_order(rows: DataFrame, sums: DataFrame) -> DataFrame:
         """Where a row starts among all of its source, and whether it is in time for the rest."""
@@ -161,8 +168,10 @@ def curriculum_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, total_share
     # What is left then is filled from the longest size that fits downwards, over all of a source.
     spare = F.col("able") & ~F.col("early")
     ran = in_order(in_buckets(bare), sums)
-    left = ran.groupBy("src", "size").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("early"), F.col("size")).otherwise(0)).alias("done"), F.count(F.when(spare, 1)).alias("n"))
-    left = left.groupBy("src").agg(F.max("rest").alias("rest"), F.sum("done").alias("done"), F.sum("n").alias("spare_rows"), F.collect_list(F.when(F.col("n") > 0, F.struct("size", "n"))).alias("spares"))
+    left = ran.groupBy("src", "size").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("early"), F.col("size")).otherwise(0)).alias("done"),
+        F.count(F.when(spare, 1)).alias("n"))
+    left = left.groupBy("src").agg(F.max("rest").alias("rest"), F.sum("done").alias("done"), F.sum("n").alias("spare_rows"),
+        F.collect_list(F.when(F.col("n") > 0, F.struct("size", "n"))).alias("spares"))
     fill = cut(left.select("src", "spare_rows", _fill(F.col("rest"), F.col("done"), F.col("spares")).alias("picks")).where(F.size("picks") > 0), "fill")
     pick = F.get(F.filter("picks", lambda p: p["size"] == F.col("size")), F.lit(0))
     asked = of_source(ran.where(spare), fill, "spare_rows").withColumn("pick", pick).where(F.col("pick").isNotNull())

@@ -168,7 +168,8 @@ def _box_task(width: int):
                 box[:] = box[0] + len(mine), np.minimum(box[1], mine.min(axis=0)), np.maximum(box[2], mine.max(axis=0))
         cells = sorted(held)
         lows, highs = ([held[c][k].astype("<f8").tobytes() for c in cells] for k in (1, 2))
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([held[c][0] for c in cells], pa.int64()), pa.array(lows, pa.binary()), pa.array(highs, pa.binary())], ["cell", "n", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([held[c][0] for c in cells], pa.int64()), pa.array(lows, pa.binary()),
+            pa.array(highs, pa.binary())], ["cell", "n", "low", "high"])
 
     return measure
 
@@ -242,7 +243,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     spark = vectors.sparkSession
     ship(spark)
-    good = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    good = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v",
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     plain = [F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")]
     vectors = cut(vectors.where(good).select(*plain), "vectors")
     queries = cut(queries.where(good).select(*plain), "queries")

@@ -170,7 +170,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _bloom(ids: DataFrame) -> DataFrame:
     """A bit set of a fixed 2**23 bits, as at most 131,072 rows (word, bits): small enough to broadcast."""
     bit = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS))
-    return ids.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return ids.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"),
+        (bit % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def _in_bloom(docs: DataFrame, bloom: DataFrame) -> DataFrame:
@@ -209,7 +210,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, agree: int
     # Equal sets: one vertex, the smallest id; partial aggregation takes care of huge classes.
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "mark")]
     classes = cut(vertices.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("c"), *firsts).withColumnRenamed("n_shingles", "n"), "classes")
-    same = join_hot(vertices.select("doc_id", "set_key"), classes.select("set_key", "id", "c"), "set_key", "c").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    same = join_hot(vertices.select("doc_id", "set_key"), classes.select("set_key", "id", "c"), "set_key",
+        "c").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
     # Buckets of two or more.  A vertex may stand for two sets if rows share a doc_id.
     every = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
@@ -244,7 +246,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, agree: int
         tagged = tagged.select("hub", "id", "n", F.coalesce("label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
         tagged = cut(tagged.withColumn("outside", F.col("label") != F.col("hub_label")), "tagged", rows)
         out_n = F.when(F.col("outside"), F.col("n")).otherwise(0)
-        mixed = tagged.groupBy("hub").agg(F.count("*").alias("c"), F.count_if("outside").alias("out"), F.sum("n").alias("items"), F.sum(out_n).alias("out_items")).where("out > 0 and c > 2")
+        mixed = tagged.groupBy("hub").agg(F.count("*").alias("c"), F.count_if("outside").alias("out"), F.sum("n").alias("items"),
+            F.sum(out_n).alias("out_items")).where("out > 0 and c > 2")
         parts = lambda c, n: F.ceil(F.greatest(F.col(c) / BLOCK_ROWS, F.col(n) / BLOCK_SHINGLES)).cast("int")
         mixed = cut(mixed.select("hub", "c", parts("c", "items").alias("blocks"), parts("out", "out_items").alias("groups")), "mixed", rows)
         left = join_hot(tagged, mixed, "hub", "c").withColumn("place", F.xxhash64("id"))
@@ -254,7 +257,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, agree: int
         full = sets.join(classes.select("id", "mark"), "id")
         asks, others = (d.join(full, "id") for d in (asks, others))
         keys = ["hub", "i", "j"]
-        asks, others = (d.toDF(*[f"{c}_{t}" if c in keys else c for c in d.columns]).select(*[F.col(f"{c}_{t}") for c in keys], *[F.col(c).alias(c) for c in ("id", "n", "label", "mark", "items")]) for d, t in ((asks, "x"), (others, "y")))
+        asks, others = (d.toDF(*[f"{c}_{t}" if c in keys else c for c in d.columns]).select(*[F.col(f"{c}_{t}") for c in keys],
+            *[F.col(c).alias(c) for c in ("id", "n", "label", "mark", "items")]) for d, t in ((asks, "x"), (others, "y")))
         found = asks.groupBy("hub_x", "i_x", "j_x").cogroup(others.groupBy("hub_y", "i_y", "j_y")).applyInPandas(_comparer(share, agree), "a long, b long")
         found = cut(found, "found", rows)
         edges = edges.unionByName(found)
@@ -282,7 +286,8 @@ def deduplicate(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
     d = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.floor(bit / 64).alias("word"), mask.alias("mask"), F.xxhash64("text").alias("h"))
-    d = d.join(F.broadcast(bloom), "word", "left").withColumn("touched", F.col("id").isNotNull() & (F.coalesce(F.col("mask").bitwiseAND(F.col("bits")), F.lit(0)) != 0))
+    d = d.join(F.broadcast(bloom), "word", "left").withColumn("touched",
+        F.col("id").isNotNull() & (F.coalesce(F.col("mask").bitwiseAND(F.col("bits")), F.lit(0)) != 0))
     straight = d.where(~F.col("touched")).select("row")
     looked = d.where("touched").select("row", "id", "h").join(found.withColumnRenamed("doc_id", "id"), "id", "left").where(F.coalesce("kept", F.lit(True)))
     single = looked.where("coalesce(copies, 1) = 1").select("row")

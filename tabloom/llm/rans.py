@@ -164,7 +164,8 @@ def shard_bytes(lengths: list[int], ids: np.ndarray, table: Table, names: list[i
         index.append([at, len(payload), n, zlib.crc32(payload), doc, into])
         at, done = at + len(payload), done + n
         yield payload
-    footer = zlib.compress(json.dumps({"lanes": LANES, "block": BLOCK, "scale_bits": SCALE_BITS, "table": table.crc, "names": [*range(len(lengths))] if names is None else names, "documents": [int(x) for x in lengths], "blocks": index}).encode())
+    footer = zlib.compress(json.dumps({"lanes": LANES, "block": BLOCK, "scale_bits": SCALE_BITS, "table": table.crc,
+        "names": [*range(len(lengths))] if names is None else names, "documents": [int(x) for x in lengths], "blocks": index}).encode())
     yield footer + struct.pack("<II", len(footer), zlib.crc32(footer)) + MAGIC
 
 

@@ -205,7 +205,8 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def benchmark_chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Bounded lists of (item_id, text), streamed from the table; null texts are left out."""
     chunk, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"),
+        F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").toLocalIterator():
         n = len(words(row["text"]))
         if chunk and (len(chunk) >= CHUNK_ITEMS or size + n > CHUNK_WORDS):
             yield chunk
@@ -227,7 +228,8 @@ def _detector(shared, least: float) -> Detector:
     return made[least]
 
 
-_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("bits_apart", pa.int32())])
+_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()),
+    ("n_words", pa.int64()), ("bits_apart", pa.int32())])
 
 
 def _leak_task(shared, least: float):

@@ -172,12 +172,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Colu
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = known.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"),
+        F.max("toxic").alias("toxic"))
     # A bounded sample of labelled rows, the same at every run: those of the smallest hashes.
     known = known.withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
     picked = known.orderBy("h", "doc_id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality", "toxic", "h").agg(F.min("text").alias("text")).orderBy("h", "doc_id").limit(SAMPLE_ROWS)
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality", "toxic", "h").agg(F.min("text").alias("text")).orderBy("h",
+        "doc_id").limit(SAMPLE_ROWS)
     # The driver may not hold thousands of whole texts: one task fits, a batch of texts at a time, and returns
     # the weights.
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +189,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Colu
             labels += zip(batch.column("quality").to_pylist(), batch.column("toxic").to_pylist())
         if rows:
             made = [Logistic.fit(rows, np.array([float(y[k] == 1) for y in labels])) for k in (0, 1)]
-            yield pa.RecordBatch.from_pydict({"k": pa.array([0, 1], pa.int32()), "vocabulary": [json.dumps(m.vocabulary) for m in made], "weights": pa.array([m.weights.astype("<f8").tobytes() for m in made], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array([0, 1], pa.int32()), "vocabulary": [json.dumps(m.vocabulary) for m in made],
+                "weights": pa.array([m.weights.astype("<f8").tobytes() for m in made], pa.binary())})
 
     fitted = sample.coalesce(1).mapInArrow(fit, "k int, vocabulary string, weights binary").orderBy("k").collect()
     models = spark.sparkContext.broadcast(tuple(Logistic(np.frombuffer(bytes(r["weights"]), "<f8"), json.loads(r["vocabulary"]), 0.0) for r in fitted) or None)
 
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
-    rows = docs.select(F.col("text").cast("string").alias("text"), row, F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), row, F.coalesce(host.cast("string"), F.lit("")).alias("host"),
+        F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("quality_logit", T.DoubleType()), T.StructField("toxic_logit", T.DoubleType())])
     scored = rows.mapInArrow(_score_task(models), schema)
     return scored.withColumn("p", _sigmoid(F.col("quality_logit")) * (1 - _sigmoid(F.col("toxic_logit"))))
@@ -207,7 +211,8 @@ def _strength(between: float, within: float) -> float:
 def site_posteriors(scored: DataFrame) -> DataFrame:
     """Sums and shrunken means by (host, path): path_n, path_sum, host_n, host_sum, host_mean, path_strength,
     host_strength, global_mean."""
-    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("p").alias("path_sum"), F.sum(F.col("p") * F.col("p")).alias("path_sq")), "paths")
+    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("p").alias("path_sum"),
+        F.sum(F.col("p") * F.col("p")).alias("path_sq")), "paths")
     squares = F.sum(F.col("path_n").cast("double") * F.col("path_n")).alias("host_squares")
     hosts = cut(paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_sum").alias("host_sum"), F.count("*").alias("host_paths"), squares), "hosts")
     joined = cut(join_hot(paths, hosts, "host", "host_paths"), "nested")
@@ -266,7 +271,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column | None = N
     path_mean = (F.col("path_sum") - own + F.col("path_strength") * host_mean) / (F.col("path_n") - 1 + F.col("path_strength"))
     final = _logit(own) + SITE_WEIGHT * (_logit(path_mean) - _logit(F.col("global_mean")))
     kept = (_sigmoid(final) >= 0.5 - 1e-9) & (F.col("toxic_logit") < TOXIC_LOGIT)
-    return d.select("row", "host", "path", own.alias("doc_score"), host_mean.alias("host_posterior"), path_mean.alias("path_posterior"), _sigmoid(final).alias("quality_score"), kept.alias("kept"), "quality_logit", "toxic_logit")
+    return d.select("row", "host", "path", own.alias("doc_score"), host_mean.alias("host_posterior"), path_mean.alias("path_posterior"),
+        _sigmoid(final).alias("quality_score"), kept.alias("kept"), "quality_logit", "toxic_logit")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:

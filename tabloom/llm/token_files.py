@@ -97,7 +97,8 @@ def _write_task(folder: str, dtype: str):
             for k, n in enumerate(lengths):
                 held += n
                 if held >= SPAN_IDS or k + 1 == len(lengths):
-                    spans.append({"part": part, "shard": shard, "file": file, "first": first, "last": k + 1, "documents": k + 1 - first, "tokens": held, "bytes": n_bytes})
+                    spans.append({"part": part, "shard": shard, "file": file, "first": first, "last": k + 1, "documents": k + 1 - first,
+                        "tokens": held, "bytes": n_bytes})
                     first, held = k + 1, 0
             names, lengths, size, shard = [], [], 0, shard + 1
             types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
@@ -181,7 +182,8 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, end_id: int = 2,
     before = lambda over: F.coalesce(F.sum("tokens").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = spans.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(Window.orderBy("part")).alias("offset"))
     within = before(Window.partitionBy("part").orderBy("shard", "first"))
-    spans.withColumn("start", within).join(offsets, "part").withColumn("start", F.col("start") + F.col("offset")).drop("offset").write.parquet(f"{folder}/{MANIFEST}")
+    spans.withColumn("start", within).join(offsets, "part").withColumn("start",
+        F.col("start") + F.col("offset")).drop("offset").write.parquet(f"{folder}/{MANIFEST}")
     discard(coded, spans)
     return folder
 

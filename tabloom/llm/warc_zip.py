@@ -57,7 +57,8 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     """A response record, or a revisit of ``refers_to``; a revisit's block is the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_member(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_member(page_id)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_member(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -80,7 +81,8 @@ def sort_key(url: str) -> str:
 def index_line(url: str, digest: str, revisit: bool, offset: int, length: int) -> str:
     """The CDXJ line of a record."""
     url = _clean(url)
-    entry = {"url": url, "mime": "warc/revisit" if revisit else "text/html", "status": "200", "digest": f"sha256:{digest}", "length": str(length), "offset": str(offset), "filename": DATA.rpartition("/")[2]}
+    entry = {"url": url, "mime": "warc/revisit" if revisit else "text/html", "status": "200", "digest": f"sha256:{digest}", "length": str(length),
+        "offset": str(offset), "filename": DATA.rpartition("/")[2]}
     return f"{sort_key(url)} {re.sub(r'[^0-9]', '', DATE)} {json.dumps(entry)}"
 
 
@@ -138,7 +140,8 @@ def archive_bytes(records: Iterator[tuple[int | None, bytes]], zip64: bool = Tru
     for _, record in records:
         packed = gzip.compress(record, 6, mtime=0)
         headers = parse_headers(record)
-        index.append(index_line(headers["WARC-Target-URI"], headers["WARC-Payload-Digest"].removeprefix("sha256:"), headers["WARC-Type"] == "revisit", members[-1][2], len(packed)))
+        index.append(index_line(headers["WARC-Target-URI"], headers["WARC-Payload-Digest"].removeprefix("sha256:"), headers["WARC-Type"] == "revisit",
+            members[-1][2], len(packed)))
         yield body(packed)
     yield from end()
     yield from begin(INDEX)
@@ -149,7 +152,8 @@ def archive_bytes(records: Iterator[tuple[int | None, bytes]], zip64: bool = Tru
         raw = name.encode()
         extra = struct.pack("<2H3Q", 1, 24, size, size, place) if zip64 else b""
         sizes = (_U32, _U32) if zip64 else (size, size)
-        entry = struct.pack("<4s6H3L5H2L", b"PK\x01\x02", 45, 45 if zip64 else 20, 0x0808, 0, 0, 0x21, crc, *sizes, len(raw), len(extra), 0, 0, 0, 0, _U32 if zip64 else place) + raw + extra
+        entry = struct.pack("<4s6H3L5H2L", b"PK\x01\x02", 45, 45 if zip64 else 20, 0x0808, 0, 0, 0x21, crc, *sizes, len(raw), len(extra), 0, 0, 0, 0,
+            _U32 if zip64 else place) + raw + extra
         at += len(entry)
         yield entry
     if zip64:
