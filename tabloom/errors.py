@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The codes of errors.
 CODES = (
     "NOT_XLSX", "ENCRYPTED", "LEGACY_XLS", "XLSB", "ODS", "ZIP_TRUNCATED", "ZIP_BOMB", "ZIP_DUPLICATE_ENTRY", "ZIP_UNSUPPORTED", "ZIP_CRC_MISMATCH", "XML_DOCTYPE",
     "XML_MALFORMED", "LIMIT_EXCEEDED", "SHEET_NOT_FOUND", "INVALID_SHEET_NAME", "ROW_OUT_OF_RANGE", "CELL_TOO_LONG", "ENTRY_TOO_LARGE", "WRITER_STATE", "ABORTED", "IO_ERROR", "UNSUPPORTED_ENVIRONMENT", "TYPE_MISMATCH",

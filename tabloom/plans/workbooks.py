@@ -17,7 +17,7 @@ from ..cluster import shared_folder, ship
 from ..errors import SheetError
 from ..functions.cells import format_ref
 from ..sources.container import Container, Limits
-from ..sources.datasource import CELLS, XlsxReader, bind, chosen_sheets, filesystem, inferred_schema, limits_of, look, open_source, register, shares_of, sized_files, told_epoch
+from ..sources.datasource import CELLS, XlsxReader, bind, chosen_sheets, filesystem, inferred_schema, limits_of, look, open_source, register, sized_files, split_files, told_epoch
 from ..sources.grid import Grid
 from ..sources.workbook import Workbook
 from ..sources.writer import Options, Sheet, WorkbookWriter
@@ -94,10 +94,11 @@ def each_file(spark: SparkSession, path: str, schema: str, work, shared: bool =
     """
     register(spark)
     ship(spark)
-    parts = [(n, f, k, m) for n, (f, size) in enumerate(sized_files(path)) for m in [shares_of(size, options or {}) if shared else 1] for k in range(m)]
+    found, o = sized_files(path), _spread(spark, options or {})
+    places = {f: n for n, (f, _) in enumerate(found)}
+    parts = [(places[f], f, k, n) for f, k, n in (split_files(found, o) if shared else [(f, 0, 1) for f, _ in found])]
     tasks = max(1, min(len(parts), 10_000))
-    files = spark.createDataFrame([(at % tasks, *p) for at, p in enumerate(parts)],
-        "task int, n int, path string, share int, shares int").repartitionById(tasks, "task")
+    files = spark.createDataFrame([(at % tasks, *p) for at, p in enumerate(parts)], "task int, n int, path string, share int, shares int").repartitionById(tasks, "task")
     arrow = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +187,11 @@ def spark_fields(ddl: str) -> list[StructField]:
     return StructType.fromDDL(ddl).fields
 
 
+def _spread(spark: SparkSession, options: dict) -> dict:
+    """The options with the number of tasks that keep all cores busy."""
+    return {"spread": str(2 * spark.sparkContext.defaultParallelism)} | options
+
+
 _WARNINGS = "path string, sheet string, code string, row int, col int, cells long, columns array<int>"
 
 
@@ -232,7 +238,7 @@ def read_warnings(spark: SparkSession, path: str, **options) -> DataFrame:
     return once.select("path", "sheet", "code", ref(F.col("at.row"), F.col("at.col")).alias("ref"), "cells", "columns")
 
 
-FEW_SHARES = 100
+FEW_FILES = 100
 
 
 def infer_schema(spark: SparkSession, path: str, **options) -> StructType:
@@ -251,7 +257,7 @@ def infer_schema(spark: SparkSession, path: str, **options) -> StructType:
     found = each_file(spark, path, "n int, place int, name string, kinds array<string>", work, shared=not plain, options=o)
     if not (files := sized_files(path)):
         raise SheetError("IO_ERROR", f"{path}: no workbooks")
-    if sum(shares_of(size, o) for _, size in files) > FEW_SHARES:  # else a row a share and column is little enough
+    if len(files) > FEW_FILES:  # else a row a share and column is little enough
         found = found.groupBy("name").agg(F.min(F.struct("n", "place")).alias("at"),
             F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds")).select("at.n", "at.place", "name", "kinds")
     kinds: dict[str, set] = {}
@@ -352,6 +358,7 @@ def load(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
     register(spark)
     reader = spark.read.format(FORMAT)
     told = {k.lower(): v for k, v in options.items()}
+    options = options if "spread" in told else options | _spread(spark, {})
     if schema is None and str(told.get("mode", "object")) == "object":
         schema, options = infer_schema(spark, path, **options), options | {"inferred": str(told.get("inferschema", "true")).lower()}
     for name, value in options.items():

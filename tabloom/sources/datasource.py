@@ -1,7 +1,7 @@
 """``spark.read.format("tabloom.xlsx")`` and ``df.write.format("tabloom.xlsx")``.
 
-Reading: a partition for each share of SPLIT_BYTES of a file, so that one large sheet is read by several
-tasks; no file is opened before a task does.  Rows go out as Arrow batches of bounded size.  Options of a read:
+Reading: files are split into shares while there are fewer tasks than ``spread``, so that one large sheet is read by
+several tasks; no file is opened before a task does.  Rows go out as Arrow batches of bounded size.  Options of a read:
 
 - ``sheet``: a name or an index (0 is the first); ``allSheets`` for every worksheet
 - ``mode``: ``object`` (columns named by the header row), ``array`` (row_index, cells) or ``cells``
@@ -17,7 +17,7 @@ tasks; no file is opened before a task does.  Rows go out as Arrow batches of bo
 - ``dates``: ``local`` (the default; wall clock times), ``utc`` (instants, as if cells were in UTC) or ``serial``
 - ``pathColumn``: adds ``_path`` and ``_sheet``; ``date1904``: true or false, in place of the workbook's word
 - ``maxInflatedBytes``, ``maxTextLength``, ``maxRowChars``, ``maxSharedStringChars``, ``maxEntries``, ``maxXmlDepth``
-- ``splitBytes``: bytes of a file for each of its tasks
+- ``splitBytes``: the least bytes of a file for each of its tasks; ``spread``: about how many tasks are enough
 
 Writing (overwrite only), ``layout`` ``file`` (the default): every partition packs its rows into a
 segment of the one sheet; the commit joins the segments in partition order, so sort the frame
@@ -58,7 +58,7 @@ from .workbook import Cell, Workbook
 from .writer import ZIP64_CELLS, CellWriter, Options, Sheet, Shared, Styles, WorkbookWriter
 
 BATCH_ROWS = 10_000
-SPLIT_BYTES = 4 << 20
+SPLIT_BYTES, SPREAD, MOST_SHARES = 8 << 20, 64, 16
 CELL = StructType([StructField("kind", StringType()), StructField("s", StringType()), StructField("n", DoubleType()), StructField("b", BooleanType()),
     StructField("ts", TimestampNTZType()), StructField("err", StringType()), StructField("formula", StringType())])
 CELLS = StructType([StructField("path", StringType()), StructField("sheet_index", IntegerType()), StructField("sheet", StringType()),
@@ -289,11 +289,17 @@ def chosen_sheets(book: Workbook, options: dict) -> list:
     return [pick_sheet(book, options)]
 
 
-def shares_of(size: int, options: dict) -> int:
-    """How many tasks read a file: one where rows must be counted from the first on."""
-    if _number(options, "maxrows", None) is not None or _flag(options, "blankrows"):
-        return 1
-    return max(1, -(-size // (_number(options, "splitbytes", SPLIT_BYTES))))
+def split_files(files: list[tuple[str, int]], options: dict) -> list[tuple[str, int, int]]:
+    """(file, share, shares) for each task: files are split while there are fewer than about ``spread`` tasks.
+
+    Every share inflates the sheet up to its end, so more than MOST_SHARES of a file gain nothing.  One task reads a
+    file whose rows must be counted from the first on.
+    """
+    one = _number(options, "maxrows", None) is not None or _flag(options, "blankrows")
+    spread, total = _number(options, "spread", SPREAD), sum(max(0, size) for _, size in files)
+    least = max(_number(options, "splitbytes", SPLIT_BYTES), total // max(1, spread))
+    shares = [(f, 1 if one else max(1, min(MOST_SHARES, -(-size // least)))) for f, size in files]
+    return [(f, k, n) for f, n in shares for k in range(n)]
 
 
 @dataclass
@@ -326,8 +332,7 @@ class XlsxReader(DataSourceReader):
             yield f
 
     def partitions(self) -> Sequence[SheetPartition]:
-        out = [SheetPartition(f, k, n) for f, size in sized_files(self.options["path"]) for n in [shares_of(size, self.options)] for k in range(n)]
-        return out or [SheetPartition("")]
+        return [SheetPartition(*p) for p in split_files(sized_files(self.options["path"]), self.options)] or [SheetPartition("")]
 
     def read(self, partition: SheetPartition) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -845,7 +850,7 @@ class XlsxStreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> Sequence[SheetPartition]:
         files = {f for some in self._lists()[start["lists"] : end["lists"]] for f in some}
         sizes = dict(sized_files(self.options["path"]))
-        return [SheetPartition(f, k, n) for f in sorted(files) for n in [shares_of(sizes.get(f, 0), self.options)] for k in range(n)]
+        return [SheetPartition(*p) for p in split_files([(f, sizes.get(f, 0)) for f in sorted(files)], self.options)]
 
     def read(self, partition: SheetPartition) -> Iterator[pa.RecordBatch]:
         return XlsxReader(self.options, self.schema, self.inferred).read(partition)
