@@ -28,7 +28,7 @@ from .common import TwoGenerations
 
 MEMO_CHUNKS = 192 << 20
 MEMO_PIECES = 64 << 20
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 LONG_BYTES = 64 << 20
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _NOT_PLAIN = rf"[{_SPACES}]|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
@@ -135,6 +135,12 @@ class ChunkEncoder:
             return (self.chunks.known(stem) or self._word(stem)) + self.pieces[chunk[-1]]
         return b"".join([self.pieces[p] for p in self.split(" " + chunk)])
 
+    def forget(self) -> None:
+        """At a task's end: what the memos and array operations hold."""
+        self.chunks.forget()
+        self.pieces.forget()
+        pa.default_memory_pool().release_unused()
+
     def first(self, chunk: str) -> bytes:
         """The ids of a chunk that begins a text."""
         return b"".join([self.pieces[p] for p in self.split(chunk)])

@@ -136,6 +136,11 @@ class TwoGenerations(dict):
         super().__init__()
         self.compute, self.limit, self.used, self.old = compute, limit // 2, 0, {}
 
+    def forget(self) -> None:
+        """Lets all values go: workers go on to other operators' tasks."""
+        self.clear()
+        self.old, self.used = {}, 0
+
     def known(self, key):
         """The value, if it has been made and kept; else None."""
         value = self.get(key)

@@ -186,6 +186,12 @@ class PrefixCounter:
         head = self._general(first)
         return head + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if space else head
 
+    def forget(self) -> None:
+        """At a task's end: what the memos and array operations hold."""
+        self.chunks.forget()
+        self.pieces.forget()
+        pa.default_memory_pool().release_unused()
+
     def tables(self, texts: pa.Array) -> pa.Array:
         """``table`` of many texts."""
         return chunkwise(texts, self.special, self._general, self.chunks, self.table)
@@ -233,6 +239,7 @@ def _table_task(path: str, pattern: str):
             texts = batch.column(1)
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, programme.tables(texts)], ["doc_id", "n_bytes", "prefix_steps"])
+        programme.forget()
 
     return build
 

@@ -49,6 +49,7 @@ def _encode_task(path: str, pattern: str, end_id: int, vocabulary: int):
             out = pa.RecordBatch.from_arrays([*kept.columns, *made.values()], [*kept.schema.names, *made])
             schema = out.schema
             yield out
+        coder.forget()
         if schema is not None:
             used = np.flatnonzero(counts)
             packed = used.astype("<u4").tobytes() + counts[used].astype("<u8").tobytes()
