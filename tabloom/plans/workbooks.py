@@ -367,7 +367,7 @@ def load(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
 
 
 def round_trip(frame: DataFrame, read: dict | None = None, **options) -> DataFrame:
-    """The frame as it comes back from a workbook."""
-    path = f"{scratch(frame.sparkSession)}/book.xlsx"
-    save(frame, path, **options)
+    """The frame as it comes back from workbooks, one or more a partition: a sheet ends at 1,048,576 rows."""
+    path = f"{scratch(frame.sparkSession)}/books"
+    save(frame, path, **{"layout": "folder"} | options)
     return load(frame.sparkSession, path, as_cells(frame.schema), **(read or {}))
