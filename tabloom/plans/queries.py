@@ -168,13 +168,13 @@ def events_stream_tumbling(spark, sf):
     folder = scratch(spark)
     source = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
     for k in range(2):
-        save(source.where(F.col("event_id") % 2 == k), f"{folder}/in/part-{k}.xlsx") if _made(f"{folder}/in") else None
+        save(source.where(F.col("event_id") % 2 == k), f"{folder}/in/part-{k}", layout="folder") if _made(f"{folder}/in") else None
     counted = tumbling_counts(follow(spark, f"{folder}/in", as_cells(source.schema)), "ts", "1000 days", "1 hour", "event_type")
     # Each trigger's whole result replaces the one before, in files: it may be larger than the driver.
     running = counted.writeStream.foreachBatch(lambda d,
         _: d.write.mode("overwrite").parquet(f"{folder}/out")).outputMode("complete").trigger(availableNow=True).option("checkpointLocation",
         f"{folder}/state").start()
-    running.awaitTermination(600)
+    running.awaitTermination()
     out = spark.read.schema(counted.schema).parquet(f"{folder}/out")
     return out.select("event_type", "events", F.round("total", 4).alias("total"), F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 

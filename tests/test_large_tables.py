@@ -18,15 +18,21 @@ def large(spark, tmp_path_factory):
     tables = {
         "orders": [k.alias("o_orderkey"), (k % 7).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), (k / 4).alias("o_totalprice"),
             at.cast("timestamp_ntz").alias("o_orderdate"), F.when(k % 2 == 0, "2-HIGH").otherwise("5-LOW").alias("o_orderpriority")],
+        "events": [(k * 2).alias("event_id"), at.alias("ts"), k.alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props")],
+        "lineitem": [k.alias("l_orderkey"), F.lit("N").alias("l_returnflag"), F.lit(1.0).alias("l_quantity"), at.alias("l_shipdate")],
+        "part": [k.alias("p_partkey"), F.lit("brand").alias("p_brand"), F.lit(7).alias("p_size")],
     }
     for name, columns in tables.items():
         spark.range(ROWS).coalesce(1).select(*columns).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 
+KEYS = ROWS * (ROWS - 1) // 2
+
 #: A column of each query's result, and what its values have to sum up to.
 SUMS = {
     "xlsx_data_named_like_places": ("row_index", sum(range(5002, ROWS, 2))),
+    "events_stream_tumbling": ("events", ROWS),
 }
 
 
