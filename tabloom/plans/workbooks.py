@@ -6,16 +6,18 @@ import io
 import json
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from ..cluster import shared_folder, ship
 from ..errors import SheetError
-from ..functions.cells import format_ref
+from ..functions.cells import MAX_ROWS, format_ref
 from ..sources.container import Container, Limits
 from ..sources.datasource import CELLS, XlsxReader, bind, chosen_sheets, filesystem, inferred_schema, limits_of, look, open_source, register, sized_files, split_files, told_epoch
 from ..sources.grid import Grid
@@ -353,6 +355,30 @@ def save(frame: DataFrame, path: str, **options) -> dict:
     return done
 
 
+def save_rows(frame: DataFrame, folder: str, header: list[str], cells: Callable[..., list]) -> None:
+    """Workbooks of each partition's rows in a folder, written in tasks: ``cells`` makes a sheet's row of a row's values.
+
+    Unlike ``save``, a column's cells may be of several kinds.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, (store, inner) = TaskContext.get(), filesystem(folder)
+        rows = (cells(*r) for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+        first, files = next(rows, None), 0
+        while first is not None or files == context.partitionId() == 0:
+            name = f"part-{context.partitionId():05d}-{files}.xlsx"
+            ready = f"{inner}/.{name}.{context.taskAttemptId()}.tmp"  # a second attempt replaces the first one's
+            with store.open_output_stream(ready) as out:
+                book = WorkbookWriter(out.write)
+                book.add("Sheet1", chain([header], [first] if first is not None else [], islice(rows, MAX_ROWS - 2)))
+                book.close()
+            store.move(ready, f"{inner}/{name}")
+            first, files = next(rows, None), files + 1
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    ship(frame.sparkSession)
+    frame.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def load(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
     """The workbooks at a path; without a schema, records are typed by a look at all of them, in tasks."""
     register(spark)

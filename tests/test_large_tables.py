@@ -33,6 +33,7 @@ KEYS = ROWS * (ROWS - 1) // 2
 SUMS = {
     "xlsx_data_named_like_places": ("row_index", sum(range(5002, ROWS, 2))),
     "events_stream_tumbling": ("events", ROWS),
+    "xlsx_late_types": ("p_partkey", KEYS),
 }
 
 
