@@ -34,6 +34,7 @@ SUMS = {
     "xlsx_data_named_like_places": ("row_index", sum(range(5002, ROWS, 2))),
     "events_stream_tumbling": ("events", ROWS),
     "xlsx_late_types": ("p_partkey", KEYS),
+    "xlsx_roundtrip_events": ("event_id", 2 * KEYS),
 }
 
 
