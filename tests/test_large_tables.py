@@ -35,6 +35,7 @@ SUMS = {
     "events_stream_tumbling": ("events", ROWS),
     "xlsx_late_types": ("p_partkey", KEYS),
     "xlsx_roundtrip_events": ("event_id", 2 * KEYS),
+    "xlsx_dates_as_instants": ("o_orderkey", KEYS),
 }
 
 
