@@ -36,6 +36,7 @@ SUMS = {
     "xlsx_late_types": ("p_partkey", KEYS),
     "xlsx_roundtrip_events": ("event_id", 2 * KEYS),
     "xlsx_dates_as_instants": ("o_orderkey", KEYS),
+    "xlsx_records_default": ("event_id", 2 * KEYS),
 }
 
 
