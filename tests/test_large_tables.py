@@ -37,6 +37,7 @@ SUMS = {
     "xlsx_roundtrip_events": ("event_id", 2 * KEYS),
     "xlsx_dates_as_instants": ("o_orderkey", KEYS),
     "xlsx_records_default": ("event_id", 2 * KEYS),
+    "xlsx_roundtrip_orders": ("o_orderkey", KEYS),
 }
 
 
