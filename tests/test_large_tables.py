@@ -39,6 +39,7 @@ SUMS = {
     "xlsx_records_default": ("event_id", 2 * KEYS),
     "xlsx_roundtrip_orders": ("o_orderkey", KEYS),
     "xlsx_dates_as_serials": ("o_orderkey", KEYS),
+    "xlsx_roundtrip_1904": ("o_orderkey", KEYS),
 }
 
 
