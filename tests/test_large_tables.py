@@ -40,6 +40,7 @@ SUMS = {
     "xlsx_roundtrip_orders": ("o_orderkey", KEYS),
     "xlsx_dates_as_serials": ("o_orderkey", KEYS),
     "xlsx_roundtrip_1904": ("o_orderkey", KEYS),
+    "xlsx_shares_of_a_sheet": ("rows", ROWS),
 }
 
 
