@@ -9,6 +9,8 @@ import datetime as dt
 import decimal
 import math
 import re
+from collections.abc import Iterable
+from itertools import count
 
 MAX_ROWS, MAX_COLUMNS = 1_048_576, 16_384
 MAX_CELL_CHARS = 32_767
@@ -295,21 +297,48 @@ SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u200
 
 def clean_sheet_name(name: str, taken: tuple[str, ...] = (), number: int | None = None) -> str:
     """A name that a sheet may have, and that none of ``taken`` has in any case."""
-    used = {t.lower() for t in taken}
-    out = _BAD_NAME.sub("_", name).strip(SPACES + "'")
-    if out.lower() == "history":
-        out += "_"
-    out = limit_text(out, MAX_SHEET_NAME).strip(SPACES + "'")
-    if not out:
-        k = number if number is not None else len(used) + 1
-        while f"sheet{k}" in used:
+    return SheetNames(taken).add(name, number)
+
+
+class SheetNames:
+    """The names of a workbook's sheets, given one after another; numbers known to be taken are not tried again."""
+
+    def __init__(self, taken: Iterable[str] = ()):
+        self.used = {t.lower() for t in taken}
+        self.free: dict[tuple[str, int], int] = {}  # by a name's cut beginning and the digits behind it
+        self.run = (0, 0)  # numbers of sheets without a name, from the first up to the second, that are taken
+
+    def add(self, name: str, number: int | None = None) -> str:
+        """A name that a sheet may have, and that no sheet before has in any case."""
+        out = _BAD_NAME.sub("_", name).strip(SPACES + "'")
+        if out.lower() == "history":
+            out += "_"
+        out = limit_text(out, MAX_SHEET_NAME).strip(SPACES + "'")
+        if not out:
+            out = self._unnamed(number if number is not None else len(self.used) + 1)
+        if out.lower() in self.used:
+            out = self._numbered(out)
+        self.used.add(out.lower())
+        return out
+
+    def _unnamed(self, k: int) -> str:
+        low, high = self.run
+        first, k = (low, high) if low <= k < high else (k, k)
+        while f"sheet{k}" in self.used:
             k += 1
-        out = f"Sheet{k}"
-    base, k = out, 2
-    while out.lower() in used:
-        tail = f" ({k})"
-        out, k = limit_text(base, MAX_SHEET_NAME - len(tail)).rstrip(SPACES) + tail, k + 1
-    return out
+        self.run = (first, k + 1)
+        return f"Sheet{k}"
+
+    def _numbered(self, base: str) -> str:
+        for digits in count(1):
+            stem = limit_text(base, MAX_SHEET_NAME - digits - 3).rstrip(SPACES)
+            key, end = (stem.lower(), digits), 10**digits
+            k = self.free.get(key, max(2, end // 10))
+            while k < end and f"{stem} ({k})".lower() in self.used:
+                k += 1
+            self.free[key] = k
+            if k < end:
+                return f"{stem} ({k})"
 
 
 def escape_text(text: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..cluster import shared_folder
-from ..functions.cells import MAX_CELL_CHARS, clean_sheet_name
+from ..functions.cells import MAX_CELL_CHARS, SheetNames
 from ..functions.columns import limit_text, same_number, utf16_units
 
 KEYS = ["sheet", "row_index", "col_index"]
@@ -293,17 +293,9 @@ def unique_sheet_names(names: DataFrame) -> DataFrame:
     """(workbook, position, name): names that a workbook's sheets may have, repeated ones, in any case, with (2),
     (3) and so on until none is there twice.  A workbook has at most as many sheets as an archive has entries."""
     def rename(frame):
-        taken: list[str] = []
-        frame = frame.sort_values("position")
-        used: dict[str, int] = {}
-        out = []
-        for name in frame["name"]:
-            made = clean_sheet_name(name or "")
-            if made.lower() in used:
-                made = clean_sheet_name(name or "", tuple(taken))
-            used[made.lower()] = 1
-            taken.append(made)
-            out.append(made)
+        frame, names = frame.sort_values("position"), SheetNames()
+        # A name is cleaned alone first: an empty one is Sheet1, unless that is taken.
+        out = [names.add(name or "", 1 if "sheet1" not in names.used else None) for name in frame["name"]]
         return frame.assign(name=out)
 
     narrow = names.select("workbook", "position", F.col("name").cast("string").alias("name"))

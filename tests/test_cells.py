@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,41 @@ def test_columns_agree_with_the_rules(spark):
     isos = ["2024-02-29", "2024-02-29T01:02:03.9996Z", "12:30", "2023-02-29", "x", "", "2024-01-01T10:11:12+02:00"]
     for r in spark.createDataFrame([(x,) for x in isos], "x string").select("x", X.timestamp_from_iso(F.col("x")).alias("t")).collect():
         assert r["t"] == C.from_iso(r["x"]), r["x"]
+
+
+def test_many_names_of_sheets():
+    """The same names as one by one with all the others, in any case, and in time in proportion to their number."""
+    def plain(name, used):
+        out = C.clean_sheet_name(name)
+        if not name and out.lower() in used:
+            k = len(used) + 1
+            while f"sheet{k}" in used:
+                k += 1
+            return f"Sheet{k}"
+        base, k = out, 2
+        while out.lower() in used:
+            tail = f" ({k})"
+            out, k = C.limit_text(base, 31 - len(tail)).rstrip() + tail, k + 1
+        return out
+
+    rng = random.Random(5)
+    some = ["", "a", "A", "a (2)", "A (3)", "x" * 31, "X" * 31, "x" * 27 + " (2)", "x" * 26 + "y" * 5, "Sheet2", "sheet40", "sheet41", "\u0130" * 31, "i\u0307" * 15, "\u03a3" * 30, "a" * 26 + "\U0001f600" * 3]
+    for _ in range(20):
+        names, used = C.SheetNames(), set()
+        for name in rng.choices(some, k=150):
+            wanted = plain(name, used)
+            assert names.add(name, 1 if "sheet1" not in names.used else None) == wanted
+            used.add(wanted.lower())
+    began, names = time.process_time(), C.SheetNames()
+    made = {names.add(rng.choice(("x" * 31, "X" * 31, "b", ""))).lower() for _ in range(40_000)}
+    assert len(made) == 40_000 and time.process_time() - began < 10
+
+
+def test_names_of_a_large_workbook(spark):
+    """Took minutes when every name was compared with a new set of all others."""
+    from tabloom.operators.relations import unique_sheet_names
+
+    rows = spark.range(30_000).selectExpr("1 AS workbook", "id AS position", "if(id % 2 = 0, 'a', 'B') AS name")
+    began = time.time()
+    got = unique_sheet_names(rows).selectExpr("count(DISTINCT lower(name))", "max(length(name))").first()
+    assert tuple(got) == (30_000, 9) and time.time() - began < 30
