@@ -22,7 +22,7 @@ several tasks; no file is opened before a task does.  Rows go out as Arrow batch
 Writing (overwrite only), ``layout`` ``file`` (the default): every partition packs its rows into a
 segment of the one sheet; the commit joins the segments in partition order, so sort the frame
 first if order matters.  ``layout`` ``folder``: every partition writes workbooks of its own, of at most
-a sheet's rows each, into a folder; they are read back in parallel.  Other options: ``sheet``, ``header``
+a sheet's rows and about half a GiB of their XML each, into a folder; they are read back in parallel.  Other options: ``sheet``, ``header``
 (default true), ``date1904``, ``compressionLevel``, ``overlong``, ``suffix``, ``freezeHeader``, ``autoFilter``,
 ``zip64``.  Paths may be URIs of any store that pyarrow knows; what is replaced goes when its successor is there.
 """
@@ -59,6 +59,10 @@ from .writer import ZIP64_CELLS, CellWriter, Options, Sheet, Shared, Styles, Wor
 
 BATCH_ROWS = 10_000
 SPLIT_BYTES, SPREAD, MOST_SHARES = 8 << 20, 64, 16
+#: Bytes of a sheet's rows from which on it is written with ZIP64 records, with room for what else a workbook holds.
+ZIP64_BYTES = (4 << 30) - (16 << 20)
+#: Bytes of a sheet's rows at which a workbook of a folder ends; readers take a GiB of a part unless told otherwise.
+FOLDER_BYTES = 1 << 29
 CELL = StructType([StructField("kind", StringType()), StructField("s", StringType()), StructField("n", DoubleType()), StructField("b", BooleanType()),
     StructField("ts", TimestampNTZType()), StructField("err", StringType()), StructField("formula", StringType())])
 CELLS = StructType([StructField("path", StringType()), StructField("sheet_index", IntegerType()), StructField("sheet", StringType()),
@@ -687,24 +691,31 @@ class XlsxWriter(DataSourceArrowWriter):
         context, made, store = TaskContext.get(), self._options(), self._store()
         header = self._header(made)
         room = _number(self.options, "maxrows", MAX_ROWS) - len(header)
-        files, total, truncated = 0, 0, 0
+        files, total, truncated, size = 0, 0, 0, 0
         stem = f"{self.folder}/{context.partitionId()}-{context.taskAttemptId()}"
         rest = (b for b in batches if b.num_rows)
         held = next(rest, None)
 
         def up_to(most: int) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            while held is not None and most:
+            while held is not None and most and size < FOLDER_BYTES:
                 part = held.slice(0, most)
                 most -= part.num_rows
                 held = held.slice(part.num_rows) if part.num_rows < held.num_rows else next(rest, None)
                 yield part
 
+        def counted(pieces: Iterator[tuple[bytes, int]]) -> Iterator[tuple[bytes, int]]:
+            nonlocal size
+            for text, rows in pieces:
+                size += len(text)
+                yield text, rows
+
         while held is not None or files == 0 and context.partitionId() == 0:
             with store.open_output_stream(f"{stem}-{files}") as out:
                 book = WorkbookWriter(out.write, made)
                 style = _date_style(book.styles, made)
-                done = book.add_xml(self._sheet(), (p for some in (header, rows_xml(up_to(room), book.cells, style)) for p in some), len(self.schema))
+                size = 0
+                done = book.add_xml(self._sheet(), (p for some in (header, counted(rows_xml(up_to(room), book.cells, style))) for p in some), len(self.schema))
                 total += done["rows"] - len(header)
                 truncated += book.close()["truncated"]
             files += 1
@@ -749,8 +760,6 @@ class XlsxWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Segment]) -> None:
         parts, made, store = sorted((m for m in messages if m is not None), key=lambda m: m.partition), self._options(), self._store()
         header = self._header(made)
-        if self.options.get("zip64") is None and sum(m.rows for m in parts) * len(self.schema) > ZIP64_CELLS:
-            made.zip64 = True
         if self.options.get("layout") == "folder":
             ready = f"{self.folder}/ready"
             store.create_dir(ready)
@@ -759,14 +768,16 @@ class XlsxWriter(DataSourceArrowWriter):
                     store.move(f"{m.path}-{k}", f"{ready}/part-{m.partition:05d}-{k}.xlsx")
         else:
             ready = f"{self.folder}/workbook"
+            title: list[bytes] = []
+            packer = PartPacker(title.append, made.level)
+            for text, _ in header:
+                packer.add(text)
+            first = packer.flush(False)
+            if self.options.get("zip64") is None:
+                made.zip64 = _needs_zip64([first, *parts], len(self.schema))
             with store.open_output_stream(ready) as out:
                 book = WorkbookWriter(out.write, made)
                 _date_style(book.styles, made)
-                title: list[bytes] = []
-                packer = PartPacker(title.append, made.level)
-                for text, _ in header:
-                    packer.add(text)
-                first = packer.flush(False)
                 segments = [(first, title), *((Packed(m.crc, m.packed, m.size), _chunks(store, m.path)) for m in parts)]
                 book.add_segments(self._sheet(), segments, sum(m.rows for m in parts) + len(header), len(self.schema))
                 book.close()
@@ -787,6 +798,12 @@ class XlsxWriter(DataSourceArrowWriter):
             store.delete_dir(self.folder)
 
 
+def _needs_zip64(segments: Sequence[Packed | Segment], width: int) -> bool:
+    """Whether a sheet of these segments has many cells, or comes near the 4 GiB that end a plain archive."""
+    size, packed = sum(m.size for m in segments), sum(m.packed for m in segments)
+    return sum(getattr(m, "rows", 0) for m in segments) * width > ZIP64_CELLS or max(size, packed) > ZIP64_BYTES
+
+
 def _date_style(styles: Styles, options: Options) -> int:
     """The one style that segments use stands first in every writer's table."""
     from .writer import Style

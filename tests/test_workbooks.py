@@ -392,3 +392,24 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'xlsx_head' in q and 'pipeline' not in q; e.oracle_sql()"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert run.returncode == 0, run.stderr
+
+
+def test_a_sheet_of_more_than_4_gib_is_zip64(tmp_path):
+    """Segments that say they inflate to 5 GiB: what is joined of them has a directory that holds such sizes."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from tabloom.sources.datasource import Segment, XlsxWriter
+
+    writer = XlsxWriter({"path": f"{tmp_path}/book.xlsx"}, StructType([StructField("k", LongType())]))
+    with open(f"{tmp_path}/segment", "wb") as f:
+        f.write(b"0" * 100)
+    writer.commit([Segment(0, f"{tmp_path}/segment", 100, 5 << 30, 0, 1, 0)])
+    with open(f"{tmp_path}/book.xlsx", "rb") as f:
+        assert Container(f).entries["xl/worksheets/sheet1.xml"].size > 5 << 30
+
+
+def test_workbooks_of_a_folder_end_by_bytes(spark, tmp_path):
+    """A reader takes a GiB of a sheet; workbooks of a folder stay below that."""
+    long = spark.range(36_000).coalesce(1).select("id", F.lit("x" * 32_000).alias("t"))
+    assert save(long, f"{tmp_path}/long", layout="folder")["files"] > 1
+    assert load(spark, f"{tmp_path}/long", long.schema).agg(F.count("t"), F.sum("id")).first() == (36_000, 35_999 * 18_000)
