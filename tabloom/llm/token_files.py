@@ -45,7 +45,7 @@ def _encode_task(path: str, pattern: str, end_id: int, vocabulary: int):
             rows = pa.array(range(row, row + len(ids)), pa.int64())
             row += len(ids)
             kept = batch.drop_columns(["text"])
-            made = {"row": rows, "ids": ids, "n": pa.array(n, pa.int64()), "histogram": pa.nulls(len(ids), pa.binary())}
+            made = {"row": rows, "ids": ids, "n": pa.array(n, pa.int64()), "hash": _hashes(ids), "histogram": pa.nulls(len(ids), pa.binary())}
             out = pa.RecordBatch.from_arrays([*kept.columns, *made.values()], [*kept.schema.names, *made])
             schema = out.schema
             yield out
@@ -58,6 +58,13 @@ def _encode_task(path: str, pattern: str, end_id: int, vocabulary: int):
     return encode
 
 
+def _hashes(ids: pa.Array) -> pa.Array:
+    """The crc32 of each text's ids, by which rows that are equal in their order are sorted: rows are cut into
+    ranges by narrow columns alone."""
+    at, data = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].tolist(), memoryview(ids.buffers()[2])
+    return pa.array([zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])], pa.int64())
+
+
 def _histogram(packed: list[bytes], vocabulary: int) -> np.ndarray:
     total = np.zeros(vocabulary, np.int64)
     for p in packed:
@@ -106,10 +113,10 @@ def _write_task(folder: str, dtype: str):
             return pa.RecordBatch.from_pylist(spans, pa.schema([(f.split()[0], types[f.split()[1]]) for f in _SPANS.split(", ")]))
 
         for batch in batches:
-            for name, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
+            for name, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids"))):
                 names.append(name)
                 lengths.append(n)
-                parts.append(ids.as_py())
+                parts.append(ids)
                 size += n
                 if size >= SHARD_IDS:
                     yield close()
@@ -166,7 +173,7 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, end_id: int = 2,
     keys = [c.alias(f"o{k}") for k, c in enumerate([F.col("doc_id").cast("long")] if order is None else order)]
     d = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    coded = cut(d.mapInArrow(_encode_task(path, pattern, end_id, vocabulary), f"{kept}, row long, ids binary, n long, histogram binary"), "coded")
+    coded = cut(d.mapInArrow(_encode_task(path, pattern, end_id, vocabulary), f"{kept}, row long, ids binary, n long, hash long, histogram binary"), "coded")
     rows = coded.where("histogram is null").drop("histogram")
 
     # Sums of histograms: a few at a time, so that what the driver gets doesn't grow with the tasks.
@@ -176,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, end_id: int = 2,
 
     # The last key is a row's number in the written table, so that even rows that are all alike can be split.
     count = max(int(total.sum()) // (SHARDS_A_PARTITION * SHARD_IDS) + 1, spark.sparkContext.defaultParallelism)
-    by = [*[F.col(f"o{k}").asc_nulls_first() for k in range(len(keys))], F.xxhash64("ids"), F.col("row")]
+    by = [*[F.col(f"o{k}").asc_nulls_first() for k in range(len(keys))], F.col("hash"), F.col("row")]
     placed = rows.repartitionByRange(count, *by).sortWithinPartitions(*by)
     spans = cut(placed.select("doc_id", "n", "ids").mapInArrow(_write_task(folder, coder.dtype.str), _SPANS), "spans")
     # A row for each partition of SHARDS_A_PARTITION shards: few enough for one task to add up.
