@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.llm import chat_format, curriculum_mix, kd_top_k, min_max_dedup, rans, rank_profiles, simhash_decontam, site_quality, token_files, warc_zip
-from tabloom.llm.bpe_ids import encoder
+from tabloom.llm.bpe_ids import ChunkEncoder, encoder
 from tabloom.llm.prefix_counts import count_at, counter, longest_within, prefix_token_counts
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -115,6 +115,27 @@ def test_encoder_is_the_library():
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_are_put_to_the_model_once():
+    """Whatever marks stand behind them, and at whichever of two line ends."""
+    import pyarrow as pa
+
+    e, asked = ChunkEncoder(PATH, PATTERN), []
+    model, words = e.model, ["alpha", "déjà", "Žižek", "beta7"]
+
+    class Counting:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+
+    e.model = Counting()
+    texts = [f"{a}{m} {a}{n} {b}\n{b}{m}" for a in words for b in words for m in ("", ".", "###", "!?") for n in (",", ")...", "-")]
+    others = ["a", "...", "...a", "x\n...", "it's. don't! 'tis'. 12.5% a'.", "eж. ж", "alpha's alpha' beta7'.", "".join(f"w{k}. " for k in range(3000)) + "end"]
+    for some in (texts, texts[3:], others):
+        got = e.encode_all(pa.array(["not these", *some]).slice(1)).to_pylist()
+        assert [np.frombuffer(g, e.dtype).tolist() for g in got] == [i.ids for i in e.whole.encode_batch(some, add_special_tokens=False)]
+        assert some is others or len(asked) == len(set(asked))
+
+
 def test_token_files(spark, edge):
     got = sorted(token_files.token_digests(edge, PATH, PATTERN).collect(), key=lambda r: r["start"])
     whole = encoder(PATH, PATTERN).whole
